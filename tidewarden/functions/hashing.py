@@ -18,11 +18,15 @@ def md5_uniform(seed, *keys) -> Column:
 
 
 def poisson1(u: Column) -> Column:
-    """Bootstrap weight: inverse Poisson(1) distribution at ``u``."""
-    weight = F.lit(0)
-    for step in POISSON1_CDF:
-        weight = weight + F.when(u >= step, 1).otherwise(0)
-    return weight
+    """Bootstrap weight: inverse Poisson(1) distribution at ``u`` (evaluated once, as a lambda argument)."""
+
+    def count(v: Column) -> Column:
+        weight = F.lit(0)
+        for step in POISSON1_CDF:
+            weight = weight + F.when(v >= step, 1).otherwise(0)
+        return weight
+
+    return F.transform(F.array(u), count)[0]
 
 
 def content_hash(*cols) -> Column:

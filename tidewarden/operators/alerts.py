@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewarden.errors import ContractError
 from tidewarden.functions.values import ATTACK, canonical_label, family_tokens
 from tidewarden.operators.scan import CHUNK, ordered_chunks, scan
+from tidewarden.session import written
 
 STREAM = ["stream_id"]
 
@@ -78,27 +79,33 @@ def streaks(df: DataFrame, debounce: int = 3, keys: list[str] | None = None) ->
     keys, order = keys or STREAM, ["stream_pos"]
     chunks = ordered_chunks(df, keys, order, "alerts")
     step = scan(
-        chunks, keys, order, sums={"_row": F.lit(1).cast("bigint")}, lags={"_prev_pos": F.col("stream_pos")}
+        chunks,
+        keys,
+        order,
+        sums={"_row": F.lit(1).cast("bigint")},
+        lags={"_prev_pos": F.col("stream_pos"), "_prev_hit": F.col("is_anomaly")},
     )
     jump = F.col("_prev_pos").isNull() | (F.col("stream_pos") != F.col("_prev_pos") + 1)
     mark = F.when(~F.col("is_anomaly"), F.col("_row") + 1).when(jump, F.col("_row"))
     run = scan(step, keys, order, maxes={"_start": mark})
     streak = F.when(F.col("is_anomaly"), F.col("_row") - F.coalesce("_start", F.lit(1)) + 1).otherwise(0).cast("bigint")
-    state = (
-        F.when(F.col("consecutive_anomalies") >= debounce, "confirmed")
-        .when(F.col("consecutive_anomalies") > 0, "candidate")
-        .otherwise("none")
-    )
-    named = run.withColumn("consecutive_anomalies", streak).withColumn("alert_state", state)
-    named = named.withColumn("confirmed_alert", F.col("alert_state") == "confirmed")
-    edge = scan(named, keys, order, lags={"_was": F.col("confirmed_alert")})
-    raised = F.col("confirmed_alert") & ~F.coalesce("_was", F.lit(False))
-    return edge.withColumn("alert_raised", raised).drop("_row", "_prev_pos", "_start", "_was", CHUNK)
+    named = run.withColumn("consecutive_anomalies", streak)
+    confirmed = F.col("consecutive_anomalies") >= debounce
+    state = F.when(confirmed, "confirmed").when(F.col("consecutive_anomalies") > 0, "candidate").otherwise("none")
+    # The row before a run of length >= 2 belongs to the run, so only a run that reaches the
+    # length on this row can be a new alert. With length 1 the row before a jump may have been
+    # an alert itself.
+    raised = F.col("consecutive_anomalies") == debounce
+    if debounce == 1:
+        raised = raised & ~F.coalesce("_prev_hit", F.lit(False))
+    return named.withColumns(
+        {"alert_state": state, "confirmed_alert": confirmed, "alert_raised": raised}
+    ).drop("_row", "_prev_pos", "_prev_hit", "_start", CHUNK)
 
 
 def verify_alerts(df: DataFrame, debounce: int = 3, window_seconds: float = 30.0) -> DataFrame:
     """Streaks plus episode detection and delay, written to every row of a detected episode."""
-    rows = streaks(df, debounce)
+    rows = written(streaks(df, debounce), "streaks")
     episodes = (
         rows.filter(F.coalesce("episode_id", F.lit("benign")) != "benign")
         .groupBy("stream_id", "episode_id")

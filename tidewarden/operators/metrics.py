@@ -67,6 +67,7 @@ def score_counts(
             F.sum(F.when(F.col(y) == 1, w).otherwise(0)).cast("bigint").alias("pos"),
             F.sum(F.when(F.col(y) == 0, w).otherwise(0)).cast("bigint").alias("neg"),
         )
+        .filter("pos + neg > 0")
     )
 
 

@@ -108,6 +108,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, weight:
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.sum(rows).cast("bigint").alias("n_equal"))
+        .filter("n_equal > 0")
     )
     chunks = ordered_chunks(counts, by, [value], "ranks")
     return scan(chunks, by, [value], sums={"n_upto": F.col("n_equal")}).drop(CHUNK)
