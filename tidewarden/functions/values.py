@@ -52,7 +52,7 @@ def strict_binary(col) -> Column:
 
 
 def family_tokens(col) -> Column:
-    parts = F.transform(F.split(F.coalesce(_c(col).cast("string"), F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(_c(col).cast("string"), F.lit("")), r"\|"), lambda t: F.trim(t))
     return F.filter(parts, lambda t: ~F.lower(t).isin(*NO_FAMILY_WORDS))
 
 
