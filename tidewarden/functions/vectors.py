@@ -28,7 +28,8 @@ def l2_normalise(vec) -> Column:
     """``x / max(|x|, 1e-12)`` in double precision."""
     wide = as_double(vec)
     size = F.greatest(norm(wide), F.lit(NORM_FLOOR))
-    return F.transform(wide, lambda v: v / size)
+    # repeated as an array so that the norm is taken once per row, not once per element
+    return F.zip_with(wide, F.array_repeat(size, F.size(wide)), lambda v, s: v / s)
 
 
 def cosine(a: Column, b: Column) -> Column:

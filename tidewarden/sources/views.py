@@ -13,6 +13,7 @@ from tidewarden.functions.vectors import l2_normalise
 from tidewarden.operators.scan import attach, exact_quantiles, positions
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+SCALES = [50.0, 100000.0, 0.1, 0.1, 7.0]
 WINDOW_DAYS = 30
 
 
@@ -78,12 +79,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"),
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("dst"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("edge_attr"),
+        F.array(*[F.col(c).cast("double") / s for c, s in zip(FEATURES, SCALES)]).alias("edge_attr"),
         ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).cast("int").alias("edge_y"),
         F.col("l_linestatus").alias("family"),
-        "l_orderkey",
-        "l_partkey",
-        "l_linenumber",
+        F.concat_ws(
+            "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+        ).alias("record_id"),
+        F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / (WINDOW_DAYS * 86400)).cast("int").alias("snapshot"),
     )
 
 
