@@ -1,0 +1,283 @@
+"""Statistical learning, reports and compositions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewarden.functions.hashing import md5_uniform
+from tidewarden.functions.values import family_tokens
+from tidewarden.operators import graph, knn, learn, metrics, quality, splits, threshold
+from tidewarden.operators.scan import attach
+from tidewarden.plans import ablation, reports, supervised
+from tidewarden.plans import evaluation as ev
+from tidewarden.queries import base
+from tidewarden.queries.base import PRED, SCORES, TAU, b, poisson, query, r6, u
+from tidewarden.queries.graphs import WIDTH, edges, flows, nodes
+from tidewarden.queries.ranking import PAIRS
+from tidewarden.sources import views
+
+WINDOW_S = 86400
+
+
+def labelled_windows(spark, sf):
+    """Orders as labelled windows in time: start, end, size and two feature arrays."""
+    o = views.table(spark, sf, "orders")
+    li = views.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("window_key")).agg(
+        F.count(F.lit(1)).alias("n_edges"),
+        F.array(F.avg("l_quantity"), F.avg("l_discount") * 100, F.avg("l_tax") * 100).alias("raw"),
+        F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"),
+    )
+    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    rows = o.select(
+        F.col("o_orderkey").alias("window_key"),
+        start.alias("start_time"),
+        (start + WINDOW_S).alias("end_time"),
+        F.col("o_orderpriority").alias("family"),
+        (F.col("o_totalprice") / 1e5).alias("price"),
+    )
+    return rows.join(li, "window_key").withColumn("log_size", F.log1p(F.col("n_edges").cast("double")))
+
+
+def test_vectors(spark, sf):
+    rec = base.records(spark, sf).filter("split = 'test'")
+    return rec.select("sample_id", "embedding", F.col("timestamp").alias("size"), (F.col("label") == "attack").cast("int").alias("y"))
+
+
+@query("l1_balanced_logistic")
+def l1(spark, sf):
+    rows = learn.feature_set(test_vectors(spark, sf), ["embedding"]).withColumn("part", md5_uniform(31, "sample_id"))
+    probe, c, auc = learn.select_probe(rows.filter("part < 0.5"), rows.filter("part between 0.5 and 0.75"), (0.01, 1.0), 20)
+    test = metrics.ranking(probe.score(rows.filter("part > 0.75")))
+    return test.select(F.lit(c).alias("penalty"), F.lit(round(auc, 6)).alias("calibration_auc"), *r6("roc_auc", "auprc"))
+
+
+@query("l2_cross_validated_probe")
+def l2(spark, sf):
+    out = learn.probe_feature_sets(test_vectors(spark, sf), "sample_id", {"size": ["size"], "h_plus_size": ["embedding", "size"]}, folds=3, max_iter=15)
+    return out.select("feature_set", *b("n_positive", "n_negative"), *r6("roc_auc", "auprc"))
+
+
+@query("l3_boosted_trees")
+def l3(spark, sf):
+    rows = flows(spark, sf).withColumnsRenamed({"edge_attr": "features", "edge_y": "y"}).withColumn("u", md5_uniform(32, "record_id"))
+    score = learn.boosted_trees(rows.filter("u < 0.5").select("features", "y"), rounds=5, depth=3)
+    return metrics.ranking(score(rows.filter("u >= 0.5").select("features", "y"))).select(*b("n_positive", "n_negative"), *r6("roc_auc"))
+
+
+@query(
+    "l4_feature_sets",
+    f"""WITH {base.RECORDS}, f AS (SELECT sample_id, e, ts FROM rec WHERE split = 'test')
+SELECT 'size' AS feature_set, 1::BIGINT AS width, round(sum(ts), 4) AS total FROM f UNION ALL SELECT 'h', 64, round(sum(list_sum(e)), 4) FROM f UNION ALL SELECT 'h_plus_size', 65, round(sum(list_sum(e) + ts), 4) FROM f""",
+)
+def l4(spark, sf):
+    rows = test_vectors(spark, sf)
+    out = None
+    for name, parts in {"size": ["size"], "h": ["embedding"], "h_plus_size": ["embedding", "size"]}.items():
+        f = learn.feature_set(rows, parts)
+        total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+        part = f.agg(F.max(F.size("features")).cast("bigint").alias("width"), F.round(F.sum(total), 4).alias("total"))
+        part = part.select(F.lit(name).alias("feature_set"), "width", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _folds(spark, sf):
+    sets = {"size": ["log_size"], "raw_plus_size": ["raw", "price", "log_size"]}
+    return base.shared(
+        spark,
+        sf,
+        "fold_scores",
+        lambda: supervised.rolling_origin(labelled_windows(spark, sf), ["start_time", "window_key"], sets, "window_key", (0.1,), 15),
+    )
+
+
+@query("l5_rolling_origin")
+def l5(spark, sf):
+    m = supervised.mean_over_folds(supervised.fold_report(_folds(spark, sf)))
+    return m.select("method", "n_folds", *r6("roc_auc", "balanced_accuracy", "f1", "f1_flag_all", "specificity", "recall"))
+
+
+@query("l5_paired_differences")
+def l5_paired(spark, sf):
+    p = supervised.paired(_folds(spark, sf), [("raw_plus_size", "size")], "window_key", 20)
+    return p.select("method_a", "method_b", "statistic", *r6("point", "ci_low", "ci_high"), "n_replicates")
+
+
+@query("l6_flow_probe")
+def l6(spark, sf):
+    wide = graph.with_node_features(edges(spark, sf), nodes(spark, sf), ["snapshot"])
+    f = wide.select(F.col("snapshot").alias("window"), F.col("edge_y").alias("y"), F.col("flow_features").alias("features"), "record_id", "edge_idx")
+    per = flows(spark, sf).groupBy(F.col("snapshot").alias("window")).agg(F.avg("edge_y").alias("share"))
+    mid = per.agg(F.percentile("share", 0.5).alias("mid"), F.min("window").alias("lo"), F.max("window").alias("hi"))
+    w = attach(per, mid, [])
+    at = (F.col("window") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
+    part = F.when(at < 0.5, "fit").when(at < 0.75, "cal").otherwise("test")
+    windows = w.select("window", F.lit(0).alias("fold"), part.alias("part"), (F.col("share") > F.col("mid")).cast("int").alias("window_y"))
+    out = supervised.flow_probe(f, windows, ["record_id", "edge_idx"], max_iter=15)
+    return out.select("fold", "model", *r6("flow_auc", "flow_ap", "tpr_at_1pct", "fpr_realised", "window_auc", "window_balanced_accuracy"))
+
+
+@query(
+    "a42_flow_to_window_score",
+    """WITH f AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, l_extendedprice AS s FROM lineitem) SELECT month, round(max(s), 6) AS max_score, round(quantile_cont(s, 0.99), 4) AS p99_score FROM f GROUP BY 1""",
+)
+def a42(spark, sf):
+    rows = views.table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_extendedprice").alias("anomaly_score"))
+    return supervised.window_scores(rows, ["month"]).select("month", *r6("max_score"), F.round("p99_score", 4).alias("p99_score"))
+
+
+@query(
+    "l5_unseen_families",
+    """WITH w AS (SELECT o_orderkey AS k, epoch(o_orderdate)::BIGINT AS s, o_orderpriority || '|' || o_custkey % 400 AS fam FROM orders), p AS (SELECT *, row_number() OVER (ORDER BY s, k) - 1 AS pos, count(*) OVER () AS n FROM w),
+t AS (SELECT pos < floor(n * 0.05) AS fit, unnest(string_split(fam, '|')) AS family FROM p) SELECT DISTINCT family FROM t WHERE NOT fit AND family NOT IN (SELECT family FROM t WHERE fit)""",
+)
+def l5_unseen(spark, sf):
+    o = views.table(spark, sf, "orders").withColumn("s", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    placed = splits.chronological(o, ["s", "o_orderkey"])
+    part = F.when(F.col("time_pos") < F.floor(F.col("n_all") * 0.05), "fit").otherwise("test")
+    fam = F.concat_ws("|", "o_orderpriority", (F.col("o_custkey") % 400).cast("string"))
+    rows = placed.select(F.lit(0).alias("fold"), part.alias("part"), F.lit(1).alias("y"), family_tokens(fam).alias("tokens"))
+    return supervised.unseen_families(rows, "tokens").select("family")
+
+
+# ---- reports
+
+
+def _families(spark, sf):
+    from tidewarden.plans.evaluation import per_family
+
+    return per_family(base.predictions(spark, sf)).select("family", *b("n_samples", "tp", "fp"), *r6("f1", "roc_auc", "fpr"), "mean_detection_delay_steps")
+
+
+@query("e10_tidy_table")
+def e10(spark, sf):
+    table = reports.tidy(_families(spark, sf), "table2_families", ["family"], dataset="ds_a,ds_b", data_source="embeddings")
+    return reports.publish([table, reports.blocked_table(spark, "table9_latency", "timings are not part of the tables")])
+
+
+@query(
+    "e10_tidy_not_run",
+    """WITH f AS (SELECT event_type AS family, count(*)::BIGINT AS n_samples, CASE WHEN event_type = 'click' THEN NULL ELSE round(avg(value), 6) END AS f1 FROM events GROUP BY 1)
+SELECT 'events' AS "table", family AS row_key, 'n_samples' AS metric, CAST(n_samples AS VARCHAR) AS value, 'count' AS unit FROM f UNION ALL SELECT 'events', family, 'f1', coalesce(CAST(f1 AS VARCHAR), 'NOT RUN'), 'ratio' FROM f""",
+)
+def e10_not_run(spark, sf):
+    rows = views.table(spark, sf, "events").groupBy(F.col("event_type").alias("family")).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.round(F.avg("value"), 6).alias("f1")
+    )
+    rows = rows.withColumn("f1", F.when(F.col("family") == "click", float("nan")).otherwise(F.col("f1")))
+    return reports.tidy(rows, "events", ["family"]).select("table", "row_key", "metric", "value", "unit")
+
+
+@query(
+    "e8_ablation_summary",
+    f"""WITH {PRED}, ls AS (SELECT unnest([1, 2, 3, 4]) AS l), m AS (SELECT 'fixed_mean3sd' AS v, mean + 3 * sd AS t FROM thr UNION ALL SELECT 'fixed_percentile', pct FROM thr UNION ALL SELECT 'confidence_aware', aware FROM thr),
+a AS (SELECT 'threshold' AS arm, v AS variant, t AS threshold, label = 'attack' AS y, s > t AS p, 0 AS edge, split FROM scores, m UNION ALL SELECT 'debounce', CAST(l AS VARCHAR), NULL, label = 'attack', streak >= l, (streak = l)::INT, split FROM pred, ls)
+SELECT arm, variant, count(*)::BIGINT AS n_samples, round(coalesce(count(*) FILTER (y AND p) / count(*) FILTER (y), 0), 6) AS recall, round(count(*) FILTER (NOT y AND p) / count(*) FILTER (NOT y), 6) AS fpr, round(any_value(threshold), 6) AS threshold, CASE WHEN arm = 'debounce' THEN sum(edge)::DOUBLE END AS n_alerts
+FROM a WHERE split = 'test' GROUP BY 1, 2""",
+)
+def e8(spark, sf):
+    cal = base.scores(spark, sf).filter("split = 'calibration_benign'")
+    t = ablation.threshold_ablation(base.scores(spark, sf).filter("split = 'test'"), threshold.calibrate(cal))
+    d = ablation.debounce_ablation(base.predictions(spark, sf).filter("split = 'test'"))
+    out = reports.ablation_summary({"threshold": (t, "method"), "debounce": (d, "debounce")})
+    return out.select("arm", "variant", "n_samples", *r6("recall", "fpr", "threshold"), "n_alerts")
+
+
+@query(
+    "e9_run_comparison",
+    f"""WITH {SCORES}, g AS (SELECT dataset_id || '_' || split AS run, count(*) AS n, avg(s) AS a, avg(s_mean) AS z FROM scores GROUP BY 1)
+SELECT run, embedding_kind, round(auc, 6) AS auc, row_number() OVER (ORDER BY round(auc, 6) DESC, run, embedding_kind)::BIGINT AS place FROM (SELECT run, 'h' AS embedding_kind, a AS auc FROM g UNION ALL SELECT run, 'z', z FROM g)""",
+)
+def e9(spark, sf):
+    """Run files derived from the score table, collected and ranked."""
+    from pyspark.sql import Window
+
+    from tidewarden.operators.knn import neighbour_score
+    from tidewarden.session import scratch_path
+    from tidewarden.sources import records as rio
+
+    path = scratch_path(spark, "e9")
+    g = (
+        base.scores(spark, sf)
+        .withColumn("m", neighbour_score("mean"))
+        .groupBy(F.concat_ws("_", "dataset_id", "split").alias("label"))
+        .agg(F.avg("anomaly_score").alias("a"), F.avg("m").alias("z"))
+    )
+    cell = lambda c: F.struct(F.struct(F.round(c, 6).alias("auc")).alias("knn_cos_k5"))
+    rows = g.select("label", F.lit("best epoch 36, val loss 0.5").alias("model"), cell("a").alias("h"), cell("z").alias("z"), F.col("label").alias("part"))
+    rows.repartition("part").write.partitionBy("part").json(path)
+    runs = rio.collect_runs(spark, path + "/part=*/*.json").select("run", "embedding_kind", "auc")
+    order = Window.orderBy(F.desc("auc"), "run", "embedding_kind")  # one row per run file
+    return runs.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+@query(
+    "e14_run_manifest",
+    f"""WITH {PRED} SELECT 'calibration' AS stage, (SELECT count(*) FROM cal)::BIGINT AS n_rows, 'ok' AS status, '{{"k":8,"seed":42}}' AS parameters UNION ALL SELECT 'evaluation', (SELECT count(*) FROM pred), 'ok', '{{"k":8,"seed":42}}'
+UNION ALL SELECT 'xai', (SELECT count(*) FROM pred WHERE conf AND label = 'none'), 'empty', '{{"k":8,"seed":42}}'""",
+)
+def e14(spark, sf):
+    stages = {
+        "calibration": base.scores(spark, sf).filter("split = 'calibration_benign'"),
+        "evaluation": base.predictions(spark, sf),
+        "xai": base.predictions(spark, sf).filter("confirmed_alert and label = 'none'"),
+    }
+    return reports.manifest(stages, {"k": 8, "seed": 42})
+
+
+@query("e11_validate_then_evaluate")
+def e11(spark, sf):
+    """New file against the reference: quality gate first; metrics only if the gate lets them."""
+    from tidewarden.queries.graphs import flags, prints
+
+    p = prints(spark, sf)
+    dup = quality.duplicate_report(p.filter("sequence >= 310"), p.filter("sequence < 310")).select("n_known")
+    scored = base.scores(spark, sf)
+    benign = scored.filter("label = 'benign'")
+    shift = ev.shift_auc(benign.filter("split = 'calibration_benign'"), benign.filter("split = 'online_benign'")).select(F.col("roc_auc").alias("shift_auc"))
+    flagged = flags(spark, sf).agg(F.count(F.when(F.col("flag_range"), 1)).alias("n_flagged"))
+    gate = attach(attach(flagged, shift, []), dup, [])
+    gate = gate.select("*", *ev.verdict(F.col("n_flagged"), F.col("shift_auc"), F.col("n_known")))
+    first = gate.first()
+    rows = scored.filter("split = 'test'").withColumn("y", (F.col("label") == "attack").cast("int")).withColumn("size", F.col("timestamp"))
+    if not first["may_evaluate"]:
+        return gate
+    rank = metrics.ranking(rows).select("roc_auc", "auprc")
+    strata = ev.weighted_mean_auc(ev.stratified_auc(rows, "size", 5))
+    rho = metrics.spearman(rows, "anomaly_score", "size").select("spearman")
+    out = spark.createDataFrame([first], gate.schema)
+    for part in (rank, strata, rho):
+        out = attach(out, part, [])
+    return out
+
+
+@query("e12_signal_diagnosis")
+def e12(spark, sf):
+    """Attack share dilution for the cosine and the standardised Euclidean scorer."""
+    bank = base.bank(spark, sf)
+    rows = base.records(spark, sf).filter("split = 'test'").withColumns(
+        {"y": (F.col("label") == "attack").cast("int"), "ratio": md5_uniform(3, "sample_id")}
+    )
+    cos = knn.score(rows, bank, 5, "mean")
+    euc = knn.score(knn.standardised(rows, bank), knn.standardised(bank, bank), 5, "mean", "euclidean")
+    parts = [
+        ev.dilution(df, "ratio").select(F.lit(n).alias("scorer"), "min_ratio", *b("n_positive"), *r6("roc_auc")) for n, df in (("cosine", cos), ("euclidean", euc))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "e13_checkpoint_summary",
+    f"""WITH {SCORES}, t AS (SELECT s_mean AS s, (label = 'attack')::INT AS y FROM scores WHERE split = 'test'), th AS (SELECT quantile_cont(s_mean, 0.95) AS c FROM scores WHERE split = 'calibration_benign'),
+c0 AS (SELECT s, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM t GROUP BY s), cv AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM c0 WINDOW w AS (ORDER BY s DESC))
+SELECT round(sum(neg * (tp - pos / 2.0)) / (max(np) * max(nn)), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / max(np), 6) AS auprc, (SELECT round(avg((s >= c)::INT) FILTER (y = 0), 6) FROM t, th) AS fpr, (SELECT round(avg((s >= c)::INT) FILTER (y = 1), 6) FROM t, th) AS tpr FROM cv""",
+)
+def e13(spark, sf):
+    rows = base.scores(spark, sf).withColumn("anomaly_score", knn.neighbour_score("mean")).withColumn("y", (F.col("label") == "attack").cast("int"))
+    test = rows.filter("split = 'test'")
+    cut = threshold.benign_percentile(rows.filter("split = 'calibration_benign'")).select("threshold")
+    one = attach(metrics.ranking(test).select("roc_auc", "auprc"), metrics.rate_at_threshold(test, cut).select("fpr", "tpr"), [])
+    return one.select(*r6("roc_auc", "auprc", "fpr", "tpr"))
+
+
+del PAIRS, TAU, WIDTH, poisson, u
