@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from tidewarden.queries.base import ORACLES, QUERIES
 
-MODULES = ["scoring", "streams", "ranking", "contracts", "graphs", "embeddings", "explaining", "learning"]
+MODULES = ["scoring", "streams", "ranking", "contracts", "graphs", "embeddings", "explaining", "learning", "live"]
 for _name in MODULES:
     importlib.import_module(f"tidewarden.queries.{_name}")
 
