@@ -40,7 +40,7 @@ def bounded_matrix(memory: DataFrame, index: str, vector: str, max_values: int =
         raise ContractError(
             f"memory of {size['n']} x {size['d']} values exceeds the broadcast bound {max_values}; use blocked_knn"
         )
-    rows = memory.select(F.col(index).cast("long").alias(index), vector).orderBy(index).toArrow()
+    rows = memory.select(F.col(index).cast("long").alias(index), vector).toArrow().sort_by(index)
     return rows[index].to_numpy(), matrix_of(rows[vector])
 
 

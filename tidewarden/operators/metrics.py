@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.operators.alerts import ratio
 from tidewarden.operators.scan import CHUNK, attach, exact_quantiles, mean_rank, ordered_chunks, scan
+from tidewarden.session import written
 
 NOT_RUN = "NOT RUN"
 
@@ -76,7 +77,8 @@ def cumulative(
 ) -> DataFrame:
     """Per distinct score, highest first: positives (tp) and negatives (fp) at or above it."""
     by = by or []
-    counts = score_counts(df, score, y, by, weight)
+    # written once: the size check, the scan and the totals all read it
+    counts = written(score_counts(df, score, y, by, weight), "counts")
     chunks = ordered_chunks(counts, by, [score], "curve", descending=True)
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
     return scan(chunks, by, [score], sums=sums, descending=True).drop(CHUNK)

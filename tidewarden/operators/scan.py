@@ -1,10 +1,12 @@
 """Running totals, positions and exact quantiles over ordered rows of any size.
 
 A window ordered over a whole table, or over a key that holds a third of it, would run in one
-task. Here the rows are range-partitioned by (keys, order), so a large key spans many chunks.
-Each chunk is scanned on its own; the last state of the earlier chunks of the same key is added
-afterwards. Only the first key of a chunk can continue from an earlier chunk, so the table of
-carried states never has more rows than there are chunks and is safe to broadcast.
+task. Before such a window the size of the largest key is measured, reading only the key columns.
+Up to ``ONE_TASK_ROWS`` rows a plain window per key is used. Beyond that the rows are
+range-partitioned by (keys, order), so a large key spans many chunks; each chunk is scanned on its
+own and the last state of the earlier chunks of the same key is added afterwards. Only the first
+key of a chunk can continue from an earlier chunk, so the table of carried states never has more
+rows than there are chunks and is safe to broadcast. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewarden.session import written
 
 CHUNK = "_chunk"
+ONE_TASK_ROWS = 1_000_000
 
 
 def _directed(order: list[str], descending: bool) -> list[Column]:
@@ -24,15 +27,22 @@ def _directed(order: list[str], descending: bool) -> list[Column]:
 def ordered_chunks(
     df: DataFrame, keys: list[str], order: list[str], name: str = "chunks", descending: bool = False
 ) -> DataFrame:
-    """Range-partition by (keys, order) and write the rows with their chunk number.
+    """Rows ready for ``scan``: unchanged if no key is large, else cut into chunks.
 
     Range bounds come from a sample, so a second run could cut elsewhere; writing the table
     fixes the cut for all later passes.
     """
+    if largest_key(df, keys) <= ONE_TASK_ROWS:
+        return df
     spec = [F.col(k) for k in keys] + _directed(order, descending)
     return written(df.repartitionByRange(*spec).withColumn(CHUNK, F.spark_partition_id()), name)
 
 
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    rows = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
+    return rows.agg(F.max("count").alias("n")).first()["n"] or 0
+
+
 def scan(
     chunks: DataFrame,
     keys: list[str],
@@ -45,6 +55,13 @@ def scan(
     """Add running sums, running maxima (both include the row) and previous-row values."""
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
     spec = _directed(order, descending)
+    if CHUNK not in chunks.columns:
+        per_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*spec)
+        until = per_key.rowsBetween(Window.unboundedPreceding, 0)
+        added = {o: F.sum(c).over(until) for o, c in sums.items()}
+        added |= {o: F.max(c).over(until) for o, c in maxes.items()}
+        added |= {o: F.lag(c).over(per_key) for o, c in lags.items()}
+        return chunks.withColumns(added)
     group = [*keys, CHUNK]
     base = chunks
     for out, c in {**sums, **maxes, **lags}.items():
@@ -110,7 +127,8 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, weight:
         .agg(F.sum(rows).cast("bigint").alias("n_equal"))
         .filter("n_equal > 0")
     )
-    chunks = ordered_chunks(counts, by, [value], "ranks")
+    # written once: the size check, the scan and the totals all read it
+    chunks = ordered_chunks(written(counts, "counts"), by, [value], "ranks")
     return scan(chunks, by, [value], sums={"n_upto": F.col("n_equal")}).drop(CHUNK)
 
 

@@ -33,7 +33,8 @@ ss AS (SELECT *, CASE WHEN r >= 0.05 THEN 'attack' ELSE 'benign' END AS label FR
 
 
 def flows(spark, sf):
-    return views.flows(spark, sf)
+    """Joined once and written: nodes, edges, sizes and masks all read it."""
+    return base.shared(spark, sf, "flows", lambda: views.flows(spark, sf))
 
 
 def nodes(spark, sf):

@@ -73,7 +73,8 @@ def event_stream(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFr
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows between supplier and customer hosts, with a feature vector and an attack mark."""
     li = table(spark, sf_dir, "lineitem")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # both sides grow with the data: a shuffle join, never a broadcast
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"),

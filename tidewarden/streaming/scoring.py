@@ -40,8 +40,7 @@ def gated_updates(
     """``foreachBatch`` writer that folds accepted windows into the next memory version.
 
     Off by default. Attack-labelled candidates are written to quarantine and stop the query. The
-    version is a function of the trigger number, so a repeated trigger finds its version written
-    and does nothing.
+    version is a function of the trigger number, so a repeated trigger writes the same version again.
     """
 
     def step(batch: DataFrame, number: int) -> None:
