@@ -59,6 +59,17 @@ def test_grouped_ranking(spark, way):
         assert r["roc_auc"] == pytest.approx(auc(y[g == r["g"]], s[g == r["g"]]))
 
 
+def test_shared_negatives_equal_separate_groups(spark, way):
+    rng = np.random.default_rng(6)
+    n, p, g = np.round(rng.random(200), 1), np.round(rng.random(90) + 0.2, 1), rng.choice(["a", "b"], 90)
+    neg = frame(spark, [0] * 200, n)
+    pos = frame(spark, [1] * 90, p, g=g)
+    for r in metrics.ranking_against(pos, neg, ["g"]).collect():
+        y, s = np.r_[np.ones((g == r["g"]).sum(), int), np.zeros(200, int)], np.r_[p[g == r["g"]], n]
+        assert r["roc_auc"] == pytest.approx(auc(y, s)) and r["auprc"] == pytest.approx(ap(y, s))
+        assert r["n_negative"] == 200
+
+
 def test_operating_points(spark):
     y, s = np.array([0, 0, 1, 1, 0, 1]), np.array([0.1, 0.4, 0.35, 0.8, 0.2, 0.9])
     points = metrics.curve_points(metrics.cumulative(frame(spark, y, s)))

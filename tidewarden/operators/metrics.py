@@ -107,6 +107,41 @@ def ranking(df: DataFrame, score: str = "anomaly_score", y: str = "y", by: list[
     return ranking_of_curve(cumulative(df, score, y, by, weight), by)
 
 
+def ranking_against(positives: DataFrame, negatives: DataFrame, by: list[str], score: str = "anomaly_score") -> DataFrame:
+    """ROC-AUC and average precision of several groups of positives against the same negatives.
+
+    The negatives are ranked once and never copied per group: each distinct positive score needs
+    only the number of negatives at and above it.
+    """
+    pos = positives.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("pos"))
+    pos = written(pos, "positives")
+    neg = negatives.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("neg"))
+    marks = pos.select(score, F.lit(0).cast("bigint").alias("neg")).unionByName(neg)
+    # one row per distinct score, so that equal scores of different groups share their count
+    marks = written(marks.groupBy(score).agg(F.sum("neg").alias("neg")), "marks")
+    above = scan(
+        ordered_chunks(marks, [], [score], "marks", descending=True), [], [score], sums={"fp": F.col("neg")}, descending=True
+    ).drop(CHUNK)
+    tops = scan(ordered_chunks(pos, by, [score], "tops", descending=True), by, [score], sums={"tp": F.col("pos")}, descending=True)
+    total = marks.agg(F.sum("neg").alias("n_negative"))
+    rows = attach(tops.drop(CHUNK).join(above, score), total, [])
+    tp, fp, p, n = F.col("tp"), F.col("fp"), F.col("pos"), F.col("n_negative")
+    sums = rows.groupBy(*by).agg(
+        F.sum("pos").alias("n_positive"),
+        F.max(n).alias("n_negative"),
+        F.sum(p * (n - fp + F.col("neg") / 2.0)).alias("_u"),
+        F.sum(p * tp / (tp + fp)).alias("_a"),
+    )
+    some = F.col("n_negative") > 0
+    return sums.select(
+        *by,
+        "n_positive",
+        "n_negative",
+        F.when(some, F.col("_u") / (F.col("n_positive") * F.col("n_negative"))).alias("roc_auc"),
+        F.when(some, F.col("_a") / F.col("n_positive")).alias("auprc"),
+    )
+
+
 def curve_points(curve: DataFrame, by: list[str] | None = None, score: str = "anomaly_score") -> DataFrame:
     """Rates at each distinct score used as a threshold (score >= threshold is called positive)."""
     by = by or []

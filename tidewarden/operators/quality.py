@@ -130,7 +130,7 @@ def import_scores(expected: DataFrame, offered: DataFrame, fold: str = "fold", k
     """Scores from another run, per fold; a fold whose rows differ from the expected set is rejected."""
     both = expected.withColumn("_e", F.lit(1)).join(offered.withColumn("_o", F.lit(1)), [fold, key], "full_outer")
     wrong = both.groupBy(fold).agg(F.count(F.when(F.col("_e").isNull() | F.col("_o").isNull(), 1)).alias("n_mismatch"))
-    return both.filter("_e = 1").join(F.broadcast(wrong), fold).withColumn("fold_accepted", F.col("n_mismatch") == 0).drop("_e", "_o")
+    return both.filter("_e = 1").join(wrong, fold).withColumn("fold_accepted", F.col("n_mismatch") == 0).drop("_e", "_o")
 
 
 def join_explanations(pred: DataFrame, expl: DataFrame, payload: list[str]) -> DataFrame:

@@ -45,25 +45,36 @@ def family_rows(pred: DataFrame) -> DataFrame:
     The list of families is the number of distinct tokens, not of rows.
     """
     rows = test_rows(pred)
-    attack = rows.filter(F.col("label") == ATTACK).withColumn("family", F.explode(F.array_distinct(family_tokens("attack_family"))))
+    attack = family_positives(rows)
     names = attack.agg(F.array_sort(F.collect_set("family")).alias("families"))
     benign = attach(rows.filter(F.col("label") == BENIGN), names, []).withColumn("family", F.explode("families"))
     return attack.unionByName(benign.drop("families"))
 
 
+def family_positives(rows: DataFrame) -> DataFrame:
+    attack = rows.filter(F.col("label") == ATTACK)
+    return attack.withColumn("family", F.explode(F.array_distinct(family_tokens("attack_family"))))
+
+
 def per_family(pred: DataFrame, window_seconds: float = 30.0) -> DataFrame:
-    """Family against benign windows at the operating point, ordered by F1 then name."""
-    rows = family_rows(pred)
-    out = metrics.confusion(rows, by=["family"])
-    rank = metrics.ranking(rows, by=["family"]).drop("n_positive", "n_negative")
-    pos = F.col("y") == 1
-    own = rows.groupBy("family").agg(
-        F.avg(F.when(pos, F.col("anomaly_score"))).alias("mean_anomaly_score"),
-        F.avg(F.when(pos, F.col("detection_delay_steps"))).alias("mean_detection_delay_steps"),
-        F.avg(F.when(pos, F.col("alert_raised").cast("double"))).alias("family_alert_rate"),
-        F.count(F.when(pos, 1)).alias("n_scored_family"),
+    """Family against benign windows at the operating point, ordered by F1 then name.
+
+    The benign rows are the same for every family: they are counted and ranked once.
+    """
+    rows = test_rows(pred)
+    pos, neg = family_positives(rows), rows.filter(F.col("label") == BENIGN)
+    called = F.col("p") == 1
+    mine = pos.groupBy("family").agg(F.count(F.when(~called, 1)).alias("fn"), F.count(F.when(called, 1)).alias("tp"))
+    theirs = neg.agg(F.count(F.when(~called, 1)).alias("tn"), F.count(F.when(called, 1)).alias("fp"))
+    out = metrics.with_rates(attach(mine, theirs, []))
+    rank = metrics.ranking_against(pos, neg, ["family"]).drop("n_positive", "n_negative")
+    own = pos.groupBy("family").agg(
+        F.avg("anomaly_score").alias("mean_anomaly_score"),
+        F.avg("detection_delay_steps").alias("mean_detection_delay_steps"),
+        F.avg(F.col("alert_raised").cast("double")).alias("family_alert_rate"),
+        F.count(F.lit(1)).alias("n_scored_family"),
     )
-    mid = exact_quantiles(rows.filter(pos), "anomaly_score", {"median_anomaly_score": 0.5}, ["family"]).drop("n_rows")
+    mid = exact_quantiles(pos, "anomaly_score", {"median_anomaly_score": 0.5}, ["family"]).drop("n_rows")
     return (
         out.join(rank, "family")
         .join(own, "family")
@@ -151,13 +162,16 @@ def weighted_mean_auc(strata: DataFrame) -> DataFrame:
 
 def dilution(df: DataFrame, ratio_col: str, cuts=(0.0, 0.05, 0.2, 0.5, 0.8), minimum: int = 20) -> DataFrame:
     """ROC-AUC of attacks with at least a given attack share against all benign rows."""
-    each = df.withColumn("min_ratio", F.explode(F.array(*[F.lit(float(c)) for c in cuts])))
-    kept = each.filter((F.col("y") == 0) | (F.col(ratio_col) >= F.col("min_ratio")))
-    return metrics.ranking(kept, by=["min_ratio"]).filter(F.col("n_positive") >= minimum)
+    attack = df.filter(F.col("y") == 1).withColumn("min_ratio", F.explode(F.array(*[F.lit(float(c)) for c in cuts])))
+    kept = attack.filter(F.col(ratio_col) >= F.col("min_ratio"))
+    rank = metrics.ranking_against(kept, df.filter(F.col("y") == 0), ["min_ratio"])
+    return rank.filter(F.col("n_positive") >= minimum)
 
 
-def family_auc(df: DataFrame, minimum: int = 20) -> DataFrame:
-    return metrics.ranking(family_rows(df), by=["family"]).filter(F.col("n_positive") >= minimum)
+def family_auc(pred: DataFrame, minimum: int = 20) -> DataFrame:
+    rows = test_rows(pred)
+    rank = metrics.ranking_against(family_positives(rows), rows.filter(F.col("label") == BENIGN), ["family"])
+    return rank.filter(F.col("n_positive") >= minimum)
 
 
 def shift_auc(old_benign: DataFrame, new_benign: DataFrame, score: str = "anomaly_score") -> DataFrame:
