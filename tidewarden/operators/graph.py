@@ -26,7 +26,7 @@ def build_nodes(flows: DataFrame, width: int, key: str = "snapshot") -> DataFram
     ends = flows.select(key, "edge_attr", F.explode(F.array("src", "dst")).alias("node_id"))
     means = F.array(*[F.avg(e) for e in elements("edge_attr", width)])
     hosts = ends.groupBy(key, "node_id").agg(means.alias("x"), F.count(F.lit(1)).alias("n_flows"))
-    return positions(hosts, [key], ["node_id"], "node_idx")
+    return positions(hosts, [key], ["node_id"], "node_idx", bound=ends)
 
 
 def build_edges(flows: DataFrame, nodes: DataFrame, key: str = "snapshot") -> DataFrame:
@@ -195,8 +195,9 @@ def node_importance(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Data
     """Attention that arrives at each host as a share of its snapshot; uniform if there is none."""
     received = edges.groupBy(*keys, F.col("dst").alias("node_id")).agg(F.sum("edge_attention").alias("w"))
     rows = nodes.join(received, [*keys, "node_id"], "left").na.fill(0.0, ["w"])
-    total = rows.groupBy(*keys).agg(F.sum("w").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(total, keys)
+    count = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = edges.groupBy(*keys).agg(F.sum("edge_attention").alias("_t"))
+    rows = rows.join(count.join(total, keys, "left"), keys)
     share = F.when(F.col("_t") > 0, F.col("w") / F.col("_t")).otherwise(1.0 / F.col("_n"))
     return rows.withColumn("attention", share).drop("w", "_t", "_n")
 

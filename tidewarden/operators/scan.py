@@ -25,14 +25,20 @@ def _directed(order: list[str], descending: bool) -> list[Column]:
 
 
 def ordered_chunks(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "chunks", descending: bool = False
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    name: str = "chunks",
+    descending: bool = False,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ready for ``scan``: unchanged if no key is large, else cut into chunks.
 
     Range bounds come from a sample, so a second run could cut elsewhere; writing the table
-    fixes the cut for all later passes.
+    fixes the cut for all later passes. ``bound`` may name a cheaper table with at least as many
+    rows per key, for the size check.
     """
-    if largest_key(df, keys) <= ONE_TASK_ROWS:
+    if largest_key(df if bound is None else bound, keys) <= ONE_TASK_ROWS:
         return df
     spec = [F.col(k) for k in keys] + _directed(order, descending)
     return written(df.repartitionByRange(*spec).withColumn(CHUNK, F.spark_partition_id()), name)
@@ -99,9 +105,11 @@ def scan(
     return out.select(*keep, *[c.alias(o) for o, c in result.items()])
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "position") -> DataFrame:
+def positions(
+    df: DataFrame, keys: list[str], order: list[str], out: str = "position", bound: DataFrame | None = None
+) -> DataFrame:
     """Dense 0-based position within the keys."""
-    chunks = ordered_chunks(df, keys, order, "positions")
+    chunks = ordered_chunks(df, keys, order, "positions", bound=bound)
     ranked = scan(chunks, keys, order, sums={out: F.lit(1).cast("bigint")})
     return ranked.withColumn(out, F.col(out) - 1).drop(CHUNK)
 

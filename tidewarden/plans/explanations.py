@@ -33,9 +33,16 @@ def ranked(rows: DataFrame, keys: list[str], weight: str, tie, k: int) -> DataFr
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def alert_hosts(alerts: DataFrame, importance: DataFrame, steps: int = graph.STEPS) -> DataFrame:
-    """Mean attention per host over an alert's snapshots (0 where the host is absent)."""
+def alert_hosts(alerts: DataFrame, nodes: DataFrame, edges: DataFrame, steps: int = graph.STEPS) -> DataFrame:
+    """Mean attention per host over an alert's snapshots (0 where the host is absent).
+
+    Only the snapshots of the alerts are weighed.
+    """
     spans = alerts.select("sequence", F.explode(F.sequence("sequence", F.col("sequence") + (steps - 1))).alias("snapshot"))
+    used = spans.select("snapshot").distinct()
+    importance = graph.node_importance(
+        nodes.join(used, "snapshot", "left_semi"), edges.join(used, "snapshot", "left_semi"), ["snapshot"]
+    )
     rows = importance.select("snapshot", "node_id", "attention").join(spans, "snapshot")
     return rows.groupBy("sequence", "node_id").agg((F.sum("attention") / steps).alias("attention"))
 

@@ -9,7 +9,7 @@ from tidewarden.operators import graph, knn
 from tidewarden.plans import explanations as ex
 from tidewarden.queries import base
 from tidewarden.queries.base import b, query, r6, u
-from tidewarden.queries.graphs import IMPORTANCE, MID, RAW, SIZES, WIDTH, flows, importance, nodes, raw_vectors, sequence_table
+from tidewarden.queries.graphs import IMPORTANCE, MID, RAW, SIZES, WIDTH, flows, nodes, raw_vectors, sequence_table
 from tidewarden.sources.views import FEATURES
 
 TOP = 3
@@ -29,10 +29,13 @@ ALERTS = IMPORTANCE + ALERTS.split("nodes AS (SELECT *, row_number() OVER (PARTI
 
 
 def sequence_memory(spark, sf):
-    rows = raw_vectors(spark, sf).join(sequence_table(spark, sf).select("sequence", "label"), "sequence")
-    old = rows.filter((F.col("sequence") < MID) & (F.col("label") == "benign"))
-    # a few sequences; the sequence number is the entry's index
-    return old.select(F.col("sequence").alias("memory_index"), l2_normalise("embedding").alias("embedding"))
+    def build():
+        rows = raw_vectors(spark, sf).join(sequence_table(spark, sf).select("sequence", "label"), "sequence")
+        old = rows.filter((F.col("sequence") < MID) & (F.col("label") == "benign"))
+        # a few sequences; the sequence number is the entry's index
+        return old.select(F.col("sequence").alias("memory_index"), l2_normalise("embedding").alias("embedding"))
+
+    return base.shared(spark, sf, "sequence_memory", build)
 
 
 def alerts(spark, sf):
@@ -46,7 +49,8 @@ def alerts(spark, sf):
 
 
 def hosts(spark, sf):
-    return base.shared(spark, sf, "alert_hosts", lambda: ex.alert_hosts(alerts(spark, sf), importance(spark, sf)))
+    weighted = graph.surrogate_attention(flows(spark, sf))
+    return base.shared(spark, sf, "alert_hosts", lambda: ex.alert_hosts(alerts(spark, sf), nodes(spark, sf), weighted))
 
 
 def explanations(spark, sf):
