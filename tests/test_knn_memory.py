@@ -143,12 +143,12 @@ def sequential(m, z, capacity):
     return m, actions
 
 
-@pytest.mark.parametrize("batch_rows", [3, 11, 4096])
-def test_adaptation_equals_the_sequential_fold(spark, batch_rows):
+@pytest.mark.parametrize("batch_rows,look_ahead", [(3, 5), (11, 1000), (4096, 20)])
+def test_adaptation_equals_the_sequential_fold(spark, batch_rows, look_ahead):
     rng = np.random.default_rng(8)
     m, z = rng.normal(size=(10, 4)), rng.normal(size=(90, 4))
     z[::7] = m[3] + 0.01 * rng.normal(size=(len(z[::7]), 4))
-    new, actions = memory.adapt(bank_of(spark, m), table(spark, z), ["timestamp", "sample_id"], 14, batch_rows)
+    new, actions = memory.adapt(bank_of(spark, m), table(spark, z), ["timestamp", "sample_id"], 14, batch_rows, look_ahead)
     want_m, want = sequential(m, z, 14)
     got = actions.orderBy("offer").collect()
     assert [r["action"] for r in got] == want

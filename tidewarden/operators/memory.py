@@ -15,7 +15,7 @@ from tidewarden.functions.values import ATTACK, BENIGN
 from tidewarden.functions.vectors import l2_normalise
 from tidewarden.operators.knn import bounded_matrix, knn, matrix_of, unit_rows
 from tidewarden.operators.scan import positions
-from tidewarden.session import written
+from tidewarden.session import scratch_path, written
 
 MEMORY_COLUMNS = ["memory_index", "sample_id", "dataset_id", "window_id", "insert_stage", "version", "embedding"]
 CAPACITY = 1024
@@ -166,7 +166,12 @@ def _fold(rows: np.ndarray, capacity: int, vectors: np.ndarray) -> tuple[np.ndar
 
 
 def adapt(
-    memory: DataFrame, candidates: DataFrame, order: list[str], capacity: int = CAPACITY, batch_rows: int = 4096
+    memory: DataFrame,
+    candidates: DataFrame,
+    order: list[str],
+    capacity: int = CAPACITY,
+    batch_rows: int = 4096,
+    look_ahead: int = 65_536,
 ) -> tuple[DataFrame, DataFrame]:
     """Offer gate-passed candidates to the memory in order; returns (new memory, action per candidate).
 
@@ -175,17 +180,21 @@ def adapt(
     similar is dropped as long as such an entry stays. Each round marks the other candidates
     ("suspects") on the executors, folds the next batch of suspects, and then checks on the
     executors which earlier unmarked candidate lost all its similar entries to replacements. The
-    fold is kept up to the first such candidate and the next round starts there.
+    fold is kept up to the first such candidate and the next round starts there. A round looks at a
+    stretch of candidates that doubles while suspects are rare, so a candidate is scored a few
+    times, not once per round.
     """
     spark = memory.sparkSession
-    ids, rows = bounded_matrix(memory, "memory_index", "embedding")
+    _, rows = bounded_matrix(memory, "memory_index", "embedding")
     rows = unit_rows(rows)
     names = {
         r["memory_index"]: (r["sample_id"], r["dataset_id"], r["window_id"], r["insert_stage"], r["version"])
         for r in memory.drop("embedding").collect()
     }
     offered = candidates.select(*dict.fromkeys([*order, "sample_id", "dataset_id", "window_id"]), l2_normalise("embedding").alias("embedding"))
-    queue = written(positions(offered, [], order, "offer"), "candidates")
+    # sorted by offer, so that a stretch reads only its own row groups
+    placed = positions(offered, [], order, "offer")
+    queue = written(placed.repartitionByRange("offer").sortWithinPartitions("offer"), "candidates")
     total = queue.count()
     taken = T.StructType(
         [
@@ -194,10 +203,12 @@ def adapt(
             T.StructField("replaced_index", T.LongType()),
         ]
     )
-    accepted: list[DataFrame] = []
+    version = max([v[4] or 0 for v in names.values()] + [0]) + total
+    log_path, logged = scratch_path(spark, "accepted"), False
     start = 0
     while start < total:
-        rest = queue.filter(F.col("offer") >= start)
+        upto = min(total, start + look_ahead)
+        rest = queue.filter((F.col("offer") >= start) & (F.col("offer") < upto))
         if len(rows) < capacity:
             suspects = rest
             limit = math.inf
@@ -205,10 +216,13 @@ def adapt(
             limit = float(_best_peer(rows).max())
             suspects = nearest_similarity(rest, rows).filter(F.col("similarity") < limit + 1e-12)
         head = suspects.orderBy("offer").limit(batch_rows).toArrow()
+        if head.num_rows < batch_rows:
+            look_ahead *= 2
         if not head.num_rows:
-            break
+            start = upto
+            continue
         offers = head["offer"].to_numpy()
-        end = int(offers[-1]) + 1 if head.num_rows == batch_rows else total
+        end = int(offers[-1]) + 1 if head.num_rows == batch_rows else upto
         vectors = unit_rows(matrix_of(head["embedding"]))
         stop = end
         if math.isfinite(limit):
@@ -228,9 +242,9 @@ def adapt(
             done.append((int(o), step[0], int(step[1])))
             names[int(step[1])] = (meta["sample_id"], meta["dataset_id"], meta["window_id"], "online_update", None)
         if done:
-            accepted.append(written(spark.createDataFrame(done, taken), "accepted"))
+            spark.createDataFrame(done, taken).coalesce(1).write.mode("append").parquet(log_path)
+            logged = True
         start = stop
-    version = max([v[4] or 0 for v in names.values()] + [0]) + total
     final = [
         (int(i), *names[i][:4], int(names[i][4] if names[i][4] is not None else version), [float(v) for v in rows[i]])
         for i in range(len(rows))
@@ -246,9 +260,7 @@ def adapt(
             T.StructField("embedding", T.ArrayType(T.DoubleType())),
         ]
     )
-    log = spark.createDataFrame([], taken)
-    for part in accepted:
-        log = log.unionByName(part)
+    log = spark.read.schema(taken).parquet(log_path) if logged else spark.createDataFrame([], taken)
     actions = (
         queue.drop("embedding")
         .join(log, "offer", "left")

@@ -288,7 +288,11 @@ def a41(spark, sf):
     return spread.pair_diagnostics(paired(spark, sf)).select(*r6("pos_cos", "neg_cos", "spread", "z_norm"))
 
 
-@query("e16_two_view_comparison")
+@query(
+    "e16_two_view_comparison",
+    f"""SELECT a.top1, d.pos_cos, d.neg_cos, l.loss AS loss_32, l.chance AS chance_32, m.loss AS loss_4, m.chance AS chance_4
+FROM ({base.ORACLES['j13_retrieval_top1']}) a, ({base.ORACLES['a41_pair_diagnostics']}) d, ({LOSS.format(n=32)}) l, ({LOSS.format(n=4)}) m""",
+)
 def e16(spark, sf):
     p = paired(spark, sf)
     one = attach(spread.retrieval_top1(p, "vec_id"), spread.pair_diagnostics(p), [])

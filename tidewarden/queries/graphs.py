@@ -473,3 +473,36 @@ def s7(spark, sf):
     gio.write_json(order_graphs(spark, sf, "second").filter(F.col("sample_id").cast("long") % 2 == 0), path + "/b")
     both = gio.read_json(spark, path + "/a").unionByName(gio.read_json(spark, path + "/b"))
     return gio.bare_keys(gio.merge_files(both)).select("dataset_id", "sample_id")
+
+
+@query(
+    "ue1_batch_encoder",
+    f"WITH {RAW}, un AS (SELECT sequence, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS e FROM raw) SELECT sequence::INT AS sequence, round(list_sum(e), 6) AS built_in_sum, round(list_max(e) * 2, 6) AS plugged_in_max FROM un",
+)
+def ue1(spark, sf):
+    """The built-in encoder, and a plugged-in one that doubles its unit vector in pandas batches."""
+    from tidewarden.functions.vectors import total
+    from tidewarden.operators.encode import encode, raw_statistics_encoder
+
+    unit = raw_statistics_encoder(raw_vectors(spark, sf))
+
+    def double(batches):
+        for pdf in batches:
+            yield pdf[["sequence"]].assign(embedding=pdf["embedding"].map(lambda v: [2.0 * x for x in v]))
+
+    plugged = encode(unit, double, ["sequence"]).select("sequence", F.round(F.array_max("embedding"), 6).alias("plugged_in_max"))
+    built = unit.select("sequence", F.round(total(F.col("embedding")), 6).alias("built_in_sum"))
+    return built.join(plugged, "sequence")
+
+
+@query(
+    "ue2_edge_attention",
+    f"WITH {FLOWS} SELECT snapshot, round(sum(list_sum(list_transform(ea, lambda x: abs(x)))), 4) AS surrogate, round(sum(CASE WHEN edge_y = 1 THEN 1.5 ELSE list_sum(list_transform(ea, lambda x: abs(x))) END), 4) AS provided FROM fl GROUP BY 1",
+)
+def ue2(spark, sf):
+    """Edge weights from a given column where it has a value, else the surrogate."""
+    rows = flows(spark, sf)
+    plain = graph.surrogate_attention(rows).groupBy("snapshot").agg(F.round(F.sum("edge_attention"), 4).alias("surrogate"))
+    given = rows.withColumn("edge_attention", F.when(F.col("edge_y") == 1, 1.5))
+    mixed = graph.surrogate_attention(given).groupBy("snapshot").agg(F.round(F.sum("edge_attention"), 4).alias("provided"))
+    return plain.join(mixed, "snapshot")

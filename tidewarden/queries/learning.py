@@ -13,7 +13,8 @@ from tidewarden.plans import evaluation as ev
 from tidewarden.queries import base
 from tidewarden.queries.base import PRED, SCORES, TAU, b, poisson, query, r6, u
 from tidewarden.queries.graphs import WIDTH, edges, flows, nodes
-from tidewarden.queries.ranking import PAIRS
+from tidewarden.queries.ranking import AUC, PAIRS, curve_sql
+from tidewarden.queries.scoring import EUCLID
 from tidewarden.sources import views
 
 WINDOW_S = 86400
@@ -251,7 +252,16 @@ def e11(spark, sf):
     return out
 
 
-@query("e12_signal_diagnosis")
+@query(
+    "e12_signal_diagnosis",
+    f"""{EUCLID}, near5 AS (SELECT q.sample_id, round(1 - greatest(-1, least(1, list_dot_product(q.e, m.e))), 9) AS d, row_number() OVER (PARTITION BY q.sample_id ORDER BY round(1 - greatest(-1, least(1, list_dot_product(q.e, m.e))), 9)) AS rk
+ FROM rec q CROSS JOIN zm m WHERE q.split = 'test' AND m.rn <= 1024),
+both_s AS (SELECT 'cosine' AS scorer, sample_id, round(avg(d), 9) AS s FROM near5 WHERE rk <= 5 GROUP BY 2 UNION ALL SELECT 'euclidean', sample_id, round(avg(d), 9) FROM zk WHERE rk <= 5 GROUP BY 2),
+ct AS (SELECT unnest([0.0, 0.05, 0.2, 0.5, 0.8])::DOUBLE AS min_ratio),
+dl AS (SELECT scorer, min_ratio, s, (label = 'attack')::INT AS y FROM both_s JOIN rec USING (sample_id), ct WHERE label = 'benign' OR {u(3, 'sample_id')} >= min_ratio)
+{curve_sql('dl', by='scorer, min_ratio')}
+SELECT scorer, min_ratio, max(np)::BIGINT AS n_positive, round({AUC}, 6) AS roc_auc FROM cv GROUP BY 1, 2 HAVING max(np) >= 20""",
+)
 def e12(spark, sf):
     """Attack share dilution for the cosine and the standardised Euclidean scorer."""
     bank = base.bank(spark, sf)

@@ -66,7 +66,11 @@ def t2(spark, sf):
     )
 
 
-@query("t3_gated_memory_update")
+@query(
+    "t3_gated_memory_update",
+    f"""WITH {TAU}, acc AS (SELECT count(*) AS n FROM scores, thr WHERE split = 'online_benign' AND s <= aware AND 1 / (1 + exp(-(s - aware) / (abs(scale) + 1e-12))) <= 0.25), m AS (SELECT count(*) AS n FROM mem)
+SELECT 'before' AS bank, 'offline_fit' AS insert_stage, n::BIGINT AS n FROM m UNION ALL SELECT 'after', 'offline_fit', n FROM m UNION ALL SELECT 'after', 'online_update', n FROM acc WHERE n > 0""",
+)
 def t3(spark, sf):
     """Online benign rows folded into the next memory version; entries per version and stage."""
     cal = base.scores(spark, sf).filter("split = 'calibration_benign'")
