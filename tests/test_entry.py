@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 
 
 def test_registry():
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    queries, oracles = entry.registry.QUERIES, entry.registry.ORACLES
     assert set(oracles) <= set(queries)
     assert len(queries) > 150 and len(oracles) > 130
     assert not [n for n in queries if re.match(r"op\d+_", n) or "pipeline" in n]
