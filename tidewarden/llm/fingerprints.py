@@ -24,6 +24,7 @@ from tidewarden.session import written
 K = 64
 SHINGLE = 5
 RANGE = float(2**64)
+NO_ID = -(2**63)  # stands for a null doc_id inside the joins
 
 
 def sketch(text: Column, k: int = K, size: int = SHINGLE) -> Column:
@@ -117,9 +118,9 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     travel to the document before.
     """
     text = F.coalesce("text", F.lit(""))
+    # both joins below need these columns and no others, so that one exchange serves them
     rows = docs.select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(text).alias("hash"),
         text.alias("text"),
     )
@@ -147,7 +148,9 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
         F.substring("text", F.lit(1), F.col("need")).alias("lead"),
         F.col("sketch").alias("next_sketch"),
     )
-    return sketched.hint("merge").join(leads, ["id", "hash"]).select("doc_id", "text", "sketch", "lead", "next_sketch")
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
+    joined = sketched.hint("merge").join(leads, ["id", "hash"])
+    return joined.select(doc_id.alias("doc_id"), "text", "sketch", "lead", "next_sketch")
 
 
 def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
