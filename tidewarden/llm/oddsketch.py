@@ -41,6 +41,7 @@ THRESHOLD = 80  # per cent
 BANDS, ROWS = 40, 5
 BITS = 1024
 DOUBT = 0.62  # estimates have a spread of about 0.03 at the threshold; five of them are left
+LEAST_SHARED = 2  # bands
 CHUNK = 64  # members that share one copy of their centre's text
 SEED = 6
 BROADCAST_IDS = 1_000_000
@@ -271,8 +272,7 @@ def open_links(
         ),
         "members",
     )
-    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = written(members.join(several.select("key").hint("merge"), "key").select("key", "rep", "component", "step"), "open")
+    rows = written(peeled(members.select("key", "rep", "component", "step")), "open")
     # a link spans at most 0.2 of distance and a sketch errs by less than 0.1: four steps of 0.1 each
     # way. Members of one component meet as one row first, so a large component isn't paired with itself
     span = -(-(100 - threshold) // 10) + 2
@@ -297,6 +297,22 @@ def open_links(
     return confirm(hopeful, texts, threshold, shingle).filter("linked").select("a", "b")
 
 
+def peeled(members: DataFrame, rounds: int = 3) -> DataFrame:
+    """Members of open buckets that share enough of them to be linked.
+
+    All buckets that a linked pair of different components shares are open, and at the threshold it
+    shares 13 of 40 bands, fewer than ``LEAST_SHARED`` with probability 3e-6. So a member of fewer
+    open buckets has no such link; without it some buckets close, and so on, for a few rounds.
+    """
+    for _ in range(rounds):
+        parts = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        held = members.join(parts.filter("low < high").select("key").hint("merge"), "key", "left_semi")
+        held = written(held, "open-members")
+        enough = held.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SHARED).select("rep")
+        members = held.join(enough.hint("merge"), "rep", "left_semi")
+    return members
+
+
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     sketched = written(sketch(docs, shingle), "sketches")
