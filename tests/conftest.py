@@ -28,14 +28,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["plain", "chunked"])
-def way(request, spark, monkeypatch):
-    """Run a test with plain windows and with the range-chunked scan over several chunks."""
-    from tidewarden.operators import scan
-
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    if request.param == "chunked":
-        monkeypatch.setattr(scan, "ONE_TASK_ROWS", 0)
-        spark.conf.set(name, "false")  # small chunks would be merged into one
+@pytest.fixture(params=[1, 50])
+def way(request, spark):
+    """Run a test with one partition and with many that are not merged, so that scans cut rows into chunks."""
+    conf = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     yield request.param
-    spark.conf.unset(name)
+    for k, v in before.items():
+        spark.conf.set(k, v)

@@ -126,3 +126,32 @@ def test_metadata_completeness(spark):
     assert alerts.stream_metadata_complete(df)
     assert not alerts.stream_metadata_complete(df.withColumn("episode_id", F.lit(" ")))
     assert not alerts.stream_metadata_complete(df.drop("stream_id"))
+
+
+@pytest.mark.parametrize("length", [1, 2])
+def test_repeated_positions_are_late(spark, length):
+    rows = [("s", 0, True), ("s", 1, True), ("s", 1, False), ("s", 1, True), ("s", 2, True)]
+    batch = spark.createDataFrame(rows, "stream_id string, stream_pos bigint, is_anomaly boolean")
+    out, state = live.continue_streaks(batch, spark.createDataFrame([], live.CARRY), length)
+    got = sorted((r["stream_pos"], r["late"], r["consecutive_anomalies"]) for r in out.collect() if not r["late"])
+    assert got == [(0, False, 1), (1, False, 2), (2, False, 3)]
+    assert out.filter("late").count() == 2 and state.first()["consecutive_anomalies"] == 3
+
+
+def test_debounce_ablation_counts_alerts_as_streaks_do(spark, streams):
+    labelled = spark.createDataFrame(streams).withColumns(
+        {
+            "label": F.when(F.col("stream_pos") % 5 < 2, "attack").otherwise("benign"),
+            "episode_id": F.when(F.col("stream_pos") % 5 < 2, F.concat(F.lit("A#"), (F.col("stream_pos") / 5).cast("int"))).otherwise("benign"),
+        }
+    )
+    from tidewarden.plans.ablation import debounce_ablation
+
+    got = {r["debounce"]: r for r in debounce_ablation(alerts.verify_alerts(labelled, 2)).collect()}
+    for length in (1, 2, 3, 4):
+        rows = alerts.verify_alerts(labelled, length)
+        one = alerts.episode_metrics(rows).first()
+        assert got[length]["n_alerts"] == rows.filter("alert_raised").count()
+        assert got[length]["alert_tp"] == rows.filter("confirmed_alert and label = 'attack'").count()
+        for c in ("n_episodes", "n_true_alerts", "n_false_alerts", "mean_detection_delay_steps"):
+            assert got[length][c] == pytest.approx(one[c])

@@ -50,7 +50,7 @@ def test_edge_mask_zeroes_rows(spark, small):
 
 def test_raw_statistics_equal_numpy(small):
     df, nodes, _ = small
-    m = graph.raw_statistics(graph.moments(nodes, "x", 2, ["snapshot"]), graph.moments(df, "edge_attr", 2, ["snapshot"]), ["snapshot"])
+    m = graph.raw_statistics(graph.moments(nodes, "x", 2, ["snapshot"]), graph.moments(df, "edge_attr", 2, ["snapshot"]), ["snapshot"], 2)
     got = {r["snapshot"]: r["embedding"] for r in m.collect()}
     e = np.array([[1.0, 0.2], [3.0, 0.1], [2.0, 0.9]])
     x = np.array([[1.5, 0.55], [2.0, 0.15], [2.5, 0.5]])

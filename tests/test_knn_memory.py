@@ -73,14 +73,14 @@ def test_probing_recall_on_clusters(spark):
     centres = unit_rows(rng.normal(size=(12, 16)))
     m = unit_rows(np.repeat(centres, 20, axis=0) + 0.05 * rng.normal(size=(240, 16)))
     q = unit_rows(np.repeat(centres, 5, axis=0) + 0.05 * rng.normal(size=(60, 16)))
-    exact, near = (f(table(spark, q), bank_of(spark, m), 5) for f in (knn.knn, lambda *a: knn.probed_knn(*a, cells=12, probes=2)))
+    exact, near = (f(table(spark, q), bank_of(spark, m), 5) for f in (knn.knn, lambda *a: knn.probed_knn(*a, ["sample_id"], cells=12, probes=2)))
     r = knn.recall_report(exact, near, ["sample_id"], 5, 240).first()
     assert r["recall_at_k"] >= 0.9 and r["candidate_share"] < 0.4
 
 
 def test_one_bucket_equals_the_sequential_choice(spark, data):
     x, _ = data
-    held = memory.k_centre(table(spark, x), 15).orderBy("memory_index").collect()
+    held = memory.k_centre(table(spark, x), 15, buckets=1).orderBy("memory_index").collect()
     start = int(held[0]["sample_id"][1:])
     z = unit_rows(x)
     chosen, near = [start], z @ z[start]
@@ -96,8 +96,8 @@ def test_core_set_rounds_cover_the_rows(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 8))
     rows = table(spark, x)
-    one = memory.covering_radius(rows, memory.k_centre(rows, 10)).first()["radius"]
-    many = memory.k_centre(rows, 10, bucket_rows=40)
+    one = memory.covering_radius(rows, memory.k_centre(rows, 10, buckets=1)).first()["radius"]
+    many = memory.k_centre(rows, 10, buckets=20)
     assert many.count() == 10 and many.select("sample_id").distinct().count() == 10
     assert memory.covering_radius(rows, many).first()["radius"] <= 2 * one
 

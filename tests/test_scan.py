@@ -18,7 +18,7 @@ def rows(spark):
 def test_scan_equals_pandas(rows, way):
     pdf, df = rows
     chunks = scan.ordered_chunks(df, ["k"], ["t"])
-    if way == "chunked":
+    if way > 1:
         assert chunks.select(scan.CHUNK).distinct().count() > 1
         assert chunks.filter("k = 'hot'").select(scan.CHUNK).distinct().count() > 1
     got = scan.scan(
@@ -57,3 +57,16 @@ def test_exact_quantiles_by_group(rows, way):
 def test_mean_rank_averages_ties(spark, way):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double")
     assert {r["v"]: r["rank"] for r in scan.mean_rank(df, "v").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
+
+
+def test_null_keys_are_keys(spark, way):
+    rows = [(None if i % 2 else "a", i, i % 7 / 2.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(5)
+    got = scan.positions(df, ["k"], ["t"]).toPandas()
+    assert (got["position"] == got["t"] // 2).all()
+    q = {r["k"]: r for r in scan.exact_quantiles(df, "v", {"m": 0.5}, ["k"]).collect()}
+    for k in (None, "a"):
+        want = [v for x, _, v in rows if x == k]
+        assert q[k]["n_rows"] == 100 and q[k]["m"] == np.median(want)
+    both = scan.attach(df, df.groupBy("k").agg(F.sum("t").alias("total")), ["k"])
+    assert {r["k"]: r["total"] for r in both.collect()} == {None: sum(range(1, 200, 2)), "a": sum(range(0, 200, 2))}

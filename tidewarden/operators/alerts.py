@@ -11,6 +11,7 @@ from tidewarden.operators.scan import CHUNK, ordered_chunks, scan
 from tidewarden.session import written
 
 STREAM = ["stream_id"]
+BROADCAST_STREAMS = 100_000
 
 
 def stream_metadata_complete(df: DataFrame) -> bool:
@@ -41,15 +42,17 @@ def assign_streams(df: DataFrame, row_ordinal: str | None = None) -> DataFrame:
             "stream_id": F.concat_ws(":", "dataset_id", "split"),
         }
     )
-    known = rows.groupBy("stream_id").agg(
+    known = written(rows.groupBy("stream_id").agg(
         F.count(F.when(F.col("_t").isNull() | F.isnan("_t"), 1)).alias("no_t"),
         F.count(F.when(F.col("_i").isNull(), 1)).alias("no_i"),
         F.count(F.when(F.col("_r").isNull(), 1)).alias("no_r"),
-    )
+    ), "stream-orders")
     lost = known.filter("no_t > 0 and no_i > 0 and no_r > 0").count()
     if lost:
         raise ContractError(f"{lost} streams have no complete order column; readers must attach a row ordinal")
-    rows = rows.join(known, "stream_id")
+    # usually a handful of streams, each with a large part of the rows
+    few = known.count() <= BROADCAST_STREAMS
+    rows = rows.join(F.broadcast(known) if few else known, "stream_id")
     first = F.when(F.col("no_t") == 0, F.col("_t")).when(F.col("no_i") == 0, F.col("_i")).otherwise(F.col("_r"))
     rows = rows.withColumns({"_o1": first, "_o2": F.coalesce("_i", "_r", F.lit(0.0)), "_o3": F.col("sample_id")})
     order = ["_o1", "_o2", "_o3"]
@@ -118,12 +121,24 @@ def verify_alerts(df: DataFrame, debounce: int = 3, window_seconds: float = 30.0
     delay = F.greatest(F.lit(0), F.col("_confirmed") - F.col("_first")).cast("double")
     found = episodes.select("stream_id", "episode_id", delay.alias("detection_delay_steps"))
     return (
-        rows.join(found, ["stream_id", "episode_id"], "left")
+        beside_benign(rows, found, ["stream_id", "episode_id"])
         .withColumn("episode_detected", F.col("detection_delay_steps").isNotNull())
         .withColumn("detection_delay_seconds", F.col("detection_delay_steps") * float(window_seconds))
     )
 
 
+def beside_benign(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with their episode's ``detection_delay_steps``.
+
+    Benign rows, nearly all of a stream, share one episode id; they have no delay and stay out of
+    the join.
+    """
+    benign = F.coalesce("episode_id", F.lit("benign")) == "benign"
+    joined = rows.filter(~benign).join(found, by, "left")
+    rest = rows.filter(benign).withColumn("detection_delay_steps", F.lit(None).cast("double"))
+    return joined.unionByName(rest)
+
+
 def episode_metrics(df: DataFrame, window_seconds: float = 30.0, by: list[str] | None = None) -> DataFrame:
     """Alert-level counts, rates and delays; an episode is (stream, episode id)."""
     from tidewarden.operators.scan import attach, exact_quantiles

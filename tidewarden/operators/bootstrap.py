@@ -1,62 +1,171 @@
 """Poisson bootstrap: every row gets a weight per replicate from a hash of its id.
 
 Weights depend only on (seed, replicate, id), so methods compared on the same rows share their
-resamples, and no replicate table is ever stored.
+resamples. For ranking metrics rows are never multiplied by replicates: they are cut into chunks by
+score, a row carries its weights as one small array, and a chunk returns sums per replicate. The
+counts of all higher chunks are carried into the ranking, as in ``operators/scan.py``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.hashing import md5_uniform, poisson1
 from tidewarden.operators import metrics
-from tidewarden.operators.scan import attach, exact_quantiles
+from tidewarden.operators.alerts import ratio
+from tidewarden.operators.scan import CHUNK, attach, exact_quantiles, null_safe, ordered_chunks
+from tidewarden.session import written
+
+CELLS = ["tn", "fp", "fn", "tp", "pos", "neg"]
+BLOCK = 64  # replicates whose running counts are held at once
+
+
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def replicates(df: DataFrame, key, n_boot: int = 200, seed: int = 0) -> DataFrame:
     """Rows times replicates with their weight; the callers sum weights before any shuffle."""
-    keys = [key] if isinstance(key, str) else list(key)
     each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    weight = poisson1(md5_uniform(seed, "replicate", *keys))
+    weight = poisson1(md5_uniform(seed, "replicate", *_keys(key)))
     return each.withColumn("w", weight.cast("bigint"))
 
 
-def interval(values: DataFrame, value: str, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+def weight_array(key, n_boot: int, seed: int) -> Column:
+    numbers = F.sequence(F.lit(0), F.lit(n_boot - 1))
+    return F.transform(numbers, lambda r: poisson1(md5_uniform(seed, r, *_keys(key))).cast("tinyint"))
+
+
+def interval(values: DataFrame, value: str, points: DataFrame | None = None, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """Quantiles of the replicates. ``points`` has the statistic of the data itself; without it the point is the replicates' mean."""
     by = by or []
-    q = exact_quantiles(values, value, {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}, by)
-    mean = values.groupBy(*by).agg(F.avg(value).alias("point"))
-    return attach(q, mean, by).withColumnRenamed("n_rows", "n_replicates")
+    q = exact_quantiles(values, value, {"ci_low": alpha / 2, "ci_high": 1 - alpha / 2}, by).withColumnRenamed("n_rows", "n_replicates")
+    if points is None:
+        points = values.groupBy(*by).agg(F.avg(value).alias("point"))
+    # a group whose replicates are all empty has a point and no interval
+    out = attach(points, q, by)
+    return out.withColumn("n_replicates", F.coalesce("n_replicates", F.lit(0).cast("bigint")))
 
 
 def mean_interval(
     df: DataFrame, value: str, key, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, by: list[str] | None = None
 ) -> DataFrame:
-    """Interval of a mean: partial sums per replicate leave each task, not rows."""
+    """Mean of the data with an interval: partial sums per replicate leave each task, not rows.
+
+    Replicates in which every weight is 0 are left out, as are null values.
+    """
     by = by or []
-    rep = replicates(df, key, n_boot, seed).groupBy(*by, "replicate")
-    means = rep.agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("stat"))
-    return interval(means, "stat", alpha, by)
+    rows = df.filter(F.col(value).isNotNull())
+    rep = replicates(rows, key, n_boot, seed).groupBy(*by, "replicate")
+    sums = rep.agg(F.sum(F.col("w") * F.col(value)).alias("top"), F.sum("w").alias("n")).filter("n > 0")
+    means = sums.select(*by, "replicate", (F.col("top") / F.col("n")).alias("stat"))
+    return interval(means, "stat", rows.groupBy(*by).agg(F.avg(value).alias("point")), alpha, by)
 
 
 def median_interval(
     df: DataFrame, value: str, key, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, by: list[str] | None = None
 ) -> DataFrame:
+    """Median of the data with an interval; empty replicates are left out."""
     by = by or []
     rep = replicates(df, key, n_boot, seed)
     med = exact_quantiles(rep, value, {"stat": 0.5}, [*by, "replicate"], weight=F.col("w"))
-    return interval(med, "stat", alpha, by)
+    point = exact_quantiles(df, value, {"point": 0.5}, by).select(*by, "point")
+    return interval(med, "stat", point, alpha, by)
+
+
+def _weights_of(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten()
+    return np.asarray(flat).reshape(rows, -1)
+
+
+def _cell_sums(by: list[str], score: str):
+    """Weights of a chunk's rows, summed per replicate over each cell of the confusion table and over ranked rows."""
+
+    def run(part: pa.Table) -> pa.Table:
+        w = _weights_of(part.column("_w"), len(part))
+        y = np.asarray(part.column("y").combine_chunks().cast(pa.float64()).fill_null(-1))
+        p = np.asarray(part.column("p").combine_chunks().cast(pa.float64()).fill_null(-1))
+        ranked = np.asarray(part.column(score).combine_chunks().is_valid())
+        masks = [(y == 0) & (p == 0), (y == 0) & (p == 1), (y == 1) & (p == 0), (y == 1) & (p == 1), (y == 1) & ranked, (y == 0) & ranked]
+        out = part.select([*by, CHUNK]).slice(0, 1)
+        for name, mask in zip(CELLS, masks):
+            sums = w[mask].sum(0, dtype=np.int64)
+            out = out.append_column(name, pa.array([sums], pa.list_(pa.int64())))
+        return out
+
+    return run
+
+
+def _areas(by: list[str], score: str):
+    """Parts of the areas under a chunk's curves, given the counts of all higher chunks."""
+
+    def run(part: pa.Table, above: pa.Table) -> pa.Table:
+        part = part.filter(part.column(score).is_valid())
+        part = part.sort_by([(score, "descending")])
+        head = above.select([*by, CHUNK]).slice(0, 1)
+        tp0, fp0 = (np.array(above.column(c)[0].as_py()) for c in ("tp0", "fp0"))
+        u, a = np.zeros(len(tp0)), np.zeros(len(tp0))
+        if len(part):
+            w = _weights_of(part.column("_w"), len(part))
+            y = np.asarray(part.column("y").combine_chunks().cast(pa.float64()).fill_null(-1))
+            s = np.asarray(part.column(score).combine_chunks())
+            ties = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            for lo in range(0, len(tp0), BLOCK):
+                block = slice(lo, lo + BLOCK)
+                weights = w[:, block].astype(np.int64)
+                pos = np.add.reduceat(weights * (y == 1)[:, None], ties)
+                neg = np.add.reduceat(weights * (y == 0)[:, None], ties)
+                tp, fp = tp0[block] + np.cumsum(pos, 0), fp0[block] + np.cumsum(neg, 0)
+                u[block] = (neg * (tp - pos / 2.0)).sum(0)
+                a[block] = (pos * tp / np.maximum(tp + fp, 1)).sum(0)
+        return head.append_column("u", pa.array([u], pa.list_(pa.float64()))).append_column("a", pa.array([a], pa.list_(pa.float64())))
+
+    return run
+
+
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def metric_replicates(
-    df: DataFrame, key, n_boot: int = 200, seed: int = 0, by: list[str] | None = None
+    df: DataFrame, key, n_boot: int = 200, seed: int = 0, by: list[str] | None = None, score: str = "anomaly_score"
 ) -> DataFrame:
-    """F1, FPR, ROC-AUC and average precision of each replicate; single-class replicates are left out."""
-    by = [*(by or []), "replicate"]
-    rep = replicates(df, key, n_boot, seed)
-    rank = metrics.ranking(rep, by=by, weight=F.col("w")).drop("n_positive", "n_negative")
-    both = metrics.confusion(rep, by=by, weight=F.col("w")).join(rank, by)
-    return both.filter("metric_validity = 'ok'")
+    """Confusion rates, ROC-AUC and average precision of each replicate; single-class replicates are left out.
+
+    ``df`` has ``y`` and ``p`` besides the score. Chunks are of the size of a shuffle partition.
+    """
+    by = by or []
+    slim = df.select(*dict.fromkeys([*by, score, "y", "p", *_keys(key)]))
+    chunks = ordered_chunks(slim, by, [score], "replicates", descending=True)
+    rows = written(chunks.select(*by, score, "y", "p", CHUNK, weight_array(key, n_boot, seed).alias("_w")), "weights")
+    spot = [*by, CHUNK]
+    held = _schema(rows, spot)
+    lists = ", ".join(f"{c} array<bigint>" for c in CELLS)
+    cells = written(rows.groupBy(*spot).applyInArrow(_cell_sums(by, score), f"{held}, {lists}"), "cells")
+    # one row per chunk and replicate
+    zipped = cells.select(*spot, F.posexplode(F.arrays_zip(*CELLS)).alias("replicate", "c")).select(*spot, "replicate", "c.*")
+    order = Window.partitionBy(*by, "replicate").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = zipped.select(
+        *spot, "replicate",
+        F.coalesce(F.sum("pos").over(order), F.lit(0)).alias("tp0"),
+        F.coalesce(F.sum("neg").over(order), F.lit(0)).alias("fp0"),
+    )
+    per_chunk = F.sort_array(F.collect_list(F.struct("replicate", "tp0", "fp0")))
+    above = carried.groupBy(*spot).agg(per_chunk.alias("c")).select(*spot, F.col("c.tp0").alias("tp0"), F.col("c.fp0").alias("fp0"))
+    parts = rows.groupBy(*spot).cogroup(above.groupBy(*spot)).applyInArrow(_areas(by, score), f"{held}, u array<double>, a array<double>")
+    areas = parts.select(*spot, F.posexplode(F.arrays_zip("u", "a")).alias("replicate", "c")).groupBy(*by, "replicate").agg(
+        F.sum("c.u").alias("_u"), F.sum("c.a").alias("_a")
+    )
+    counts = zipped.groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in CELLS])
+    both = null_safe(metrics.with_rates(counts.drop("pos", "neg")), areas, [*by, "replicate"], "inner")
+    both = null_safe(both, counts.select(*by, "replicate", "pos", "neg"), [*by, "replicate"], "inner")
+    out = both.withColumns(
+        {"roc_auc": ratio(F.col("_u"), F.col("pos") * F.col("neg")), "auprc": ratio(F.col("_a"), F.col("pos"))}
+    )
+    return out.filter("metric_validity = 'ok'").drop("_u", "_a", "pos", "neg")
 
 
 def metric_intervals(
@@ -69,7 +178,7 @@ def metric_intervals(
     long = reps.select(
         *by, "replicate", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("stat")) for n in names])).alias("m")
     ).select(*by, "replicate", "m.metric", "m.stat")
-    return interval(long, "stat", alpha, [*by, "metric"])
+    return interval(long, "stat", None, alpha, [*by, "metric"])
 
 
 def fold_statistics(df: DataFrame, by: list[str], weight=None) -> DataFrame:
@@ -80,13 +189,12 @@ def fold_statistics(df: DataFrame, by: list[str], weight=None) -> DataFrame:
 
 
 def paired_difference(
-    df: DataFrame, method_a: str, method_b: str, key, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, stat: str = "roc_auc"
+    df: DataFrame, method_a: str, method_b: str, key, n_boot: int = 500, seed: int = 0, alpha: float = 0.05, stat: str = "roc_auc"
 ) -> DataFrame:
     """Mean over folds of stat(a) - stat(b) per replicate, both methods on the same resample."""
-    rows = df.filter(F.col("method").isin(method_a, method_b))
-    rep = replicates(rows, key, n_boot, seed)
-    stats = fold_statistics(rep, ["replicate", "fold", "method"], F.col("w"))
+    rows = df.filter(F.col("method").isin(method_a, method_b)).withColumn("p", (F.col("anomaly_score") >= F.col("cut")).cast("int"))
+    stats = metric_replicates(rows, key, n_boot, seed, ["fold", "method"])
     side = lambda m: F.max(F.when(F.col("method") == m, F.col(stat)))
     diff = stats.groupBy("replicate", "fold").agg((side(method_a) - side(method_b)).alias("d"))
     mean = diff.filter(F.col("d").isNotNull()).groupBy("replicate").agg(F.avg("d").alias("stat"))
-    return interval(mean, "stat", alpha)
+    return interval(mean, "stat", None, alpha)

@@ -26,7 +26,7 @@ def build_nodes(flows: DataFrame, width: int, key: str = "snapshot") -> DataFram
     ends = flows.select(key, "edge_attr", F.explode(F.array("src", "dst")).alias("node_id"))
     means = F.array(*[F.avg(e) for e in elements("edge_attr", width)])
     hosts = ends.groupBy(key, "node_id").agg(means.alias("x"), F.count(F.lit(1)).alias("n_flows"))
-    return positions(hosts, [key], ["node_id"], "node_idx", bound=ends)
+    return positions(hosts, [key], ["node_id"], "node_idx")
 
 
 def build_edges(flows: DataFrame, nodes: DataFrame, key: str = "snapshot") -> DataFrame:
@@ -91,25 +91,29 @@ def std_of(m: str = "m") -> Column:
     return F.transform(var, lambda v: F.sqrt(v))
 
 
-def raw_statistics(node_moments: DataFrame, edge_moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Window vector: mean node features, then mean, maximum and sample spread of edge features."""
+def raw_statistics(node_moments: DataFrame, edge_moments: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Window vector: mean node features, then mean, maximum and sample spread of edge features.
+
+    A window without edges keeps its place, with zeros for its ``width`` edge features.
+    """
     n = node_moments.select(*keys, F.struct("n", "s1", "s2", "hi").alias("nm"))
     e = edge_moments.select(*keys, F.struct("n", "s1", "s2", "hi").alias("em"))
-    both = n.join(e, keys)
+    both = n.join(e, keys, "left")
+    edges = F.concat(mean_of("em"), F.col("em.hi"), std_of("em"))
+    none = F.array(*[F.lit(0.0)] * (3 * width))
     return both.select(
         *keys,
         F.col("nm.n").alias("n_nodes"),
-        F.col("em.n").alias("n_edges"),
-        F.concat(mean_of("nm"), mean_of("em"), F.col("em.hi"), std_of("em")).alias("embedding"),
+        F.coalesce(F.col("em.n"), F.lit(0)).alias("n_edges"),
+        F.concat(mean_of("nm"), F.coalesce(edges, none)).alias("embedding"),
     )
 
 
 def mean_and_size_features(node_moments: DataFrame, edge_moments: DataFrame, keys: list[str]) -> DataFrame:
     """Mean node features, mean edge features, log1p of node and edge counts."""
-    both = raw_statistics(node_moments, edge_moments, keys).join(
-        node_moments.select(*keys, F.struct("n", "s1").alias("nm")), keys
-    ).join(edge_moments.select(*keys, F.struct("n", "s1").alias("em")), keys)
-    sizes = F.array(F.log1p(F.col("n_nodes").cast("double")), F.log1p(F.col("n_edges").cast("double")))
+    n = node_moments.select(*keys, F.struct("n", "s1").alias("nm"))
+    both = n.join(edge_moments.select(*keys, F.struct("n", "s1").alias("em")), keys)
+    sizes = F.array(F.log1p(F.col("nm.n").cast("double")), F.log1p(F.col("em.n").cast("double")))
     return both.select(*keys, F.concat(mean_of("nm"), mean_of("em"), sizes).alias("features"))
 
 

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarden.errors import ContractError
-from tidewarden.functions.vectors import NORM_FLOOR, l2_normalise
+from tidewarden.functions.vectors import NORM_FLOOR, dot, l2_normalise
 
 MAX_BROADCAST_VALUES = 25_000_000  # doubles in the broadcast matrix, 200 MB
 QUERY_BLOCK = 2048
@@ -223,63 +225,45 @@ def probed_knn(
     queries: DataFrame,
     memory: DataFrame,
     k: int,
+    keys: list[str],
     cells: int = 16,
     probes: int = 4,
     vector: str = "embedding",
     index: str = "memory_index",
 ) -> DataFrame:
-    """Approximate k nearest: the memory is split into cells and a query looks into its nearest few.
+    """Approximate k nearest by a bucket join: each entry lies in the cell of its nearest centre, and a
+    query meets only the entries of its ``probes`` nearest cells.
 
-    Adds ``nn_index``, ``nn_distance`` and ``n_compared`` (memory rows whose distance was taken).
-    Cell centres are memory rows picked farthest-first.
+    Adds ``nn_index``, ``nn_distance`` and ``n_compared`` (entries met). Centres are entries picked
+    farthest-first; there are ``cells`` of them, which is all that is broadcast. ``keys`` name a
+    query. Entries that no probed cell holds are never read for it.
     """
     from tidewarden.operators.memory import farthest_first
 
-    ids, m = bounded_matrix(memory, index, vector)
+    _, m = bounded_matrix(memory, index, vector)
     m = unit_rows(m)
     centres = m[farthest_first(m, min(cells, len(m)), 0)]
-    member = np.argmax(m @ centres.T, axis=1)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, m, centres, member))
-    look = min(probes, len(centres))
-    schema = T.StructType(
-        queries.schema.fields
-        + [
-            T.StructField("nn_index", T.ArrayType(T.LongType())),
-            T.StructField("nn_distance", T.ArrayType(T.DoubleType())),
-            T.StructField("n_compared", T.LongType()),
-        ]
+    held = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+
+    def nearest(unit: Column, count: int) -> Column:
+        near = F.transform(held, lambda c, i: F.struct((-dot(unit, c)).alias("d"), i.alias("cell")))
+        return F.transform(F.slice(F.array_sort(near), 1, count), lambda e: e["cell"])
+
+    unit = queries.withColumn("_unit", l2_normalise(vector))
+    # queries that are stored twice are answered once each
+    looked = unit.select(*keys, "_unit", F.explode(nearest(F.col("_unit"), min(probes, len(centres)))).alias("_cell"))
+    entries = memory.select(F.col(index).cast("bigint").alias("_i"), l2_normalise(vector).alias("_m"))
+    entries = entries.withColumn("_cell", nearest(F.col("_m"), 1)[0])
+    distance = F.round(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("_unit"), F.col("_m")))), 9)
+    pairs = looked.join(entries, "_cell").select(*keys, F.struct(distance.alias("d"), F.col("_i").alias("i")).alias("z"))
+    found = pairs.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("z")), 1, k).alias("z"), F.count(F.lit(1)).alias("n_compared"))
+    return queries.join(found, keys, "left").select(
+        *queries.columns,
+        F.coalesce(F.col("z.i"), F.array().cast("array<bigint>")).alias("nn_index"),
+        F.coalesce(F.col("z.d"), F.array().cast("array<double>")).alias("nn_distance"),
+        F.coalesce("n_compared", F.lit(0).cast("bigint")).alias("n_compared"),
     )
 
-    def run(batches):
-        memory_ids, matrix, middle, cell = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(start, QUERY_BLOCK)
-                q = unit_rows(matrix_of(part.column(vector)))
-                nearest = np.argsort(-(q @ middle.T), axis=1, kind="stable")[:, :look]
-                probed = np.zeros((len(q), len(middle)), bool)
-                np.put_along_axis(probed, nearest, True, axis=1)
-                d = np.full((len(q), len(memory_ids)), np.inf)
-                for c in range(len(middle)):
-                    rows, cols = np.nonzero(probed[:, c])[0], np.nonzero(cell == c)[0]
-                    if len(rows) and len(cols):
-                        d[np.ix_(rows, cols)] = _distances(q[rows], matrix[cols], "cosine")
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, order, axis=1)
-                found = np.isfinite(near)
-                offsets = pa.array(np.r_[0, np.cumsum(found.sum(1))].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns,
-                        pa.ListArray.from_arrays(offsets, pa.array(memory_ids[order][found], pa.int64())),
-                        pa.ListArray.from_arrays(offsets, pa.array(near[found], pa.float64())),
-                        pa.array(np.isfinite(d).sum(1), pa.int64()),
-                    ],
-                    names=[*part.schema.names, "nn_index", "nn_distance", "n_compared"],
-                )
-
-    return queries.mapInArrow(run, schema)
-
 
 def recall_report(exact: DataFrame, approximate: DataFrame, keys: list[str], k: int, memory_rows: int) -> DataFrame:
     """Share of the exact neighbours found, and share of the memory compared."""
@@ -307,15 +291,16 @@ def standardised(df: DataFrame, reference: DataFrame, vector: str = "embedding",
 
 
 def dimension_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: per-dimension means and population spreads as arrays, plus the row count."""
-    per = (
-        df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "v"))
-        .groupBy("dim")
-        .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("v").alias("n"))
-    )
-    listed = F.array_sort(F.collect_list(F.struct("dim", "m", "s")))
-    return per.agg(listed.alias("z"), F.max("n").alias("n_rows")).select(
-        F.col("z.m").alias("means"), F.col("z.s").alias("spreads"), "n_rows"
+    """One row: per-dimension means and population spreads as arrays, plus the row count.
+
+    One summary per task leaves the first stage, not one row per element.
+    """
+    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    whole = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    n = F.col("s.count").cast("double")
+    spread = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(F.greatest(v * (n - 1) / n, F.lit(0.0))))
+    return whole.select(
+        vector_to_array("s.mean").alias("means"), spread.alias("spreads"), F.col("s.count").cast("bigint").alias("n_rows")
     )
 
 

@@ -31,24 +31,36 @@ def balanced(df: DataFrame, y: str = "y") -> DataFrame:
     return attach(rows, total, []).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
-class Probe:
-    """Standardised logistic regression with class-balanced weights and inverse penalty ``c``."""
+class Prepared:
+    """Training rows with class-balanced weights and standardised features; one for all penalties.
 
-    def __init__(self, train: DataFrame, c: float, max_iter: int = 50, features: str = "features"):
+    The spread is the sample's (n - 1), as MLlib's scaler takes it.
+    """
+
+    def __init__(self, train: DataFrame, features: str = "features"):
         rows = balanced(train).withColumn("_v", array_to_vector(features))
-        n = train.count()
         self.features = features
         self.scaler = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(rows)
+        self.rows = written(self.scaler.transform(rows).select("_z", "y", "weight"), "standardised")
+        self.n = self.rows.count()
+
+
+class Probe:
+    """Standardised logistic regression with class-balanced weights and inverse penalty ``c``."""
+
+    def __init__(self, train: DataFrame | Prepared, c: float, max_iter: int = 50, features: str = "features"):
+        held = train if isinstance(train, Prepared) else Prepared(train, features)
+        self.features, self.scaler = held.features, held.scaler
         model = LogisticRegression(
             featuresCol="_z",
             labelCol="y",
             weightCol="weight",
-            regParam=1.0 / (c * n),
+            regParam=1.0 / (c * max(held.n, 1)),
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iter,
         )
-        self.model = model.fit(self.scaler.transform(rows))
+        self.model = model.fit(held.rows)
 
     def score(self, rows: DataFrame, out: str = "anomaly_score") -> DataFrame:
         """Decision value of each row, on a 1e-9 grid."""
@@ -60,8 +72,9 @@ class Probe:
 def select_probe(fit: DataFrame, cal: DataFrame, grid=GRID, max_iter: int = 50) -> tuple[Probe, float, float]:
     """The penalty with the best calibration ROC-AUC; the first wins a tie."""
     best = None
+    held = Prepared(fit)
     for c in grid:
-        probe = Probe(fit, c, max_iter)
+        probe = Probe(held, c, max_iter)
         auc = metrics.ranking(probe.score(cal)).first()["roc_auc"] or 0.0
         if best is None or auc > best[2]:
             best = (probe, c, auc)

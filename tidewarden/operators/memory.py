@@ -19,6 +19,7 @@ from tidewarden.session import scratch_path, written
 
 MEMORY_COLUMNS = ["memory_index", "sample_id", "dataset_id", "window_id", "insert_stage", "version", "embedding"]
 CAPACITY = 1024
+BUCKETS = 16
 
 
 def farthest_first(x: np.ndarray, count: int, start: int) -> np.ndarray:
@@ -63,21 +64,19 @@ def reservoir(rows: DataFrame, capacity: int = CAPACITY, seed: int = 42, version
     return _numbered(drawn, "_u", capacity, version, "offline_fit")
 
 
-def k_centre(
-    rows: DataFrame, capacity: int = CAPACITY, seed: int = 42, bucket_rows: int = 20_000, version: int = 1
-) -> DataFrame:
+def k_centre(rows: DataFrame, capacity: int = CAPACITY, seed: int = 42, buckets: int = BUCKETS, version: int = 1) -> DataFrame:
     """Coverage-first selection: farthest-first by cosine, as a composable core-set.
 
-    Rows are spread over buckets of bounded size by a hash of their id. Every bucket keeps
-    ``capacity`` centres; rounds repeat until one bucket holds all that is left. With a single
-    bucket the result equals the sequential greedy choice.
+    The same two steps at every size: a hash of the id deals the rows to ``buckets`` buckets, each
+    keeps up to ``capacity`` centres, and the centres of all buckets are selected once more. With
+    one bucket the result equals the sequential greedy choice. ``buckets`` is a parameter that
+    does not follow the row count; choose it so that a bucket's vectors fit in a task, and read
+    the cost of the choice from ``covering_radius``.
     """
-    bucket_rows = max(bucket_rows, 4 * capacity)
     pool = rows.select("sample_id", "dataset_id", "window_id", l2_normalise("embedding").alias("embedding")).withColumn(
         "draw", md5_uniform(seed, "dataset_id", "sample_id")
     )
-    left = pool.count()
-    if not left:
+    if pool.isEmpty():
         raise ContractError("no rows to fit the memory from")
     schema = T.StructType(pool.schema.fields + [T.StructField("pick", T.LongType())])
 
@@ -86,21 +85,18 @@ def k_centre(
         picked = farthest_first(np.stack(pdf["embedding"].to_numpy()), capacity, 0)
         return pdf.iloc[picked].assign(pick=np.arange(len(picked)))[schema.names]
 
-    turn = 0
-    while True:
-        buckets = max(1, math.ceil(left / bucket_rows))
-        turn += 1
-        bucket = F.pmod(F.xxhash64("dataset_id", "sample_id", F.lit(turn)), F.lit(buckets))
-        picked = pool.groupBy(bucket.alias("bucket")).applyInPandas(greedy, schema)
-        if buckets == 1:
-            return written(_numbered(picked, "pick", capacity, version, "offline_fit"), "memory")
-        pool = written(picked.drop("pick"), "coreset")
-        left = pool.count()
-
-
-def fit(rows: DataFrame, capacity: int = CAPACITY, selection: str = "kcenter_greedy", seed: int = 42) -> DataFrame:
-    """Guarded fit: any row not labelled benign stops the job."""
-    assert_benign(rows)
+    if buckets > 1:
+        bucket = F.pmod(F.xxhash64("dataset_id", "sample_id"), F.lit(buckets))
+        pool = written(pool.groupBy(bucket.alias("bucket")).applyInPandas(greedy, schema).drop("pick"), "coreset")
+    # at most buckets * capacity rows are left
+    picked = pool.groupBy(F.lit(0).alias("bucket")).applyInPandas(greedy, schema)
+    return written(_numbered(picked, "pick", capacity, version, "offline_fit"), "memory")
+
+
+def fit(rows: DataFrame, capacity: int = CAPACITY, selection: str = "kcenter_greedy", seed: int = 42, guarded: bool = True) -> DataFrame:
+    """Guarded fit: any row not labelled benign stops the job. Only an audit of contaminated data goes without the guard."""
+    if guarded:
+        assert_benign(rows)
     if selection == "reservoir":
         return written(reservoir(rows, capacity, seed), "memory")
     if selection in ("kcenter_greedy", "k_center", "farthest_point"):

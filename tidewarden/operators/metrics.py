@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.operators.alerts import ratio
-from tidewarden.operators.scan import CHUNK, attach, exact_quantiles, mean_rank, ordered_chunks, scan
+from tidewarden.operators.scan import CHUNK, attach, exact_quantiles, mean_rank, null_safe, ordered_chunks, scan
 from tidewarden.session import written
 
 NOT_RUN = "NOT RUN"
@@ -77,9 +77,7 @@ def cumulative(
 ) -> DataFrame:
     """Per distinct score, highest first: positives (tp) and negatives (fp) at or above it."""
     by = by or []
-    # written once: the size check, the scan and the totals all read it
-    counts = written(score_counts(df, score, y, by, weight), "counts")
-    chunks = ordered_chunks(counts, by, [score], "curve", descending=True)
+    chunks = ordered_chunks(score_counts(df, score, y, by, weight), by, [score], "curve", descending=True)
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
     return scan(chunks, by, [score], sums=sums, descending=True).drop(CHUNK)
 
@@ -169,14 +167,15 @@ def nearest_point(points: DataFrame, tau: Column, by: list[str] | None = None) -
 
 
 def pr_trapezoid(curve: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the precision-recall points by the trapezoid rule, with the (0, 1) end point."""
+    """Area under the precision-recall points by the trapezoid rule, with the (0, 1) end point; null without positives."""
     by = by or []
     totals = curve.groupBy(*by).agg(F.sum("pos").alias("n_pos"))
     rows = attach(curve, totals, by)
-    rows = rows.withColumns({"r": F.col("tp") / F.col("n_pos"), "q": F.col("tp") / (F.col("tp") + F.col("fp"))})
+    # a group without positives has points but no area: null
+    rows = rows.withColumns({"r": ratio(F.col("tp"), F.col("n_pos")), "q": F.col("tp") / (F.col("tp") + F.col("fp"))})
     # the previous point's counts are the running counts less this row's own
     tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
-    rows = rows.withColumns({"r0": tp0 / F.col("n_pos"), "q0": F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)})
+    rows = rows.withColumns({"r0": ratio(tp0, F.col("n_pos")), "q0": F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)})
     return rows.groupBy(*by).agg(
         F.sum((F.col("r") - F.col("r0")) * (F.col("q") + F.col("q0")) / 2.0).alias("pr_auc_trapezoid"),
         F.count(F.lit(1)).alias("n_points"),
@@ -259,14 +258,16 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
 
 
 def histogram(df: DataFrame, score: str, label: str, bins: int = 60) -> DataFrame:
-    """Shared equal-width bins over all scores, counts and density per class."""
-    span = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    rows = attach(df.select(label, score), span, [])
+    """Shared equal-width bins over all scores, counts and density per class. Equal scores get a bin range of 0.5 each way."""
+    lo, hi = F.min(score), F.max(score)
+    half = F.when(lo == hi, 0.5).otherwise(0.0)
+    span = df.agg((lo - half).alias("lo"), (hi + half).alias("hi"))
+    rows = attach(df.select(label, score).filter(F.col(score).isNotNull()), span, [])
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.least(F.lit(bins - 1), F.floor((F.col(score) - F.col("lo")) / width)).cast("bigint")
     counts = rows.groupBy(label, place.alias("bin"), width.alias("width"), F.col("lo")).agg(F.count(F.lit(1)).alias("n"))
     sizes = df.groupBy(label).agg(F.count(score).alias("n_class"))
-    return counts.join(sizes, label).select(
+    return null_safe(counts, sizes, [label], "inner").select(
         label,
         "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"),

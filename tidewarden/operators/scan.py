@@ -1,52 +1,44 @@
 """Running totals, positions and exact quantiles over ordered rows of any size.
 
 A window ordered over a whole table, or over a key that holds a third of it, would run in one
-task. Before such a window the size of the largest key is measured, reading only the key columns.
-Up to ``ONE_TASK_ROWS`` rows a plain window per key is used. Beyond that the rows are
-range-partitioned by (keys, order), so a large key spans many chunks; each chunk is scanned on its
-own and the last state of the earlier chunks of the same key is added afterwards. Only the first
-key of a chunk can continue from an earlier chunk, so the table of carried states never has more
-rows than there are chunks and is safe to broadcast. Both ways give the same rows.
+task. So rows are range-partitioned by (keys, order) and a key may span many chunks; each chunk is
+scanned on its own, and the last state of the earlier chunks of the same key is added afterwards.
+Only the first key of a chunk can continue from an earlier chunk, so the table of carried states
+never has more rows than there are chunks and is safe to broadcast. There is one way at every
+size; few rows make one chunk. Null keys are keys like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.session import written
 
 CHUNK = "_chunk"
-ONE_TASK_ROWS = 1_000_000
 
 
 def _directed(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
-def ordered_chunks(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    name: str = "chunks",
-    descending: bool = False,
-    bound: DataFrame | None = None,
-) -> DataFrame:
-    """Rows ready for ``scan``: unchanged if no key is large, else cut into chunks.
+def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], name: str = "chunks", descending: bool = False) -> DataFrame:
+    """Rows cut into chunks, ready for ``scan``.
 
-    Range bounds come from a sample, so a second run could cut elsewhere; writing the table
-    fixes the cut for all later passes. ``bound`` may name a cheaper table with at least as many
-    rows per key, for the size check.
+    Range bounds come from a sample, so a second run could cut elsewhere; writing the table fixes
+    the cut for all later passes.
     """
-    if largest_key(df if bound is None else bound, keys) <= ONE_TASK_ROWS:
-        return df
     spec = [F.col(k) for k in keys] + _directed(order, descending)
     return written(df.repartitionByRange(*spec).withColumn(CHUNK, F.spark_partition_id()), name)
 
 
-def largest_key(df: DataFrame, keys: list[str]) -> int:
-    rows = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    return rows.agg(F.max("count").alias("n")).first()["n"] or 0
+def null_safe(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``by`` in which null equals null; the columns of ``by`` come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in by])
+    return left.join(renamed, same, how).drop(*[f"_on_{k}" for k in by])
 
 
 def scan(
@@ -61,13 +53,6 @@ def scan(
     """Add running sums, running maxima (both include the row) and previous-row values."""
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
     spec = _directed(order, descending)
-    if CHUNK not in chunks.columns:
-        per_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*spec)
-        until = per_key.rowsBetween(Window.unboundedPreceding, 0)
-        added = {o: F.sum(c).over(until) for o, c in sums.items()}
-        added |= {o: F.max(c).over(until) for o, c in maxes.items()}
-        added |= {o: F.lag(c).over(per_key) for o, c in lags.items()}
-        return chunks.withColumns(added)
     group = [*keys, CHUNK]
     base = chunks
     for out, c in {**sums, **maxes, **lags}.items():
@@ -96,7 +81,7 @@ def scan(
     added |= {f"_l_{o}": F.lag(f"_in_{o}").over(local) for o in lags}
     if lags:
         added["_first"] = F.row_number().over(local) == 1
-    out = base.withColumns(added).join(F.broadcast(carry), group, "left")
+    out = null_safe(base.withColumns(added), F.broadcast(carry), group)
 
     result = {o: F.col(f"_l_{o}") + F.coalesce(F.col(f"_c_{o}"), F.lit(0)) for o in sums}
     result |= {o: F.greatest(f"_l_{o}", f"_c_{o}") for o in maxes}
@@ -105,11 +90,9 @@ def scan(
     return out.select(*keep, *[c.alias(o) for o, c in result.items()])
 
 
-def positions(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "position", bound: DataFrame | None = None
-) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "position") -> DataFrame:
     """Dense 0-based position within the keys."""
-    chunks = ordered_chunks(df, keys, order, "positions", bound=bound)
+    chunks = ordered_chunks(df, keys, order, "positions")
     ranked = scan(chunks, keys, order, sums={out: F.lit(1).cast("bigint")})
     return ranked.withColumn(out, F.col(out) - 1).drop(CHUNK)
 
@@ -117,7 +100,7 @@ def positions(
 def attach(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     """Add the columns of ``small`` (one row per ``by``, or one row in all) to every row."""
     if by:
-        return df.join(small, by, "left")
+        return null_safe(df, small, by)
     held = small.select(F.struct(*small.columns).alias("_held"))
     return df.withColumn("_held", held.scalar()).select(*df.columns, *[F.col(f"_held.{c}") for c in small.columns])
 
@@ -135,8 +118,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None, weight:
         .agg(F.sum(rows).cast("bigint").alias("n_equal"))
         .filter("n_equal > 0")
     )
-    # written once: the size check, the scan and the totals all read it
-    chunks = ordered_chunks(written(counts, "counts"), by, [value], "ranks")
+    chunks = ordered_chunks(counts, by, [value], "ranks")
     return scan(chunks, by, [value], sums={"n_upto": F.col("n_equal")}).drop(CHUNK)
 
 

@@ -25,10 +25,25 @@ def exact_share(df: DataFrame, key: str, share: float, seed: int = 42, out: str
     return attach(placed, size, []).withColumn(out, F.col("_pos") < F.col("_take")).drop("_u", "_pos", "_take")
 
 
-def repeated_halves(df: DataFrame, key: str, seeds: int = 20) -> DataFrame:
-    """Every row once per seed, assigned to ``dev`` or ``test`` by that seed's hash."""
+def repeated_halves(df: DataFrame, key: str, label: str, seeds: int = 20) -> DataFrame:
+    """Every row once per seed, in ``dev`` or ``test``: half of each class, by that seed's hash order."""
     each = df.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    return each.withColumn("half", F.when(md5_uniform(F.col("seed"), key) < 0.5, "dev").otherwise("test"))
+    drawn = each.withColumn("_u", md5_uniform(F.col("seed"), key))
+    return _class_shares(drawn, ["seed", label], key, [(0.5, "dev")], "test", "half")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, shares: list[tuple[float, str]], rest: str, seed: int = 42, out: str = "part") -> DataFrame:
+    """A random split with fixed shares of every class; ``shares`` are cumulative."""
+    return _class_shares(df.withColumn("_u", md5_uniform(seed, key)), [label], key, shares, rest, out)
+
+
+def _class_shares(drawn: DataFrame, by: list[str], key: str, shares: list[tuple[float, str]], rest: str, out: str) -> DataFrame:
+    placed = positions(drawn, by, ["_u", key], "_pos")
+    sizes = drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.lit(rest)
+    for share, name in reversed(shares):
+        part = F.when(F.col("_pos") < F.floor(F.col("_n") * share), name).otherwise(part)
+    return attach(placed, sizes, by).withColumn(out, part).drop("_u", "_pos", "_n")
 
 
 def fold_of(key, folds: int = 5, seed: int = 42) -> Column:
@@ -55,16 +70,17 @@ def purge_after(later: DataFrame, earlier: DataFrame, start: str = "start_time",
 
 
 def chronological_blocks(df: DataFrame, order: list[str], shares=(0.6, 0.2), start: str = "start_time", end: str = "end_time") -> DataFrame:
-    """Train, dev and test in time order, each purged of rows that overlap the block before."""
+    """Train, dev and test in time order, each purged of rows that overlap the block before.
+
+    The whole earlier block counts, also the rows that it lost to its own purge.
+    """
     rows = chronological(df, order)
     cut1 = F.floor(F.col("n_all") * shares[0])
     cut2 = F.floor(F.col("n_all") * (shares[0] + shares[1]))
     block = F.when(F.col("time_pos") < cut1, "train").when(F.col("time_pos") < cut2, "dev").otherwise("test")
     rows = rows.withColumn("block", block)
     train, dev, test = (rows.filter(F.col("block") == b) for b in ("train", "dev", "test"))
-    dev = purge_after(dev, train, start, end)
-    test = purge_after(test, dev, start, end)
-    return train.unionByName(dev).unionByName(test)
+    return train.unionByName(purge_after(dev, train, start, end)).unionByName(purge_after(test, dev, start, end))
 
 
 def rolling_folds(

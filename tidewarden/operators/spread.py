@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewarden.functions.hashing import md5_uniform
 from tidewarden.functions.vectors import NORM_FLOOR, as_double, dot, l2_normalise, norm
 from tidewarden.operators.alerts import ratio
-from tidewarden.operators.knn import blocked_knn, matrix_of, unit_rows
-from tidewarden.operators.scan import attach, exact_quantiles, positions
+from tidewarden.operators.knn import blocked_knn, unit_rows
+from tidewarden.operators.scan import attach, positions
 
 
 def element_statistics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -53,8 +52,9 @@ def element_statistics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _vector_sum(df: DataFrame, vec, name: str) -> DataFrame:
-    per = df.select(F.posexplode(vec).alias("d", "v")).groupBy("d").agg(F.sum("v").alias("s"))
-    return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda e: e["s"]).alias(name))
+    """One vector per task leaves the first stage, not one row per element."""
+    whole = df.select(array_to_vector(vec).alias("v")).agg(Summarizer.sum(F.col("v")).alias("s"))
+    return whole.select(vector_to_array("s").alias(name))
 
 
 def mean_pairwise_cosine(df: DataFrame) -> DataFrame:
@@ -65,25 +65,6 @@ def mean_pairwise_cosine(df: DataFrame) -> DataFrame:
     return one.select(ratio(square - F.col("n"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"), F.col("n").cast("bigint").alias("n_rows"))
 
 
-def sampled_pairwise_cosine(df: DataFrame, key: str, sample: int = 500, seed: int = 42) -> DataFrame:
-    """Median, minimum and maximum cosine between different rows of a sample of fixed size."""
-    drawn = df.select(F.col(key).alias("k"), as_double("embedding").alias("embedding"), md5_uniform(seed, key).alias("u"))
-    part = drawn.orderBy("u", "k").limit(sample)
-    rows = part.toArrow()
-    shared = df.sparkSession.sparkContext.broadcast(unit_rows(matrix_of(rows["embedding"])))
-    schema = T.StructType([T.StructField("cosine", T.DoubleType())])
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            for i in batch.column(0).to_numpy():
-                yield pa.RecordBatch.from_pydict({"cosine": np.round(np.delete(m @ m[i], i), 9)})
-
-    pairs = df.sparkSession.range(len(rows)).mapInArrow(run, schema)
-    q = exact_quantiles(pairs, "cosine", {"median_cosine": 0.5, "min_cosine": 0.0, "max_cosine": 1.0})
-    return q.withColumnRenamed("n_rows", "n_pairs").withColumn("n_sample", F.lit(len(rows)).cast("bigint"))
-
-
 def class_centres(df: DataFrame, label: str = "label", first: str = "benign", second: str = "attack") -> DataFrame:
     """Cosine and distance between the mean vectors of two classes."""
     per = (

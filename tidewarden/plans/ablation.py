@@ -5,26 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators import knn, memory, metrics
-from tidewarden.operators.scan import attach
+from tidewarden.operators import alerts, knn, memory, metrics
+from tidewarden.operators.scan import CHUNK, attach, ordered_chunks, scan
+from tidewarden.session import written
 
 
-def debounce_ablation(rows: DataFrame, steps=(1, 2, 3, 4)) -> DataFrame:
-    """Window decisions and alert counts for every debounce length, from the streak column.
+def debounce_ablation(rows: DataFrame, steps=(1, 2, 3, 4), window_seconds: float = 30.0) -> DataFrame:
+    """Sample and alert figures for every debounce length, from one streak column.
 
-    An alert starts where the streak first reaches the length. A streak cannot jump past it, so
-    that is one row per alert.
+    One row per length: the confusion counts of confirmed windows (``alert_*``) and of plain
+    decisions (``sample_*``, the same for all lengths), alerts raised, and the episode figures. A
+    streak cannot jump past a length, so an alert starts where it first reaches it; with length 1
+    the row before a jump may have been an alert already.
     """
-    each = rows.withColumn("debounce", F.explode(F.array(*[F.lit(s) for s in steps])))
+    chunks = ordered_chunks(rows, alerts.STREAM, ["stream_pos"], "debounce")
+    seen = scan(chunks, alerts.STREAM, ["stream_pos"], lags={"_before": F.col("is_anomaly")}).drop(CHUNK)
+    each = seen.drop("alert_raised", "confirmed_alert", "detection_delay_steps").withColumn(
+        "debounce", F.explode(F.array(*[F.lit(s) for s in steps]))
+    )
+    reached = F.col("consecutive_anomalies") == F.col("debounce")
     each = each.withColumns(
         {
             "y": (F.col("label") == "attack").cast("int"),
-            "p": (F.col("consecutive_anomalies") >= F.col("debounce")).cast("int"),
-            "_edge": (F.col("consecutive_anomalies") == F.col("debounce")).cast("int"),
+            "confirmed_alert": F.col("consecutive_anomalies") >= F.col("debounce"),
+            "alert_raised": reached & ((F.col("debounce") > 1) | ~F.coalesce("_before", F.lit(False))),
         }
-    )
-    counts = metrics.confusion(each, by=["debounce"])
-    return counts.join(each.groupBy("debounce").agg(F.sum("_edge").cast("bigint").alias("n_alerts")), "debounce")
+    ).drop("_before")
+    by = ["debounce", "stream_id", "episode_id"]
+    first = lambda c: F.min(F.when(F.col(c), F.col("stream_pos")))
+    episodes = each.filter("episode_id <> 'benign'").groupBy(*by).agg(first("confirmed_alert").alias("c"), first("is_anomaly").alias("f"))
+    delays = episodes.filter("c is not null").select(*by, F.greatest(F.lit(0), F.col("c") - F.col("f")).cast("double").alias("detection_delay_steps"))
+    each = written(alerts.beside_benign(each, delays, by), "debounced")
+    keep = ["tn", "fp", "fn", "tp", "recall", "fpr", "precision", "f1"]
+
+    def figures(name: str, decision: str) -> DataFrame:
+        counts = metrics.confusion(each.withColumn("p", F.col(decision).cast("int")), by=["debounce"])
+        return counts.select("debounce", *[F.col(c).alias(f"{name}_{c}") for c in keep])
+
+    raised = each.groupBy("debounce").agg(F.sum(F.col("alert_raised").cast("bigint")).alias("n_alerts"))
+    found = alerts.episode_metrics(each, window_seconds, ["debounce"])
+    out = figures("alert", "confirmed_alert").join(figures("sample", "is_anomaly"), "debounce")
+    return out.join(raised, "debounce").join(found, "debounce")
 
 
 def threshold_ablation(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -65,7 +86,7 @@ def retrieval_ablation(queries: DataFrame, bank: DataFrame, keys: list[str], k:
     size = bank.count()
     out = None
     for p in probes:
-        near = knn.probed_knn(queries, bank, k, cells, p)
+        near = knn.probed_knn(queries, bank, k, keys, cells, p)
         row = knn.recall_report(exact, near, keys, k, size).withColumn("probes", F.lit(p))
         out = row if out is None else out.unionByName(row)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidewarden.functions.values import ATTACK, BENIGN, CALIBRATION, TEST, TRAIN
 from tidewarden.operators import alerts, bootstrap, knn, memory, metrics, threshold
 from tidewarden.operators.alerts import ratio
 from tidewarden.operators.scan import attach, exact_quantiles
+from tidewarden.session import written
 
 
 def test_rows(pred: DataFrame, unit: str = "sample") -> DataFrame:
@@ -63,11 +66,7 @@ def per_family(pred: DataFrame, window_seconds: float = 30.0) -> DataFrame:
     """
     rows = test_rows(pred)
     pos, neg = family_positives(rows), rows.filter(F.col("label") == BENIGN)
-    called = F.col("p") == 1
-    mine = pos.groupBy("family").agg(F.count(F.when(~called, 1)).alias("fn"), F.count(F.when(called, 1)).alias("tp"))
-    theirs = neg.agg(F.count(F.when(~called, 1)).alias("tn"), F.count(F.when(called, 1)).alias("fp"))
-    out = metrics.with_rates(attach(mine, theirs, []))
-    rank = metrics.ranking_against(pos, neg, ["family"]).drop("n_positive", "n_negative")
+    out = against_benign(pos, neg)
     own = pos.groupBy("family").agg(
         F.avg("anomaly_score").alias("mean_anomaly_score"),
         F.avg("detection_delay_steps").alias("mean_detection_delay_steps"),
@@ -76,59 +75,82 @@ def per_family(pred: DataFrame, window_seconds: float = 30.0) -> DataFrame:
     )
     mid = exact_quantiles(pos, "anomaly_score", {"median_anomaly_score": 0.5}, ["family"]).drop("n_rows")
     return (
-        out.join(rank, "family")
-        .join(own, "family")
+        out.join(own, "family")
         .join(mid, "family")
         .withColumn("mean_detection_delay_seconds", F.col("mean_detection_delay_steps") * window_seconds)
         .orderBy(F.desc("f1"), "family")
     )
 
 
-def leave_one_family_out(records: DataFrame, pred: DataFrame, families: list[str], capacity: int, k: int = 8, strategy: str = "confidence_aware") -> DataFrame:
-    """Zero-day protocol with a leakage audit.
-
-    A fold is rebuilt only if the family has rows in a reference split; without such rows the
-    rebuilt memory and threshold are the baseline by construction, and the row count proves it.
+def leave_one_family_out(
+    records: DataFrame,
+    families: list[str],
+    capacity: int,
+    k: int = 8,
+    strategy: str = "confidence_aware",
+    selection: str = "kcenter_greedy",
+) -> DataFrame:
+    """Zero-day protocol with a leakage audit: one row per held-out family.
+
+    For every family the memory and the threshold are fitted without its rows, the test rows are
+    scored by that model, and the family is ranked against the benign rows. The reference rows are
+    hashed with and without each family; families that leave the hash as it is share one fit. The
+    audit compares each fit's memory and threshold with those of the unfiltered reference.
     """
-    tokens = family_tokens("attack_family")
-    counts = (
-        records.withColumn("family", F.explode(F.array_distinct(tokens)))
-        .groupBy("family")
-        .agg(
-            F.count(F.lit(1)).alias("rows_total_for_family"),
-            F.count(F.when(F.col("split").isin(TRAIN, CALIBRATION), 1)).alias("rows_in_reference"),
+    tokens = F.array_distinct(family_tokens("attack_family"))
+    reference = F.col("split").isin(TRAIN, CALIBRATION)
+    rows = records.withColumn("_tokens", tokens)
+    within = lambda f: F.coalesce(F.array_contains("_tokens", f), F.lit(False))
+    one = F.xxhash64("dataset_id", "sample_id", "split").cast("decimal(38,0)")
+    sums = rows.agg(
+        F.sum(F.when(reference, one)).alias("all"),
+        *[F.sum(F.when(reference & ~within(f), one)).alias(f"hash_{i}") for i, f in enumerate(families)],
+        *[F.count(F.when(within(f), 1)).alias(f"total_{i}") for i, f in enumerate(families)],
+        *[F.count(F.when(within(f) & reference, 1)).alias(f"held_{i}") for i, f in enumerate(families)],
+    ).first()
+    whole = _fit(records, capacity, k, strategy, selection)
+    folds: dict[str, tuple] = {"": whole}
+    member: dict[str, list[int]] = {}
+    for i, family in enumerate(families):
+        changed = sums[f"hash_{i}"] != sums["all"]
+        member.setdefault(family if changed else "", []).append(i)
+        if changed:
+            folds[family] = _fit(rows.filter(~within(family)).drop("_tokens"), capacity, k, strategy, selection)
+    parts = []
+    for name, numbers in member.items():
+        bank, tau, content = folds[name]
+        scored = written(knn.score(records.filter(F.col("split") == TEST), bank, k), "fold-scores")
+        tested = test_rows(scored.withColumn("is_anomaly", F.col("anomaly_score") > tau))
+        held = family_positives(tested).filter(F.col("family").isin(*[families[i] for i in numbers]))
+        audit = [
+            (families[i], sums[f"total_{i}"], sums[f"held_{i}"], bool(name), tau, tau - whole[1], int(content != whole[2]))
+            for i in numbers
+        ]
+        facts = records.sparkSession.createDataFrame(
+            audit,
+            "family string, rows_total_for_family bigint, rows_in_reference bigint, rebuilt boolean, tau double, "
+            "tau_delta_vs_baseline double, memory_changed int",
         )
-    )
-    metric_rows = per_family(pred).select("family", "n_positive", "precision", "recall", "f1", "fpr", "roc_auc", "auprc")
-    base = metric_rows.join(counts, "family").withColumns(
-        {"tau_delta_vs_baseline": F.lit(0.0), "memory_changed": F.lit(0), "rebuilt": F.lit(False)}
-    ).filter(F.col("family").isin(*families))
-    dirty = [r["family"] for r in counts.filter("rows_in_reference > 0").select("family").collect()]
-    if not set(dirty) & set(families):
-        return base
-    full_memory, full_tau = _fit(records, capacity, k, strategy)
-    full_hash = memory.memory_hash(full_memory).first()["content_hash"]
-    audits = []
-    for family in sorted(set(dirty) & set(families)):
-        clean = records.filter(~F.array_contains(tokens, family))
-        bank, tau = _fit(clean, capacity, k, strategy)
-        moved = memory.memory_hash(bank).first()["content_hash"] != full_hash
-        audits.append((family, float(tau - full_tau), int(moved)))
-    audit = records.sparkSession.createDataFrame(audits, "family string, _tau double, _moved int")
-    return (
-        base.join(F.broadcast(audit), "family", "left")
-        .withColumn("rebuilt", F.col("_tau").isNotNull())
-        .withColumn("tau_delta_vs_baseline", F.coalesce("_tau", "tau_delta_vs_baseline"))
-        .withColumn("memory_changed", F.coalesce("_moved", "memory_changed"))
-        .drop("_tau", "_moved")
-    )
+        # a row per named family, also where no test row carries it
+        figures = against_benign(held, tested.filter(F.col("label") == BENIGN))
+        parts.append(facts.join(figures, "family", "left"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def against_benign(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Confusion, ROC-AUC and average precision of each family against the same benign rows."""
+    called = F.col("p") == 1
+    mine = positives.groupBy("family").agg(F.count(F.when(~called, 1)).alias("fn"), F.count(F.when(called, 1)).alias("tp"))
+    theirs = negatives.agg(F.count(F.when(~called, 1)).alias("tn"), F.count(F.when(called, 1)).alias("fp"))
+    rank = metrics.ranking_against(positives, negatives, ["family"]).drop("n_positive", "n_negative")
+    return metrics.with_rates(attach(mine, theirs, [])).join(rank, "family")
 
 
-def _fit(records: DataFrame, capacity: int, k: int, strategy: str):
-    """Memory and threshold from the reference splits, without the benign guard of a normal fit."""
-    bank = memory.k_centre(records.filter(F.col("split") == TRAIN), capacity)
+def _fit(records: DataFrame, capacity: int, k: int, strategy: str, selection: str):
+    """Memory, threshold and the memory's hash from the reference splits, without the benign guard of a normal fit."""
+    bank = memory.fit(records.filter(F.col("split") == TRAIN), capacity, selection, guarded=False)
     cal = threshold.frozen(knn.score(records.filter(F.col("split") == CALIBRATION), bank, k))
-    return bank, threshold.model(cal, strategy)["value"]
+    return bank, float(threshold.model(cal, strategy)["value"]), memory.memory_hash(bank).first()["content_hash"]
 
 
 def stratified_auc(df: DataFrame, size: str, bins: int = 5, minimum: int = 10, score: str = "anomaly_score") -> DataFrame:

@@ -150,7 +150,7 @@ def fidelity(alerts: DataFrame, nodes: DataFrame, edges: DataFrame, hosts: DataF
     for end in ("src", "dst"):
         kept = kept.join(gone.withColumnRenamed("node_id", end), [*on, end], "left_anti")
     vectors = graph.raw_statistics(
-        graph.moments(left, "x", width, on), graph.moments(kept, "edge_attr", width, on), on
+        graph.moments(left, "x", width, on), graph.moments(kept, "edge_attr", width, on), on, width
     )
     after = knn.score(vectors.select(*on, "embedding"), memory, neighbours).select(*on, F.col("anomaly_score").alias("score_after"))
     share = hosts.groupBy("sequence").agg(F.sum("attention").alias("_t"))
@@ -185,4 +185,4 @@ def fidelity_summary(rows: DataFrame, n_boot: int = 200, by: list[str] | None =
     margin = rows.agg(
         (F.avg(F.when(F.col("method") == "attention", v)) - F.avg(F.when(F.col("method") == "random", v))).alias("attention_minus_random")
     )
-    return attach(base.join(med, by).join(ci, by), margin, [])
+    return attach(attach(attach(base, med, by), ci, by), margin, [])

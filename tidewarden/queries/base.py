@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewarden.errors import ContaminationError, ContractError
 from tidewarden.functions.values import CALIBRATION, TRAIN
 from tidewarden.operators import alerts, knn, memory, threshold
 from tidewarden.session import written
@@ -83,6 +84,15 @@ def labelled(df: DataFrame) -> DataFrame:
     )
 
 
+def refusal(check: Callable[[], object]) -> str:
+    """What a guard says: its message, or ``accepted``."""
+    try:
+        check()
+    except (ContractError, ContaminationError) as error:
+        return str(error)
+    return "accepted"
+
+
 def r6(*names: str) -> list:
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 

@@ -127,12 +127,25 @@ def p14(spark, sf):
 
 @query(
     "p15_threshold_guards",
-    f"WITH {SCORES} SELECT count(*)::BIGINT AS n_scores, true AS enough, true AS accepted FROM scores WHERE split = 'calibration_benign'",
+    f"""WITH {SCORES}, c AS (SELECT vec_id FROM scores WHERE split = 'calibration_benign'),
+n AS (SELECT (SELECT count(*) FROM c) AS n_all, (SELECT count(*) FROM c WHERE vec_id % 50 = 1) AS n_few, (SELECT count(*) FROM c WHERE vec_id % 9 = 2) AS n_bad, (SELECT count(*) FROM c WHERE vec_id % 7 = 3) AS n_test)
+SELECT 'all' AS variant, CASE WHEN n_all >= 32 THEN 'accepted' ELSE 'calibration: ' || n_all || ' rows, at least 32 needed' END AS message FROM n
+UNION ALL SELECT 'few', CASE WHEN n_few >= 32 THEN 'accepted' ELSE 'calibration: ' || n_few || ' rows, at least 32 needed' END FROM n
+UNION ALL SELECT 'not_finite', CASE WHEN n_all < 32 THEN 'calibration: ' || n_all || ' rows, at least 32 needed' WHEN n_bad = 0 THEN 'accepted' ELSE 'calibration: ' || n_bad || ' scores are not finite' END FROM n
+UNION ALL SELECT 'from_test', CASE WHEN n_test > 0 THEN 'calibration: ' || n_test || ' rows come from the test split' ELSE 'accepted' END FROM n""",
 )
 def p15(spark, sf):
+    """What the guard says of the calibration scores, and of tables it has to refuse."""
     cal = base.scores(spark, sf).filter("split = 'calibration_benign'")
-    threshold.check_calibration(cal)
-    return cal.agg(F.count(F.lit(1)).alias("n_scores")).select("n_scores", (F.col("n_scores") >= 32).alias("enough"), F.lit(True).alias("accepted"))
+    place = F.col("source_index")
+    variants = {
+        "all": cal,
+        "few": cal.filter(place % 50 == 1),
+        "not_finite": cal.withColumn("anomaly_score", F.when(place % 9 == 2, float("nan")).otherwise(F.col("anomaly_score"))),
+        "from_test": cal.withColumn("split", F.when(place % 7 == 3, V.TEST).otherwise(F.col("split"))),
+    }
+    said = [(name, base.refusal(lambda rows=rows: threshold.check_calibration(rows))) for name, rows in variants.items()]
+    return spark.createDataFrame(said, "variant string, message string")
 
 
 @query("p17_join_id", f"WITH {DIRTY} SELECT sample_id, CAST(vec_id AS VARCHAR) AS clean_id FROM dirty")

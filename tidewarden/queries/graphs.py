@@ -145,7 +145,7 @@ def sequence_moments(spark, sf):
 
 def raw_vectors(spark, sf):
     n, e = sequence_moments(spark, sf)
-    return base.shared(spark, sf, "raw_vectors", lambda: graph.raw_statistics(n, e, ["sequence"]))
+    return base.shared(spark, sf, "raw_vectors", lambda: graph.raw_statistics(n, e, ["sequence"], WIDTH))
 
 
 @query("a24_raw_statistics", f"WITH {RAW} SELECT sequence::INT AS sequence, unnest(range(20))::INT AS dim, round(unnest(v), 5) AS value FROM raw")

@@ -47,21 +47,21 @@ def test_vectors(spark, sf):
 @query("l1_balanced_logistic")
 def l1(spark, sf):
     rows = learn.feature_set(test_vectors(spark, sf), ["embedding"]).withColumn("part", md5_uniform(31, "sample_id"))
-    probe, c, auc = learn.select_probe(rows.filter("part < 0.5"), rows.filter("part between 0.5 and 0.75"), (0.01, 1.0), 20)
-    test = metrics.ranking(probe.score(rows.filter("part > 0.75")))
+    probe, c, auc = learn.select_probe(rows.filter("part < 0.5"), rows.filter("part >= 0.5 and part < 0.75"))
+    test = metrics.ranking(probe.score(rows.filter("part >= 0.75")))
     return test.select(F.lit(c).alias("penalty"), F.lit(round(auc, 6)).alias("calibration_auc"), *r6("roc_auc", "auprc"))
 
 
 @query("l2_cross_validated_probe")
 def l2(spark, sf):
-    out = learn.probe_feature_sets(test_vectors(spark, sf), "sample_id", {"size": ["size"], "h_plus_size": ["embedding", "size"]}, folds=3, max_iter=15)
+    out = learn.probe_feature_sets(test_vectors(spark, sf), "sample_id", {"size": ["size"], "h": ["embedding"], "h_plus_size": ["embedding", "size"]})
     return out.select("feature_set", *b("n_positive", "n_negative"), *r6("roc_auc", "auprc"))
 
 
 @query("l3_boosted_trees")
 def l3(spark, sf):
     rows = flows(spark, sf).withColumnsRenamed({"edge_attr": "features", "edge_y": "y"}).withColumn("u", md5_uniform(32, "record_id"))
-    score = learn.boosted_trees(rows.filter("u < 0.5").select("features", "y"), rounds=5, depth=3)
+    score = learn.boosted_trees(rows.filter("u < 0.5").select("features", "y"), rounds=20)
     return metrics.ranking(score(rows.filter("u >= 0.5").select("features", "y"))).select(*b("n_positive", "n_negative"), *r6("roc_auc"))
 
 
@@ -88,7 +88,7 @@ def _folds(spark, sf):
         spark,
         sf,
         "fold_scores",
-        lambda: supervised.rolling_origin(labelled_windows(spark, sf), ["start_time", "window_key"], sets, "window_key", (0.1,), 15),
+        lambda: supervised.rolling_origin(labelled_windows(spark, sf), ["start_time", "window_key"], sets, "window_key", (0.1, 1.0)),
     )
 
 
@@ -100,7 +100,7 @@ def l5(spark, sf):
 
 @query("l5_paired_differences")
 def l5_paired(spark, sf):
-    p = supervised.paired(_folds(spark, sf), [("raw_plus_size", "size")], "window_key", 20)
+    p = supervised.paired(_folds(spark, sf), [("raw_plus_size", "size")], "window_key")
     return p.select("method_a", "method_b", "statistic", *r6("point", "ci_low", "ci_high"), "n_replicates")
 
 
@@ -114,8 +114,8 @@ def l6(spark, sf):
     at = (F.col("window") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
     part = F.when(at < 0.5, "fit").when(at < 0.75, "cal").otherwise("test")
     windows = w.select("window", F.lit(0).alias("fold"), part.alias("part"), (F.col("share") > F.col("mid")).cast("int").alias("window_y"))
-    out = supervised.flow_probe(f, windows, ["record_id", "edge_idx"], max_iter=15)
-    return out.select("fold", "model", *r6("flow_auc", "flow_ap", "tpr_at_1pct", "fpr_realised", "window_auc", "window_balanced_accuracy"))
+    out = supervised.flow_probe(f, windows, ["record_id", "edge_idx"])
+    return out.select("fold", "model", *r6("flow_auc", "flow_ap", "tpr_at_1pct", "fpr_realised"), *r6(*[f"window_{m}_{n}" for m in ("auc", "balanced_accuracy") for n in ("p99", "max")]))
 
 
 @query(

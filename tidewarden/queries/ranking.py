@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewarden.functions.hashing import md5_uniform
 from tidewarden.operators import bootstrap, metrics, threshold
 from tidewarden.plans import evaluation as ev
 from tidewarden.queries import base
-from tidewarden.queries.base import PRED, SCORES, TAU, b, poisson, query, r6, u
+from tidewarden.queries.base import PRED, RECORDS, SCORES, TAU, b, poisson, query, r6, u
 from tidewarden.queries.streams import EPISODE_SQL
 from tidewarden.sources import views
 
@@ -337,7 +338,8 @@ def a46(spark, sf):
     return metrics.histogram(_test(spark, sf), "anomaly_score", "label").select("label", "bin", *r6("left_edge"), "n", *r6("density"))
 
 
-REP = 50
+REP = 300
+PAIRED_REP = 500
 
 
 def _weights(seed: int, *keys: str) -> str:
@@ -348,13 +350,32 @@ def _weights(seed: int, *keys: str) -> str:
     "a49_bootstrap_mean",
     f"""WITH r AS (SELECT unnest(range({REP})) AS replicate), x AS (SELECT replicate, value, {_weights(0, 'event_id')} AS w FROM events, r),
 m AS (SELECT replicate, sum(w * value) / sum(w) AS stat FROM x GROUP BY replicate)
-SELECT round(avg(stat), 6) AS point, round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, count(*)::BIGINT AS n_replicates FROM m""",
+SELECT (SELECT round(avg(value), 6) FROM events) AS point, round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, count(*)::BIGINT AS n_replicates FROM m""",
 )
 def a49(spark, sf):
     ci = bootstrap.mean_interval(views.table(spark, sf, "events"), "value", "event_id", REP)
     return ci.select(*r6("point", "ci_low", "ci_high"), "n_replicates")
 
 
+def _median(rows: str) -> str:
+    """Weighted median of ``value`` with linear interpolation: the middle one or two of the repeated rows."""
+    return f"""c AS (SELECT replicate, value, sum(w) AS n FROM {rows} GROUP BY ALL HAVING sum(w) > 0),
+o AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY value) AS upto, sum(n) OVER (PARTITION BY replicate) AS total FROM c),
+m AS (SELECT replicate, (min(value) FILTER (upto > floor((total - 1) / 2.0)) + min(value) FILTER (upto > ceil((total - 1) / 2.0))) / 2 AS stat FROM o GROUP BY replicate)"""
+
+
+@query(
+    "a49_bootstrap_median",
+    f"""WITH r AS (SELECT unnest(range({REP})) AS replicate), v AS (SELECT value, event_id FROM events WHERE event_type = 'error'),
+x AS (SELECT replicate, value, {_weights(0, 'event_id')} AS w FROM v, r), {_median('x')}
+SELECT (SELECT round(median(value), 6) FROM v) AS point, round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, count(*)::BIGINT AS n_replicates FROM m""",
+)
+def a49_median(spark, sf):
+    rows = views.table(spark, sf, "events").filter("event_type = 'error'")
+    ci = bootstrap.median_interval(rows, "value", "event_id", REP)
+    return ci.select(*r6("point", "ci_low", "ci_high"), "n_replicates")
+
+
 @query(
     "a50_bootstrap_metrics",
     f"""WITH {PAIRS}, r AS (SELECT unnest(range({REP})) AS replicate), x AS (SELECT replicate, s, yt AS y, (s > 2000)::INT AS p, {_weights(0, 'doc_id')} AS w FROM pr, r),
@@ -375,7 +396,7 @@ def a50(spark, sf):
 @query(
     "a51_paired_difference",
     f"""WITH {PAIRS}, me AS (SELECT doc_id, 'size' AS method, s, 2000.0 AS cut, y FROM pr UNION ALL SELECT doc_id, 'hash', {u(9, 'doc_id')}, 0.5, y FROM pr),
-fo AS (SELECT *, floor({u(42, 'doc_id')} * 3) AS fold FROM me), r AS (SELECT unnest(range({REP})) AS replicate),
+fo AS (SELECT *, floor({u(42, 'doc_id')} * 3) AS fold FROM me), r AS (SELECT unnest(range({PAIRED_REP})) AS replicate),
 x AS (SELECT replicate, fold, method, s, y, {_weights(0, 'doc_id')} AS w FROM fo, r),
 c0 AS (SELECT replicate, fold, method, s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM x GROUP BY ALL),
 cv AS (SELECT *, sum(pos) OVER q AS tp, sum(pos) OVER g AS np, sum(neg) OVER g AS nn FROM c0 WHERE pos + neg > 0 WINDOW q AS (PARTITION BY replicate, fold, method ORDER BY s DESC), g AS (PARTITION BY replicate, fold, method)),
@@ -385,12 +406,10 @@ m AS (SELECT replicate, avg(d) AS stat FROM d WHERE d IS NOT NULL GROUP BY repli
 SELECT round(avg(stat), 6) AS point, round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, count(*)::BIGINT AS n_replicates FROM m""",
 )
 def a51(spark, sf):
-    from tidewarden.functions.hashing import md5_uniform
-
     rows = views.score_label_pairs(spark, sf).withColumn("fold", F.floor(md5_uniform(42, "doc_id") * 3))
     size = rows.withColumns({"method": F.lit("size"), "cut": F.lit(2000.0)})
     hashed = rows.withColumns({"method": F.lit("hash"), "anomaly_score": md5_uniform(9, "doc_id"), "cut": F.lit(0.5)})
-    ci = bootstrap.paired_difference(size.unionByName(hashed), "size", "hash", "doc_id", REP)
+    ci = bootstrap.paired_difference(size.unionByName(hashed), "size", "hash", "doc_id", PAIRED_REP)
     return ci.select(*r6("point", "ci_low", "ci_high"), "n_replicates")
 
 
@@ -420,16 +439,42 @@ def e15(spark, sf):
     return ev.best_threshold_report(rows).select(*r6("roc_auc", "auprc", "threshold", "f1"), *b("tp", "fp", "fn", "tn"))
 
 
+def leaky_records(spark, sf):
+    """Records in which a fifth of one family's windows slipped into the training split."""
+    slipped = (F.col("attack_family") == "Probe") & (md5_uniform(77, "sample_id") < 0.2)
+    return base.records(spark, sf).withColumn("split", F.when(slipped, "train_benign").otherwise(F.col("split")))
+
+
+LEAKY = f"""WITH {RECORDS},
+lk AS (SELECT * REPLACE (CASE WHEN attack_family = 'Probe' AND {u(77, 'sample_id')} < 0.2 THEN 'train_benign' ELSE split END AS split) FROM rec),
+fm AS (SELECT unnest(['', 'Flood', 'Probe']) AS family),
+tr AS (SELECT fm.family, lk.*, row_number() OVER (PARTITION BY fm.family ORDER BY {u(42, 'dataset_id', 'sample_id')}, dataset_id, sample_id) - 1 AS mi FROM lk, fm
+ WHERE split = 'train_benign' AND NOT list_contains(string_split(attack_family, '|'), fm.family)),
+mm AS (SELECT * FROM tr WHERE mi < 64),
+s0 AS (SELECT mm.family, q.sample_id, q.split, q.label, q.attack_family, min(round(1 - greatest(-1, least(1, list_dot_product(q.e, mm.e))), 9)) AS s
+ FROM lk q CROSS JOIN mm WHERE q.split IN ('calibration_benign', 'test') GROUP BY ALL),
+q0 AS (SELECT family, s FROM s0 WHERE split = 'calibration_benign'),
+q1 AS (SELECT family, stddev_samp(s) AS sd, median(s) AS med, quantile_cont(s, 0.995) AS pct FROM q0 GROUP BY family),
+q2 AS (SELECT family, 1.4826 * median(abs(s - med)) AS sig FROM q0 JOIN q1 USING (family) GROUP BY family),
+tu AS (SELECT family, greatest(pct, med + 3.5 * sig) + 0.25 * CASE WHEN sig > 1e-12 THEN sig ELSE sd END AS tau FROM q1 JOIN q2 USING (family)),
+mh AS (SELECT family, string_agg(sample_id, ',' ORDER BY mi) AS ids FROM mm GROUP BY family),
+fx AS (SELECT family, s, (label = 'attack')::INT AS y, (s > tau)::INT AS p FROM s0 JOIN tu USING (family)
+ WHERE family <> '' AND split = 'test' AND (label = 'benign' OR list_contains(string_split(attack_family, '|'), family)))"""
+
+
 @query(
     "e3_leave_one_family_out",
-    FAMILY
-    + """ , ct AS (SELECT f.family, count(*) AS total, count(*) FILTER (split IN ('train_benign', 'calibration_benign')) AS ref FROM (SELECT split, unnest(string_split(attack_family, '|')) AS family FROM rec WHERE label = 'attack') f GROUP BY 1)
-SELECT family, total::BIGINT AS rows_total_for_family, ref::BIGINT AS rows_in_reference, 0.0::DOUBLE AS tau_delta_vs_baseline, 0 AS memory_changed, round(auc, 6) AS roc_auc, round(CASE WHEN tp>0 THEN 2.0*tp/(2*tp+fp+fn) ELSE 0 END, 6) AS f1 FROM cm JOIN rk USING (family) JOIN ct USING (family)""",
+    LEAKY
+    + f"""{curve_sql('fx', by='family')}, rk AS (SELECT family, {AUC} AS auc, {AP} AS ap FROM cv GROUP BY family),
+cm AS (SELECT family, count(*) FILTER (y=0 AND p=1) AS fp, count(*) FILTER (y=0) AS nn, count(*) FILTER (y=1 AND p=0) AS fn, count(*) FILTER (y=1 AND p=1) AS tp FROM fx GROUP BY family),
+ct AS (SELECT family, count(*) AS total, count(*) FILTER (split IN ('train_benign', 'calibration_benign')) AS ref FROM (SELECT split, unnest(string_split(attack_family, '|')) AS family FROM lk WHERE label = 'attack') GROUP BY 1)
+SELECT cm.family, total::BIGINT AS rows_total_for_family, ref::BIGINT AS rows_in_reference, ref > 0 AS rebuilt, round(tu.tau, 6) AS tau, round(tu.tau - z.tau, 6) AS tau_delta_vs_baseline,
+ (mh.ids <> zh.ids)::INT AS memory_changed, tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp, round(CASE WHEN tp > 0 THEN 2.0*tp/(2*tp+fp+fn) ELSE 0 END, 6) AS f1, round(fp / nn, 6) AS fpr, round(auc, 6) AS roc_auc, round(ap, 6) AS auprc
+FROM cm JOIN rk USING (family) JOIN ct USING (family) JOIN tu USING (family) JOIN mh USING (family) JOIN tu z ON z.family = '' JOIN mh zh ON zh.family = ''""",
 )
 def e3(spark, sf):
-    from tidewarden.operators.memory import CAPACITY
-
-    rows = ev.leave_one_family_out(base.records(spark, sf), base.predictions(spark, sf), ["Flood", "Probe"], CAPACITY)
+    rows = ev.leave_one_family_out(leaky_records(spark, sf), ["Flood", "Probe"], 64, selection="reservoir")
     return rows.select(
-        "family", "rows_total_for_family", "rows_in_reference", "tau_delta_vs_baseline", "memory_changed", *r6("roc_auc", "f1")
-    )
+        "family", "rows_total_for_family", "rows_in_reference", "rebuilt", *r6("tau", "tau_delta_vs_baseline"), "memory_changed",
+        *b("tp", "fn", "fp"), *r6("f1", "fpr", "roc_auc", "auprc"),
+    )

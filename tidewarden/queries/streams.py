@@ -25,7 +25,11 @@ g2 AS (SELECT *, CASE WHEN an THEN sum(CASE WHEN an THEN 1 ELSE 0 END) OVER (PAR
 g3 AS (SELECT *, streak >= {debounce} AS conf, streak >= {debounce} AND NOT coalesce(lag(streak >= {debounce}) OVER (PARTITION BY stream_id ORDER BY stream_pos), false) AS raised FROM g2)"""
 
 
-GAPPED = EVENTS + f", eg AS (SELECT * FROM es WHERE {u(7, 'event_id')} >= 0.1)" + streak_sql("eg")
+GAPPED = (
+    EVENTS
+    + f""", eg AS (SELECT * REPLACE (stream_pos + sum(({u(7, 'event_id')} < 0.1)::INT) OVER (PARTITION BY stream_id ORDER BY stream_pos) AS stream_pos) FROM es)"""
+    + streak_sql("eg")
+)
 # event episodes: runs of one attack type inside a user's stream
 EPISODES = (
     EVENTS
@@ -150,12 +154,22 @@ def a16(spark, sf):
 
 @query(
     "p16_stream_metadata_complete",
-    f"WITH {EVENTS} SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (stream_id IS NULL OR trim(stream_id) = '' OR stream_pos IS NULL)::BIGINT AS n_incomplete FROM es",
+    f"""WITH {EPISODES}, c AS (SELECT count(*) = 0 AS complete FROM al WHERE stream_id IS NULL OR trim(stream_id) = '' OR stream_pos IS NULL OR episode_id IS NULL OR trim(episode_id) = ''),
+h AS (SELECT count(*) FILTER (event_id % 1000 = 7) = 0 AS none FROM al)
+SELECT 'all' AS variant, complete FROM c UNION ALL SELECT 'null_position', complete AND none FROM c, h UNION ALL SELECT 'blank_episode', complete AND none FROM c, h UNION ALL SELECT 'no_episode_column', false""",
 )
 def p16(spark, sf):
-    rows = views.event_stream(spark, sf)
-    blank = F.col("stream_id").isNull() | (F.trim("stream_id") == "") | F.col("stream_pos").isNull()
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(blank, 1)).alias("n_incomplete"))
+    """The check itself on the whole table, on tables in which some values are missing, and without a column."""
+    rows = event_alerts(spark, sf).select("event_id", "stream_id", "stream_pos", "episode_id")
+    some = F.col("event_id") % 1000 == 7
+    variants = {
+        "all": rows,
+        "null_position": rows.withColumn("stream_pos", F.when(~some, F.col("stream_pos"))),
+        "blank_episode": rows.withColumn("episode_id", F.when(some, " ").otherwise(F.col("episode_id"))),
+        "no_episode_column": rows.drop("episode_id"),
+    }
+    found = [(name, alerts.stream_metadata_complete(v)) for name, v in variants.items()]
+    return spark.createDataFrame(found, "variant string, complete boolean")
 
 
 # ---- splits and folds: documents stand in for windows with a start, an end and a label
@@ -180,7 +194,7 @@ p AS (SELECT *, row_number() OVER (ORDER BY start_time, window_key) - 1 AS pos,
 bl AS (SELECT *, CASE WHEN pos < floor(n * 0.6) THEN 'train' WHEN pos < floor(n * 0.8) THEN 'dev' ELSE 'test' END AS block FROM p),
 te AS (SELECT max(end_time) AS e FROM bl WHERE block = 'train'),
 dv AS (SELECT bl.* FROM bl, te WHERE block = 'dev' AND start_time >= e),
-de AS (SELECT max(end_time) AS e FROM dv),
+de AS (SELECT max(end_time) AS e FROM bl WHERE block = 'dev'),
 ts AS (SELECT bl.* FROM bl, de WHERE block = 'test' AND (e IS NULL OR start_time >= e)),
 al AS (SELECT * FROM bl WHERE block = 'train' UNION ALL SELECT * FROM dv UNION ALL SELECT * FROM ts)"""
 
@@ -244,12 +258,13 @@ def w9(spark, sf):
 @query(
     "w10_repeated_halves",
     f"""WITH {RECORDS}, s AS (SELECT unnest(range(20)) AS seed),
-x AS (SELECT seed, label, CASE WHEN {u('(seed)', 'sample_id').replace('(seed)', 'CAST(seed AS VARCHAR)')} < 0.5 THEN 'dev' ELSE 'test' END AS half FROM rec, s WHERE split = 'test')
-SELECT seed::INT AS seed, half, label, count(*)::BIGINT AS n FROM x GROUP BY ALL""",
+r AS (SELECT seed, label, sample_id, {u('(seed)', 'sample_id').replace('(seed)', 'CAST(seed AS VARCHAR)')} AS u FROM rec, s WHERE split = 'test'),
+p AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY u, sample_id) - 1 AS pos, count(*) OVER (PARTITION BY seed, label) AS n FROM r)
+SELECT seed::INT AS seed, sample_id, label, CASE WHEN pos < floor(n * 0.5) THEN 'dev' ELSE 'test' END AS half FROM p""",
 )
 def w10(spark, sf):
-    rows = splits.repeated_halves(base.records(spark, sf).filter("split = 'test'"), "sample_id")
-    return rows.groupBy("seed", "half", "label").agg(F.count(F.lit(1)).alias("n"))
+    rows = splits.repeated_halves(base.records(spark, sf).filter("split = 'test'"), "sample_id", "label")
+    return rows.select("seed", "sample_id", "label", "half")
 
 
 @query(
@@ -264,13 +279,14 @@ def w11(spark, sf):
 
 @query(
     "w12_random_split",
-    f"""WITH {RECORDS}, x AS (SELECT sample_id, label, {u(5, 'label', 'sample_id')} AS u FROM rec WHERE split = 'test')
-SELECT label, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'dev' ELSE 'test' END AS part, count(*)::BIGINT AS n FROM x GROUP BY ALL""",
+    f"""WITH {RECORDS}, x AS (SELECT sample_id, label, {u(5, 'sample_id')} AS u FROM rec WHERE split = 'test'),
+p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u, sample_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM x)
+SELECT sample_id, label, CASE WHEN pos < floor(n * 0.6) THEN 'train' WHEN pos < floor(n * 0.8) THEN 'dev' ELSE 'test' END AS part FROM p""",
 )
 def w12(spark, sf):
     test = base.records(spark, sf).filter("split = 'test'")
-    part = splits.random_part(md5_uniform(5, "label", "sample_id"), [(0.6, "train"), (0.8, "dev")], "test")
-    return test.groupBy("label", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    rows = splits.stratified_split(test, "sample_id", "label", [(0.6, "train"), (0.8, "dev")], "test", seed=5)
+    return rows.select("sample_id", "label", "part")
 
 
 @query(
@@ -292,15 +308,27 @@ def w13(spark, sf):
 
 @query(
     "e5_debounce_ablation",
-    f"""WITH {PRED}, ls AS (SELECT unnest([1, 2, 3, 4]) AS l), t AS (SELECT l, (label = 'attack') AS y, streak >= l AS p, streak = l AS edge FROM pred, ls WHERE split = 'test')
-SELECT l::INT AS debounce, count(*) FILTER (y AND p)::BIGINT AS tp, count(*) FILTER (NOT y AND p)::BIGINT AS fp, count(*) FILTER (edge)::BIGINT AS n_alerts,
- round(count(*) FILTER (y AND p) / count(*) FILTER (y), 6) AS recall, round(count(*) FILTER (NOT y AND p) / count(*) FILTER (NOT y), 6) AS fpr FROM t GROUP BY l""",
+    f"""WITH {PRED}, ls AS (SELECT unnest([1, 2, 3, 4]) AS l),
+g AS (SELECT *, coalesce(lag(an) OVER (PARTITION BY stream_id ORDER BY stream_pos), false) AS hit_before FROM pred WHERE split = 'test'),
+t AS (SELECT l, stream_id, episode_id, stream_pos, label, an, (label = 'attack') AS y, streak >= l AS p, streak = l AND (l > 1 OR NOT hit_before) AS raised FROM g, ls),
+ep AS (SELECT l, stream_id, episode_id, min(stream_pos) FILTER (p) AS c, min(stream_pos) FILTER (an) AS f, max(raised::INT) AS det FROM t WHERE label = 'attack' GROUP BY ALL),
+em AS (SELECT l, count(*) AS n_episodes, sum(det) AS n_true, avg(greatest(0, c - f)) FILTER (det = 1) AS delay FROM ep GROUP BY l),
+k AS (SELECT l, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND an) AS stp, count(*) FILTER (NOT y AND an) AS sfp, count(*) FILTER (y) AS np,
+ count(*) FILTER (NOT y) AS nn, count(*) FILTER (raised) AS n_alerts, count(*) FILTER (NOT y AND raised) AS nf FROM t GROUP BY l)
+SELECT l::INT AS debounce, tp::BIGINT AS alert_tp, fp::BIGINT AS alert_fp, stp::BIGINT AS sample_tp, sfp::BIGINT AS sample_fp, n_alerts::BIGINT AS n_alerts, n_episodes::BIGINT AS n_episodes, n_true::BIGINT AS n_true_alerts,
+ nf::BIGINT AS n_false_alerts, round(tp / np, 6) AS alert_recall, round(fp / nn, 6) AS alert_fpr, round(stp / np, 6) AS sample_recall, round(sfp / nn, 6) AS sample_fpr,
+ round(n_true / n_episodes, 6) AS detection_rate, round(delay::DOUBLE, 6) AS mean_detection_delay_steps, round(delay::DOUBLE * 30, 6) AS mean_detection_delay_seconds FROM k JOIN em USING (l)""",
 )
 def e5(spark, sf):
     from tidewarden.plans.ablation import debounce_ablation
 
     rows = debounce_ablation(base.predictions(spark, sf).filter("split = 'test'"))
-    return rows.select("debounce", *b("tp", "fp", "n_alerts"), *r6("recall", "fpr"))
+    return rows.select(
+        "debounce",
+        *b("alert_tp", "alert_fp", "sample_tp", "sample_fp", "n_alerts", "n_episodes", "n_true_alerts", "n_false_alerts"),
+        *r6("alert_recall", "alert_fpr", "sample_recall", "sample_fpr", "detection_rate"),
+        *r6("mean_detection_delay_steps", "mean_detection_delay_seconds"),
+    )
 
 
 del metrics

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,10 +99,36 @@ def write_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+WHOLE_FILE = 128 << 20
+CHUNK_BYTES = 1 << 20
+
+
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per input file, hashed on the executors."""
+    """SHA-256 per input file, hashed on the executors.
+
+    Files up to ``WHOLE_FILE`` bytes come through Spark's reader. Larger ones are not read by it:
+    a task streams them a megabyte at a time, so a file's size is no limit.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path"), F.col("length"), F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= WHOLE_FILE)
+    large = files.filter(F.col("length") > WHOLE_FILE).select("path", "length")
+    streamed = large.mapInArrow(_streamed, "path string, length bigint, sha256 string")
+    return small.select("path", "length", F.sha2("content", 256).alias("sha256")).unionByName(streamed)
+
+
+def _streamed(batches):
+    for batch in batches:
+        found = [_sha256(p) for p in batch.column("path").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+
+def _sha256(path: str) -> str:
+    fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    digest = hashlib.sha256()
+    with fs.open_input_stream(name) as stream:
+        while part := stream.read(CHUNK_BYTES):
+            digest.update(part)
+    return digest.hexdigest()
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,15 +24,23 @@ OUTPUT = (
     " alert_state string, confirmed_alert boolean, alert_raised boolean, delay_streak bigint"
 )
 STATE = "streak bigint, first_pos bigint, last_pos bigint, was_confirmed boolean, n_confirmed bigint"
+SNAPSHOT_EVERY = 20  # triggers between full state tables
 CARRY = "stream_id string, stream_pos bigint, consecutive_anomalies bigint"
 
 
-def tracker(debounce: int) -> Callable:
-    """State update for one stream: streak, first anomaly of the run, reset on a jump, late rows."""
+def tracker(debounce: int, idle_ms: int | None = None) -> Callable:
+    """State update for one stream: streak, first anomaly of the run, reset on a jump, late rows.
+
+    Of rows that repeat a position the anomalous one counts and the others are late. A stream
+    without rows for ``idle_ms``, if given, loses its state; if it comes back, it starts anew.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         streak, first, last, was, total = state.get if state.exists else (0, -1, None, False, 0)
-        rows = pd.concat(list(frames)).sort_values("stream_pos", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["stream_pos", "is_anomaly"], ascending=[True, False], kind="stable")
         out = []
         for pos, hit in zip(rows["stream_pos"], rows["is_anomaly"]):
             if last is not None and pos <= last:
@@ -49,6 +57,8 @@ def tracker(debounce: int) -> Callable:
             out.append((key[0], pos, hit, False, streak, name, confirmed, raised, last - first if confirmed else None))
             was = confirmed
         state.update((streak, first, last, was, total))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         names = [c.split()[0] for c in OUTPUT.split(", ")]
         done = pd.DataFrame(out, columns=names)
         for c in ("consecutive_anomalies", "delay_streak"):
@@ -58,24 +68,33 @@ def tracker(debounce: int) -> Callable:
     return update
 
 
-def track(stream: DataFrame, debounce: int = 3) -> DataFrame:
-    """Streaming frame with ``stream_id, stream_pos, is_anomaly`` to alert states."""
+def track(stream: DataFrame, debounce: int = 3, idle_ms: int | None = None) -> DataFrame:
+    """Streaming frame with ``stream_id, stream_pos, is_anomaly`` to alert states.
+
+    An endless stream whose ids come and go should name ``idle_ms``, after which a silent stream's
+    state expires. A query that runs until its input is read must not: Spark would go on for ever
+    to serve timeouts.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     rows = stream.select("stream_id", F.col("stream_pos").cast("bigint").alias("stream_pos"), "is_anomaly")
     return rows.groupBy("stream_id").applyInPandasWithState(
-        tracker(debounce), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        tracker(debounce, idle_ms), OUTPUT, STATE, "append", timeout
     )
 
 
 def continue_streaks(batch: DataFrame, carry: DataFrame, debounce: int) -> tuple[DataFrame, DataFrame]:
-    """One trigger on top of the last state: (alert rows, new state).
+    """One trigger on top of the last state: (alert rows, states of the streams it touched).
 
-    The last row of each stream is put in front of its new rows. A run that reaches back to it
+    Of rows that repeat a position the anomalous one counts and the others are late. The last row of each stream is put in front of its new rows. A run that reaches back to it
     continues its streak.
     """
     start = carry.select("stream_id", F.col("stream_pos").alias("_from"), F.col("consecutive_anomalies").alias("_run"))
-    rows = batch.select("stream_id", "stream_pos", "is_anomaly").join(start, "stream_id", "left")
-    late = rows.filter(F.col("stream_pos") <= F.col("_from"))
-    fresh = rows.filter(F.col("_from").isNull() | (F.col("stream_pos") > F.col("_from"))).withColumn("_old", F.lit(False))
+    same_place = Window.partitionBy("stream_id", "stream_pos").orderBy(F.desc("is_anomaly"))
+    rows = batch.select("stream_id", "stream_pos", "is_anomaly").withColumn("_copy", F.row_number().over(same_place))
+    rows = rows.join(start, "stream_id", "left")
+    passed = F.coalesce(F.col("stream_pos") <= F.col("_from"), F.lit(False)) | (F.col("_copy") > 1)
+    late = rows.filter(passed).drop("_copy")
+    fresh = rows.filter(~passed).drop("_copy").withColumn("_old", F.lit(False))
     seeds = start.join(batch.select("stream_id").distinct(), "stream_id", "left_semi").select(
         "stream_id", F.col("_from").alias("stream_pos"), (F.col("_run") > 0).alias("is_anomaly"), "_from", "_run", F.lit(True).alias("_old")
     )
@@ -109,24 +128,38 @@ def continue_streaks(batch: DataFrame, carry: DataFrame, debounce: int) -> tuple
         F.lit(None).cast("bigint").alias("delay_streak"),
     )
     last = done.groupBy("stream_id").agg(F.max(F.struct("stream_pos", "consecutive_anomalies")).alias("l"))
-    moved = last.select("stream_id", "l.stream_pos", "l.consecutive_anomalies")
-    kept = carry.join(moved.select("stream_id"), "stream_id", "left_anti")
-    return alerts.unionByName(refused), kept.unionByName(moved)
+    return alerts.unionByName(refused), last.select("stream_id", "l.stream_pos", "l.consecutive_anomalies")
+
+
+def latest(carry: DataFrame, moved: DataFrame) -> DataFrame:
+    """States after a trigger: those it moved, and the untouched ones."""
+    return carry.join(moved.select("stream_id"), "stream_id", "left_anti").unionByName(moved)
+
+
+def _state_before(spark: SparkSession, state: str, number: int) -> DataFrame:
+    """Newest state of every stream: the last full table and the changes after it."""
+    if number == 0:
+        return spark.createDataFrame([], CARRY)
+    full = (number - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    paths = [os.path.join(state, f"batch={n}") for n in range(full, number)]
+    rows = spark.read.schema(f"{CARRY}, trigger bigint").parquet(*paths)
+    newest = F.max_by(F.struct("stream_pos", "consecutive_anomalies"), "trigger")
+    return rows.groupBy("stream_id").agg(newest.alias("l")).select("stream_id", "l.stream_pos", "l.consecutive_anomalies")
 
 
 def track_batches(stream: DataFrame, out: str, state: str, debounce: int = 3):
     """``foreachBatch`` writer: alerts to ``out/batch=n``, states to ``state/batch=n``.
 
-    A trigger that is run again after a failure overwrites its own folders and starts from the
-    state of the trigger before it, so the result is the same.
+    A trigger writes the states it moved, every ``SNAPSHOT_EVERY``-th one all of them. A trigger that
+    is run again after a failure overwrites its own folders and starts from the states before it,
+    so the result is the same.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = os.path.join(state, f"batch={number - 1}")
-        carry = spark.read.schema(CARRY).parquet(before) if number > 0 else spark.createDataFrame([], CARRY)
-        alerts, after = continue_streaks(batch, carry, debounce)
+        carry = _state_before(batch.sparkSession, state, number)
+        alerts, moved = continue_streaks(batch, carry, debounce)
         alerts.write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
-        after.write.mode("overwrite").parquet(os.path.join(state, f"batch={number}"))
+        after = latest(carry, moved) if number % SNAPSHOT_EVERY == 0 else moved
+        after.withColumn("trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(os.path.join(state, f"batch={number}"))
 
     return stream.writeStream.foreachBatch(step)
