@@ -6,8 +6,9 @@ values: each band's values make a key, and the odd sketch folds every value into
 bitmap, flipping it. Where two sketches differ in x of their n bits, the sets' resemblance is about
 1 + n / (4 K) ln(1 - 2 x / n): precise just where sets are alike.
 
-Representatives that share a band key are candidates. In each bucket the smallest is the centre and
-every member is compared with it, so a group of copies costs its size, not its square. Pairs whose
+Representatives that share a band key are candidates. In each bucket one is the centre, the first by
+one of a few hash orders, and every member is compared with it, so a group of copies costs its
+size, not its square. Pairs whose
 sketches put them beyond doubt below the threshold go; the others are confirmed on the full sets.
 Linked representatives form components. A bucket that then still holds members of several
 components is open: all its pairs of different components are candidates, unless their distances
@@ -42,6 +43,7 @@ BANDS, ROWS = 40, 5
 BITS = 1024
 DOUBT = 0.62  # estimates have a spread of about 0.03 at the threshold; five of them are left
 LEAST_SHARED = 2  # bands
+ORDERS = 8  # of members, by which buckets choose their centres
 CHUNK = 64  # members that share one copy of their centre's text
 SEED = 6
 BROADCAST_IDS = 1_000_000
@@ -240,8 +242,13 @@ def classes(sketched: DataFrame) -> DataFrame:
 def links(reps: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """``a, b`` of linked representatives: enough of them to join every component."""
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = written(keyed.join(shared.hint("merge"), "key").select("key", "centre", "rep"), "buckets")
+    # the order that names the centre depends on the key: were it always the smallest id, one poor
+    # centre would serve all buckets of a group and leave its outer members unlinked
+    keyed = keyed.withColumn("order", F.xxhash64("rep", F.pmod("key", F.lit(ORDERS))))
+    shared = keyed.groupBy("key").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(keyed.join(shared.hint("merge"), "key").select("key", "rep", "order", "first"), "members")
+    centres = members.filter(F.col("order") == F.col("first")).groupBy("key").agg(F.min("rep").alias("centre"))
+    buckets = written(members.select("key", "rep").join(centres.hint("merge"), "key"), "buckets")
     stars = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = written(likely(stars, reps, threshold=threshold), "stars")
     confirmed = written(confirm(tested.filter("open").select("a", "b"), texts, threshold, shingle), "confirmed")
@@ -290,14 +297,15 @@ def open_links(
         .select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b"))
         .distinct()
     )
-    fresh = written(pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "open-pairs")
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = written(pairs.join(known.hint("merge"), ["a", "b"], "left_anti"), "open-pairs")
     hopeful = written(likely(fresh, reps, threshold=threshold).filter("open").select("a", "b"), "hopeful")
     if hopeful.isEmpty():
         return hopeful
     return confirm(hopeful, texts, threshold, shingle).filter("linked").select("a", "b")
 
 
-def peeled(members: DataFrame, rounds: int = 3) -> DataFrame:
+def peeled(members: DataFrame, rounds: int = 2) -> DataFrame:
     """Members of open buckets that share enough of them to be linked.
 
     All buckets that a linked pair of different components shares are open, and at the threshold it
