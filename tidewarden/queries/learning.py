@@ -180,6 +180,8 @@ def e8(spark, sf):
     cal = base.scores(spark, sf).filter("split = 'calibration_benign'")
     t = ablation.threshold_ablation(base.scores(spark, sf).filter("split = 'test'"), threshold.calibrate(cal))
     d = ablation.debounce_ablation(base.predictions(spark, sf).filter("split = 'test'"))
+    d = d.withColumnsRenamed({f"alert_{c}": c for c in ("tn", "fp", "fn", "tp", "recall", "fpr", "f1")})
+    d = d.withColumn("n_samples", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
     out = reports.ablation_summary({"threshold": (t, "method"), "debounce": (d, "debounce")})
     return out.select("arm", "variant", "n_samples", *r6("recall", "fpr", "threshold"), "n_alerts")
 
