@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -104,3 +105,31 @@ def test_without_labels(spark, documents):
     assert toxicity.classify(documents([]), none).count() == 0
     one = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id bigint, toxic int")
     assert {r["score"] for r in toxicity.classify(documents([(i, "a b") for i in range(30)]), one).collect()} == {0.0}
+
+
+def test_one_long_text_pushes_no_other_out(spark, documents):
+    texts, labels = corpus(240)
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int")
+    learned = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+    # the first draw of each label is over the whole sample's bound
+    long = [min((i for i in learned if labels[i] == y), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for y in (0, 1)]
+    docs = documents(list(enumerate(texts)))
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(long), F.repeat("text", 8_000_000 // 300)).otherwise(F.col("text")))
+    assert docs.filter(F.length("text") > toxicity.MAX_CHARS // 2).count() == 2
+    got = [g for g in toxicity.classify(docs, known).collect() if g["held_out"]]
+    assert np.mean([g["predicted"] == labels[g["doc_id"]] for g in got]) > 0.95
+
+
+def test_bound_of_the_sample(spark, documents):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:12]
+    known = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, toxic int")
+    short = [(i, f"word{i} and more") for i in ids[2:]]
+    many = " ".join(f"x{j}" for j in range(5000))
+    docs = documents([(ids[0], many), (ids[1], many + " " + "y" * 5000), (ids[1], many + " " + "y" * 5000), *short])
+    got = toxicity.training_rows(docs, known, max_chars=1000).collect()
+    assert len(got) == 12
+    for y in (0, 1):
+        bags = [r["words"] for r in got if r["toxic"] == y]
+        size = [sum(map(len, b)) for b in bags]
+        assert 490 <= sum(size) <= 500 and sum(b == toxicity.word_set(t) for b in bags for _, t in short) == 5
+    assert toxicity.common_size([3, 9, 100, 50], 40) == 14 and toxicity.common_size([3, 9], 40) == 9 and toxicity.common_size([], 40) == 0

@@ -19,8 +19,10 @@ subsequence code, and a word costs the same however many landmarks there are. A
 is its most toxic word's; a logistic curve, fitted on sampled documents set aside, turns it into
 a score from 0 to 1.
 
-The classifier is fitted on a bounded sample of labelled documents (``MAX_DOCS`` of each label, in
-order of a hash of the id, ``MAX_CHARS`` characters in all); every text is scored in whole.
+The classifier is fitted on a bounded sample: ``MAX_DOCS`` documents of each label, in order of a
+hash of the id, as sets of different words. Only where the sets of a label exceed half of
+``MAX_CHARS`` are the largest brought down to one common size, by words drawn by hash; a long text
+never pushes another document out. Every text is scored in whole.
 
 Rows: null and empty texts have no words and get the curve's lowest score; null doc_ids are never
 training rows and count as not held out; repeated rows score alike; without labels of both kinds every
@@ -29,6 +31,7 @@ score is 0; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,9 +40,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewarden.session import written
+
 ORDER, SKIPS, DECAY = 4, 2, 0.6
 TABLE_BITS = 20
 LANDMARKS = 128  # of each label
@@ -51,6 +56,7 @@ ROUNDS = 3
 REJECT = 0.7
 CACHED_WORDS = 300_000
 SCORED = "doc_id bigint, score double"
+BAGS = "doc_id bigint, toxic int, draw string, words array<string>, chars bigint"
 
 #: Gaps between the characters of a subsequence, with its weight.
 PATTERNS = [
@@ -192,14 +198,19 @@ def _with_letter(word: str, random: np.random.Generator) -> str:
     return word[:at] + "abcdefghijklmnopqrstuvwxyz"[int(random.integers(0, 26))] + word[at:]
 
 
+def word_set(text: str | None) -> list[str]:
+    """The different words of a text's sentences, in order."""
+    return sorted({w for s in sentences(text) for w in words(s)})
+
+
 class Bags:
-    """Sampled documents as sets of words, each different word kept once."""
+    """Sampled documents, as texts or as lists of words, each different word kept once."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list):
         index: dict[str, int] = {}
         self.rows = []
         for text in texts:
-            found = {w for s in sentences(text) for w in words(s)}
+            found = word_set(text) if isinstance(text, str) else text
             self.rows.append(np.array(sorted(index.setdefault(w, len(index)) for w in found), np.int64))
         self.words = list(index)
 
@@ -221,8 +232,8 @@ class Bags:
         return np.clip((seen[1] / n[1] - seen[0] / n[0]) / spread - 4, 0, 20)
 
 
-def fit(texts: list[str], labels: list[int]) -> Model | None:
-    """A model from labelled texts, or None unless both labels occur. A fifth is set aside for the curve."""
+def fit(texts: list, labels: list[int]) -> Model | None:
+    """A model from labelled texts (or their lists of words), or None unless both labels occur. A fifth is set aside for the curve."""
     y = np.array(labels)
     bags = Bags(texts)
     aside = np.arange(len(y)) % 5 == 4
@@ -294,24 +305,72 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(-b / a)
 
 
+def common_size(sizes: list[int], total: int) -> int:
+    """The largest bound that, put on each of ``sizes``, keeps their sum within ``total``."""
+    left = total
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
+
+
+def drawn_words(doc_id: int, found: list[str], bound: int) -> list[str]:
+    """Words in order of a hash, as many as have ``bound`` characters in all; one too long is left out alone."""
+    out, chars = [], 0
+    for w in sorted(found, key=lambda w: hashlib.md5(f"{doc_id} {w}".encode()).digest()):
+        if chars + len(w) <= bound:
+            out.append(w)
+            chars += len(w)
+    return sorted(out)
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [word_set(t) for t in batch.column("text").to_pylist()]
+        chars = [sum(map(len, f)) for f in found]
+        rest = [batch.column(c) for c in ("doc_id", "toxic", "draw")]
+        columns = [*rest, pa.array(found, pa.list_(pa.string())), pa.array(chars, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "draw", "words", "chars"])
+
+
+def _bounded(bounds: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words", "chars")))
+            kept = [f if n <= bounds[y] else drawn_words(i, f, bounds[y]) for i, y, f, n in rows]
+            at = batch.schema.get_field_index("words")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
+
+    return run
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """``text, toxic`` of the bounded sample: labelled, not held out, in order of a hash of the id."""
+    """``words, toxic`` of the bounded sample: labelled, not held out, in order of a hash of the id.
+
+    Of rows that repeat a doc_id the one whose text has the smallest digest counts.
+    """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy("draw", "doc_id")
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = known.withColumn("draw", F.md5(F.col("doc_id").cast("string")))
     # the smallest draws of each label; taking them per label keeps the sort to max_docs rows a task
     chosen = drawn.filter("toxic = 1").orderBy("draw", "doc_id").limit(max_docs)
     chosen = chosen.union(drawn.filter("toxic = 0").orderBy("draw", "doc_id").limit(max_docs))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
-    so_far = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("chars", so_far).filter(F.col("chars") <= max_chars // 2).orderBy("draw", "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    one = rows.groupBy("doc_id", "toxic", "draw").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    bags = written(one.mapInArrow(_bags, BAGS), "toxicity-bags")
+    sizes: dict[int, list[int]] = {0: [], 1: []}
+    for r in bags.select("toxic", "chars").collect():  # at most max_docs of each label
+        sizes[r["toxic"]].append(r["chars"])
+    bounds = {y: common_size(n, max_chars // 2) for y, n in sizes.items()}
+    return bags.mapInArrow(_bounded(bounds), BAGS).orderBy("draw", "doc_id").select("words", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The sample is bounded by its parameters, so it may be fitted on the driver."""
     sample = training_rows(docs, labels).collect()
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    return fit([r["words"] for r in sample], [r["toxic"] for r in sample])
 
 
 def _scored(model):
