@@ -116,6 +116,47 @@ def test_ids_missing_or_repeated(spark, chosen):
     assert oddsketch.deduplicate(docs.limit(0)).count() == 0 and oddsketch.kept_rows(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_rows_stay_by_id_and_set(documents, monkeypatch, few):
+    if few:
+        monkeypatch.setattr(oddsketch, "BROADCAST_IDS", 0)
+    rows = [
+        (None, "red fox on the hill"),
+        (None, "blue whale under ice"),
+        (None, "blue whale under ice"),
+        (None, "green parrot in a tree"),
+        (None, "a text that document one has too"),
+        (None, "a text that document one has too"),
+        (None, None),
+        (None, ""),
+        (1, "a text that document one has too"),
+        (2, "a text that document one has too"),
+        (2, "quite another text of the same id"),
+        (2, "quite another text of the same id"),
+        (3, "yet another text that nothing shares"),
+        (4, ""),
+        (4, ""),
+        (4, "words of a document that was empty before"),
+    ]
+    want = [
+        (None, "blue whale under ice"),
+        (None, "green parrot in a tree"),
+        (None, "red fox on the hill"),
+        (None, None),
+        (None, ""),
+        (1, "a text that document one has too"),
+        (3, "yet another text that nothing shares"),
+        (4, ""),
+        (4, "words of a document that was empty before"),
+    ]
+    docs = documents(rows)
+    left = oddsketch.kept_rows(docs)
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    # document 2 counts as one for the components: both its classes have a decision of their own
+    assert sorted(map(str, got)) == sorted(map(str, [*want, (2, "quite another text of the same id")]))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 100), (100, 100)]
     got = dict(map(tuple, oddsketch.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))

@@ -22,7 +22,9 @@ fill.
 Rows: null or wordless texts have an empty set, link with nothing and are kept; repeated or equal
 texts are one class; rows that repeat a doc_id count as one document for the components and are
 all reported; rows without a doc_id belong to the component of an equal text, if there is one, and
-to none otherwise; other columns are ignored.
+to none otherwise; other columns are ignored. Where rows are dropped, each goes or stays by its own
+doc_id and set: only rows equal in both are repeats, of which the first in order of the columns
+stays; wordless rows without a doc_id repeat nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidewarden.session import written
 
@@ -323,10 +326,15 @@ def peeled(members: DataFrame, rounds: int = 2) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    return _decided(docs, threshold, shingle).drop("digest")
+
+
+def _decided(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """The rows of ``deduplicate`` with their set's digest."""
     sketched = written(sketch(docs, shingle), "sketches")
     reps = written(classes(sketched), "classes")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").filter("rep is not null")
-    found = components(links(reps, texts, threshold, shingle))
+    found = components(links(reps.filter("rep is not null"), texts, threshold, shingle))
     copied = sketched.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # only classes with copies or links need a look-up; every other document is its own component
     looked = (
@@ -338,15 +346,48 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHIN
     )
     slim = sketched.select("doc_id", "n_shingles", "digest")
     out = slim.join(looked.hint("merge"), "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "digest"
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _digests(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(t, size) for t in batch.column("text").to_pylist())
+            found = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            yield batch.append_column("kept__digest", pa.array(found, pa.binary()))
+
+    return run
+
+
 def kept_rows(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stay, in the columns of ``docs``: of each component the smallest doc_id, once."""
-    found = deduplicate(docs, threshold, shingle).groupBy(F.col("doc_id").alias("kept__id"))
-    ids = written(found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept-ids")
-    dropped = ids.filter("not kept").select("kept__id")
-    left = docs.join(_small(dropped), F.col("doc_id").eqNullSafe(F.col("kept__id")), "left_anti")
-    return left.dropDuplicates(["doc_id"]) if ids.filter("kept and n > 1").limit(1).count() else left
+    """The documents that stay, in the columns of ``docs``: of each component the smallest doc_id, repeats once.
+
+    Most ids have one decision for all their rows and go or stay by id. Only rows without an id and
+    those of ids that occur again get their digest once more, and go or stay by both.
+    """
+    found = _decided(docs, threshold, shingle).groupBy(F.col("doc_id").alias("kept__id"), F.col("digest").alias("kept__digest"))
+    sets = written(found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept-sets")
+    named = sets.filter("kept__id is not null").groupBy("kept__id")
+    ids = named.agg(F.max("kept").alias("any"), F.min("kept").alias("all"), F.max(F.when(F.col("kept"), F.col("n"))).alias("n"))
+    ids = written(ids.filter("not all or n > 1").select("kept__id", "any"), "kept-ids")
+    by_id = F.col("doc_id") == F.col("kept__id")
+    plain = docs.filter("doc_id is not null").join(_small(ids.select("kept__id")), by_id, "left_anti")
+    mixed = ids.filter("any").select("kept__id")
+    some_mixed, some_unnamed = bool(mixed.limit(1).count()), bool(sets.filter("kept__id is null").limit(1).count())
+    if not some_mixed and not some_unnamed:
+        return plain
+    loose = docs.filter("doc_id is null")
+    if some_mixed:
+        again = docs.filter("doc_id is not null").join(_small(mixed), by_id, "left_semi")
+        loose = again.union(loose) if some_unnamed else again
+    schema = StructType([*loose.schema.fields, StructField("kept__digest", BinaryType())])
+    loose = written(loose.mapInArrow(_digests(shingle), schema), "kept-loose")
+    wordless = loose.filter("doc_id is null and kept__digest is null").select(docs.columns)
+    gone = sets.filter("not kept").hint("merge")
+    same = F.col("doc_id").eqNullSafe(gone["kept__id"]) & loose["kept__digest"].eqNullSafe(gone["kept__digest"])
+    stay = loose.filter("doc_id is not null or kept__digest is not null").join(gone, same, "left_anti")
+    row = F.struct(*docs.columns).alias("kept__row")
+    once = stay.groupBy("doc_id", "kept__digest").agg(F.min(row).alias("kept__row")).select("kept__row.*")
+    return plain.union(wordless).union(once)
