@@ -1,5 +1,11 @@
+import os
+
+import pytest
+
 from tidewarden.llm import licences
-from tidewarden.llm.licence_texts import KNOWN
+from tidewarden.llm.licence_texts import DIGESTS, KNOWN
+
+COMMON = "/usr/share/common-licenses"
 
 
 def test_variants_of_a_text_have_its_digest(spark, documents):
@@ -31,5 +37,22 @@ def test_known_texts_differ(spark):
     assert licences.known(spark).count() == sum(map(len, KNOWN.values()))
 
 
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files on this machine")
+def test_whole_long_texts(spark, documents):
+    files = {n: n.removesuffix(".0") if "GPL" in n else n for n in DIGESTS}
+    texts = {n: open(os.path.join(COMMON, f), encoding="utf-8").read() for n, f in files.items()}
+    rows = [(i, texts[n]) for i, n in enumerate(texts)]
+    rows += [(100 + i, "  ".join(texts[n].upper().split(" "))) for i, n in enumerate(texts)]
+    end = "END OF TERMS AND CONDITIONS"
+    rows += [(200 + i, t[: t.index(end) + len(end)]) for i, t in enumerate(texts.values()) if end in t]
+    rows += [(300 + i, texts[n] + " and more") for i, n in enumerate(texts)]
+    names = list(texts)
+    got = licences.scan(documents(rows)).collect()
+    assert len(got) == len(rows)
+    assert all(g["licence"] == (names[g["doc_id"] % 100] if g["doc_id"] < 300 else None) for g in got)
+    held = [d for digests in DIGESTS.values() for d in digests]
+    assert len(set(held)) == len(held)
+
+
 def test_empty_table(documents):
     assert licences.scan(documents([])).count() == 0

@@ -90,3 +90,44 @@ KNOWN: dict[str, list[str]] = {
     "ISC": [_ISC + _ISC_WARRANTY, "ISC License\n\n" + _ISC + _ISC_WARRANTY, "SPDX-License-Identifier: ISC"],
     "MIT": [_MIT, "MIT License\n\n" + _MIT, "Released under the MIT License.", "SPDX-License-Identifier: MIT"],
 }
+
+# SHA-256 of the canonical form of whole texts, too long to be held here: as published, and where the text marks the end of
+# its terms also without what follows. Taken from the files of these names in /usr/share/common-licenses.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "7e0e7964aedd0da55b18c5d3c0b8c8e4b051b491c8277d3b3540f5a36b54d8a3",
+        "408d79782772308fe7ec4aeb2f0b2f9a28dcf9246ddcf0755c43e4d3fb4efa11",
+    ],
+    "CC0-1.0": [
+        "09760a018415968611032b4a83c8cb4fd8fc31aee9c946b00298b1f8c2a77042",
+    ],
+    "GPL-1.0": [
+        "b4682db315c225ec5b1ad1b3d51d141e802dd30b877f9ca1c4390486a46a60c1",
+        "5337e0fb41ac565b74d17b266a2c91c0a9b6ed4b17c3c0cbccd4f1ba7f01491b",
+    ],
+    "GPL-2.0": [
+        "0a50f3942e5e965c39dfaf9420fab31fbbeaabccd90b86271a1eea7ca51c45ab",
+        "f720a467cb59ad5a4cdc41e8b34c91f4b8840c912ccdc625dec5953b950b82bb",
+    ],
+    "GPL-3.0": [
+        "ea70bedcb83a4361b0bbf5c99767703ee85319062fbb4e9f847bbca0f38491ac",
+        "842fccbaaaa15a4e6a2b744f7be5205435cc2d3cb8d13e79f46edbe79a3369e2",
+    ],
+    "LGPL-2.0": [
+        "e6b557c836da67fa721172bd7f54e0cad02c6ffe1621ad4fd1d2823a1ed0cd29",
+        "25f7e085a18d4bc8e4f6578b66c5b06dc1c91ba68fdeec775b6541a58ea17557",
+    ],
+    "LGPL-2.1": [
+        "73f8771023a7bd97f99604cee25be5ea96b506e8a15023953726f00bcf5e8cf9",
+        "4c0e31071a3387f7e9a25974f05a970bc237220ca37b4f43dc9a1103959048aa",
+    ],
+    "LGPL-3.0": [
+        "91b5d3e9e307d305f7c91670699dcefa38a95bc0127f171027869fadcae9f986",
+    ],
+    "MPL-1.1": [
+        "c8802068f341d2f237ee9b8db4dc5a3e630fb0a14e92e322092ca9d5e33ad0ee",
+    ],
+    "MPL-2.0": [
+        "d1285e24f50300efc71e8addfb6cc3c21c6fe504cb51c372d394245f4e1d1a56",
+    ],
+}

@@ -7,6 +7,8 @@ but letters and digits becomes one space. The digest is the SHA-256 of that form
 same form are the same licence text, so one hash join with the table of known digests finds them;
 no text is compared with another.
 
+Long licences (Apache, GPL, LGPL, MPL, CC0) are held as digests only, without their bodies.
+
 Longer documents carry licences as one-line notices, so every line that speaks of a licence is
 looked up as a text of its own, in the same join.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm.licence_texts import KNOWN
+from tidewarden.llm.licence_texts import DIGESTS, KNOWN
 
 # Pairs of spellings; the first is written as the second, whole words only.
 SPELLINGS = {
@@ -102,6 +104,9 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFram
     once, in order of name, joined by commas.
     """
     held = known(docs.sparkSession, texts)
+    if texts is None:
+        long = [(d, name) for name, digests in DIGESTS.items() for d in digests]
+        held = held.union(docs.sparkSession.createDataFrame(long, "digest string, licence string"))
     whole = F.struct(F.lit(True).alias("whole"), F.col("text").alias("body"))
     about = F.filter(F.split("text", "\n"), lambda line: F.regexp_like(line, F.lit(NOTICE_LINE)))
     lines = F.transform(about, lambda line: F.struct(F.lit(False).alias("whole"), line.alias("body")))
@@ -120,7 +125,7 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFram
 
 
 def scan_sql(source: str) -> str:
-    """The same scan in DuckDB SQL over a table ``source`` (doc_id, text)."""
+    """The same scan in DuckDB SQL over a table ``source`` (doc_id, text), without ``DIGESTS``."""
 
     def q(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
