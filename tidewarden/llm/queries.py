@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import chat, fingerprints, licences, mixing, oddsketch, packing, pivots, repair, toxicity, warc
+from tidewarden.llm import (
+    chat,
+    filter_audit,
+    fingerprints,
+    licences,
+    mixing,
+    oddsketch,
+    packing,
+    periodic,
+    pivots,
+    repair,
+    toxicity,
+    url_templates,
+    warc,
+)
 from tidewarden.sources.views import table
 
 QUERIES = {}
@@ -121,3 +135,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_pack")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.scan(table(spark, sf, "documents"))
+
+
+@query("op12_filter_audit", filter_audit.audit_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_url_templates")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return url_templates.filter_urls(table(spark, sf, "pages"))
