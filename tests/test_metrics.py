@@ -198,3 +198,22 @@ def test_undefined_areas_and_flat_scores(spark):
     want, edges = np.histogram([2.0] * 3, 10)
     assert {r["bin"] for r in flat} == set(np.flatnonzero(want)) and flat[0]["left_edge"] == pytest.approx(edges[flat[0]["bin"]])
     assert metrics.histogram(frame(spark, [0], [1.0]).limit(0), "anomaly_score", "y").count() == 0
+
+
+@pytest.mark.parametrize("prob", [0.5, 0.1])
+def test_quantile_replicates_equal_repeated_rows(spark, way, prob):
+    """Chunks, ties, groups with a null, null values: as numpy on the repeated values."""
+    rng = np.random.default_rng(12)
+    rows = [(i, [None, "a", "b"][i % 3], None if i % 41 == 0 else float(rng.integers(0, 30))) for i in range(400)] + [(999, "c", 1.0)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {(r["g"], r["replicate"]): r["stat"] for r in bootstrap.quantile_replicates(df, "v", "id", prob, 70, by=["g"]).collect()}
+    w = {(r["id"], r["replicate"]): r["w"] for r in bootstrap.replicates(df.select("id"), "id", 70).collect()}
+    want = {}
+    for g in (None, "a", "b", "c"):
+        for rep in range(70):
+            values = [v for i, h, v in rows if h == g and v is not None for _ in range(w[i, rep])]
+            if values:
+                want[g, rep] = np.quantile(values, prob)
+    assert got.keys() == want.keys() and 0 < sum(g == "c" for g, _ in want) < 70  # some replicates leave the single row out
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-12)

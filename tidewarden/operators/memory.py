@@ -19,7 +19,9 @@ from tidewarden.session import scratch_path, written
 
 MEMORY_COLUMNS = ["memory_index", "sample_id", "dataset_id", "window_id", "insert_stage", "version", "embedding"]
 CAPACITY = 1024
-BUCKETS = 16
+TASK_ROWS, SPARE = 1 << 20, 8  # of a pass of the k-centre selection: rows of a task, centres per place of the memory
+MERGED = 32  # tasks whose centres meet in one selection
+SAME = 1e-7  # chord distance below which two vectors are one
 
 
 def farthest_first(x: np.ndarray, count: int, start: int) -> np.ndarray:
@@ -64,20 +66,120 @@ def reservoir(rows: DataFrame, capacity: int = CAPACITY, seed: int = 42, version
     return _numbered(drawn, "_u", capacity, version, "offline_fit")
 
 
-def k_centre(rows: DataFrame, capacity: int = CAPACITY, seed: int = 42, buckets: int = BUCKETS, version: int = 1) -> DataFrame:
-    """Coverage-first selection: farthest-first by cosine, as a composable core-set.
+class Doubling:
+    """At most ``capacity`` centres of unit vectors that arrive one after the other.
 
-    The same two steps at every size: a hash of the id deals the rows to ``buckets`` buckets, each
-    keeps up to ``capacity`` centres, and the centres of all buckets are selected once more. With
-    one bucket the result equals the sequential greedy choice. ``buckets`` is a parameter that
-    does not follow the row count; choose it so that a bucket's vectors fit in a task, and read
-    the cost of the choice from ``covering_radius``.
+    A vector farther than twice the radius from every centre becomes one. If there are too many, the
+    radius grows to the smallest distance between two centres, at least its double, and centres
+    within twice of it are merged, the earlier one staying. Every vector lies within four times the
+    radius of a centre, and no ``capacity`` centres could do with less than half of the radius.
+    As long as there are too few different vectors, copies of them fill the rest.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.radius = capacity, 0.0
+        self.centres: np.ndarray | None = None
+        self.rows: list = []  # what came with each centre
+        self.copies: list = []  # of centres, at most ``capacity``
+
+    def _distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2.0 - 2.0 * (x @ self.centres.T), 0.0))
+
+    def offer(self, x: np.ndarray, rows: list) -> None:
+        if not len(x):
+            return
+        if self.centres is None:
+            self._room = np.empty((self.capacity + 1, x.shape[1]))
+            self._room[0] = x[0]
+            self.centres, self.rows = self._room[:1], [rows[0]]
+            x, rows = x[1:], rows[1:]
+        near = self._distances(x).min(axis=1)
+        at = 0
+        while True:
+            far = np.flatnonzero(near[at:] > max(2.0 * self.radius, SAME))
+            self._copy(rows, at, int(far[0]) if len(far) else len(near) - at)
+            if not len(far):
+                return
+            at += int(far[0])
+            self._room[len(self.rows)] = x[at]
+            self.rows.append(rows[at])
+            self.centres = self._room[: len(self.rows)]
+            if len(self.centres) > self.capacity:
+                self._merge()
+                near[at:] = self._distances(x[at:]).min(axis=1)
+            else:
+                added = np.sqrt(np.maximum(2.0 - 2.0 * (x[at:] @ x[at]), 0.0))
+                near[at:] = np.minimum(near[at:], added)
+            at += 1
+
+    def _copy(self, rows: list, at: int, count: int) -> None:
+        if not self.radius and len(self.copies) < self.capacity:
+            self.copies += rows[at : at + min(count, self.capacity - len(self.copies))]
+
+    def kept(self) -> list:
+        """The rows of the centres, and copies in the places that are free."""
+        return self.rows + self.copies[: self.capacity - len(self.rows)]
+
+    def _merge(self) -> None:
+        d = self._distances(self.centres)
+        np.fill_diagonal(d, np.inf)
+        self.radius = max(2.0 * self.radius, float(d.min()))
+        kept: list[int] = []
+        for i in range(len(d)):
+            if not kept or d[i, kept].min() > 2.0 * self.radius:
+                kept.append(i)
+        self._room[: len(kept)] = self.centres[kept]
+        self.centres, self.rows = self._room[: len(kept)], [self.rows[i] for i in kept]
+        if self.radius:
+            self.copies = []
+
+
+def _doubled(capacity: int):
+    def run(batches):
+        import pyarrow as pa
+
+        held = Doubling(capacity)
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            held.offer(unit_rows(matrix_of(batch.column("embedding"))), [batch.slice(i, 1) for i in range(batch.num_rows)])
+        if held.rows:
+            yield pa.Table.from_batches(held.kept(), schema).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def k_centre(
+    rows: DataFrame,
+    capacity: int = CAPACITY,
+    seed: int = 42,
+    buckets: int | None = None,
+    version: int = 1,
+    spare: int = SPARE,
+) -> DataFrame:
+    """Coverage-first selection by cosine in bounded memory: doubling k-centre, then farthest-first.
+
+    A hash of the id deals the rows to ``buckets`` tasks, by default of about ``TASK_ROWS``, in the
+    order of another hash. Each task passes over its rows once and keeps at most ``spare * capacity`` centres
+    (``Doubling``). While there are more than ``MERGED`` tasks, their centres are passed over again
+    in fewer tasks; the last ones go through one farthest-first selection of at most
+    ``MERGED * spare * capacity`` rows. Chord distances are within 8 times the best possible
+    radius per pass plus 2 for the selection; ``covering_radius`` reports the one reached. Up to
+    ``spare * capacity`` different rows, the choice equals the sequential greedy one.
     """
     pool = rows.select("sample_id", "dataset_id", "window_id", l2_normalise("embedding").alias("embedding")).withColumn(
         "draw", md5_uniform(seed, "dataset_id", "sample_id")
     )
-    if pool.isEmpty():
+    total = pool.count()
+    if not total:
         raise ContractError("no rows to fit the memory from")
+    tasks = buckets or -(-total // TASK_ROWS)
+    while True:
+        dealt = pool.repartition(tasks, F.xxhash64("dataset_id", "sample_id")).sortWithinPartitions("draw", "dataset_id", "sample_id")
+        pool = written(dealt.mapInArrow(_doubled(spare * capacity), pool.schema), "coreset")
+        if tasks <= MERGED:
+            break
+        tasks = -(-tasks // MERGED)
     schema = T.StructType(pool.schema.fields + [T.StructField("pick", T.LongType())])
 
     def greedy(pdf):
@@ -85,10 +187,6 @@ def k_centre(rows: DataFrame, capacity: int = CAPACITY, seed: int = 42, buckets:
         picked = farthest_first(np.stack(pdf["embedding"].to_numpy()), capacity, 0)
         return pdf.iloc[picked].assign(pick=np.arange(len(picked)))[schema.names]
 
-    if buckets > 1:
-        bucket = F.pmod(F.xxhash64("dataset_id", "sample_id"), F.lit(buckets))
-        pool = written(pool.groupBy(bucket.alias("bucket")).applyInPandas(greedy, schema).drop("pick"), "coreset")
-    # at most buckets * capacity rows are left
     picked = pool.groupBy(F.lit(0).alias("bucket")).applyInPandas(greedy, schema)
     return written(_numbered(picked, "pick", capacity, version, "offline_fit"), "memory")
 
@@ -265,6 +363,46 @@ def adapt(
     return spark.createDataFrame(final, schema), actions
 
 
+def adapt_reservoir(
+    memory: DataFrame, candidates: DataFrame, order: list[str], capacity: int = CAPACITY, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Offer gate-passed candidates in order with random replacement; returns (new memory, action per candidate).
+
+    Free places are filled in the order of the offers. After that every offer takes the place that a
+    hash of (seed, offer) draws, so the last offer of a place is the one that stays, and the result
+    of the sequential pass is one maximum per place: no candidate is looked at twice, and none goes
+    through the driver. Each offer makes a version.
+    """
+    held = memory.agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("v")).first()
+    size, version = held["n"], held["v"] or 0
+    offered = candidates.select(*dict.fromkeys([*order, "sample_id", "dataset_id", "window_id"]), l2_normalise("embedding").alias("embedding"))
+    free = capacity - size
+    drawn = F.floor(md5_uniform(seed, F.lit("reservoir"), "offer") * capacity)
+    queue = written(
+        positions(offered, [], order, "offer").withColumns(
+            {
+                "action": F.when(F.col("offer") < free, "inserted").otherwise("reservoir_replaced"),
+                "slot": F.when(F.col("offer") < free, F.col("offer") + size).otherwise(drawn).cast("bigint"),
+            }
+        ),
+        "offers",
+    )
+    # at most one row per place
+    last = queue.groupBy("slot").agg(F.max("offer").alias("offer"))
+    fresh = queue.join(F.broadcast(last), ["slot", "offer"]).select(
+        F.col("slot").alias("memory_index"),
+        "sample_id",
+        "dataset_id",
+        "window_id",
+        F.lit("online_update").alias("insert_stage"),
+        (F.col("offer") + 1 + version).alias("version"),
+        "embedding",
+    )
+    old = memory.join(F.broadcast(last.select(F.col("slot").alias("memory_index"))), "memory_index", "left_anti").select(*MEMORY_COLUMNS)
+    actions = queue.drop("embedding").withColumn("replaced_index", F.when(F.col("action") == "reservoir_replaced", F.col("slot"))).drop("slot")
+    return written(old.unionByName(fresh), "memory"), actions
+
+
 def nearest_similarity(rows: DataFrame, matrix: np.ndarray, alive: np.ndarray | None = None) -> DataFrame:
     """Cosine to the nearest entry of a small matrix held on the driver."""
     shared = rows.sparkSession.sparkContext.broadcast(matrix if alive is None else matrix[alive])

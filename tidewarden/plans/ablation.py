@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators import alerts, knn, memory, metrics
+from tidewarden.errors import ContractError
+from tidewarden.operators import alerts, knn, memory, metrics, threshold
 from tidewarden.operators.scan import CHUNK, attach, ordered_chunks, scan
 from tidewarden.session import written
 
@@ -80,6 +81,73 @@ def memory_ablation(
     return metrics.confusion(both, by=["memory_mode"]).join(rank, "memory_mode")
 
 
+def adaptation_ablation(
+    test: DataFrame,
+    online: DataFrame,
+    static: DataFrame,
+    cut: DataFrame,
+    order: list[str],
+    capacity: int,
+    k: int = 8,
+    confidence_max: float = 0.05,
+    replacement: str = "redundancy",
+    seed: int = 42,
+) -> DataFrame:
+    """The fitted memory against the memory after adaptation to the gated online rows: one row per mode.
+
+    Growth, updates and refusals of the online rows, their share of false alarms before and after,
+    and the figures of the test rows against either memory. ``cut`` is a one-row threshold table.
+    """
+    before = written(threshold.decide(knn.score(online, static, k), cut), "online-before")
+    gated = written(memory.gate(before, F.col("threshold"), confidence_max), "online-gated")
+    accepted = gated.filter("action = 'accepted'")
+    if replacement == "reservoir":
+        adapted, actions = memory.adapt_reservoir(static, accepted, order, capacity, seed)
+    elif replacement == "redundancy":
+        adapted, actions = memory.adapt(static, accepted, order, capacity)
+    else:
+        raise ContractError(f"unknown replacement {replacement!r}")
+    count = lambda condition: F.count(F.when(condition, 1))
+    refused = gated.agg(
+        F.count(F.lit(1)).alias("online_windows"),
+        count(F.col("action") == "rejected_above_threshold").alias("n_rejected_above_threshold"),
+        count(F.col("action") == "rejected_uncertain").alias("n_rejected_uncertain"),
+    )
+    updates = actions.agg(count(F.col("action") != "dropped_redundant").alias("n_updates"))
+    alarms = lambda rows, name: rows.agg(F.avg(F.col("is_anomaly").cast("double")).alias(name))
+    parts, extra = [], []
+    for mode, bank in (("static", static), ("adaptive", adapted)):
+        rows = threshold.decide(knn.score(test, bank, k), cut).select(
+            F.lit(mode).alias("memory_mode"),
+            (F.col("label") == "attack").cast("int").alias("y"),
+            F.col("is_anomaly").cast("int").alias("p"),
+            "anomaly_score",
+        )
+        parts.append(rows)
+        after = before if mode == "static" else threshold.decide(knn.score(online, bank, k), cut)
+        figures = bank.agg(F.count(F.lit(1)).alias("memory_size_after"))
+        for one in (
+            static.agg(F.count(F.lit(1)).alias("memory_size_before")),
+            alarms(before, "benign_fpr_before"),
+            alarms(after, "benign_fpr_after"),
+            refused,
+            updates if mode == "adaptive" else updates.select(F.lit(0).cast("bigint").alias("n_updates")),
+        ):
+            figures = attach(figures, one, [])
+        extra.append(figures.withColumn("memory_mode", F.lit(mode)))
+    both = parts[0].unionByName(parts[1])
+    state = extra[0].unionByName(extra[1])
+    state = state.withColumns(
+        {
+            "memory_growth": F.col("memory_size_after") - F.col("memory_size_before"),
+            "fpr_reduction": F.col("benign_fpr_before") - F.col("benign_fpr_after"),
+        }
+    )
+    both = written(both, "memory-modes")
+    rank = metrics.ranking(both, by=["memory_mode"]).drop("n_positive", "n_negative")
+    return metrics.confusion(both, by=["memory_mode"]).join(rank, "memory_mode").join(state, "memory_mode")
+
+
 def retrieval_ablation(queries: DataFrame, bank: DataFrame, keys: list[str], k: int = 8, cells: int = 16, probes=(2, 4, 8)) -> DataFrame:
     """Recall and candidate share of cell probing against exact search, per number of probes."""
     exact = knn.knn(queries, bank, k)

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewarden.errors import ContractError
 from tidewarden.functions.hashing import md5_uniform
 from tidewarden.functions.vectors import NORM_FLOOR
-from tidewarden.operators import bootstrap, graph, knn
+from tidewarden.operators import bootstrap, graph, knn, removal
 from tidewarden.operators.scan import attach, exact_quantiles
+from tidewarden.session import written
 
 METHODS = ("attention", "random", "lowest_attention")
 
 
-def candidates(pred: DataFrame) -> DataFrame:
-    """Confirmed alerts, or all anomalies if nothing was confirmed. Labels are never consulted."""
+def candidates(pred: DataFrame, max_alerts: int | None = None) -> DataFrame:
+    """Confirmed alerts, or all anomalies if nothing was confirmed. Labels are never consulted.
+
+    ``max_alerts`` keeps the highest scores only; all are taken by default.
+    """
     state = pred.agg(F.max("confirmed_alert").alias("_any"))
     wanted = F.when(F.col("_any"), F.col("confirmed_alert")).otherwise(F.col("is_anomaly"))
-    return attach(pred, state, []).filter(wanted).drop("_any")
-
-
-def top_candidates(pred: DataFrame, limit: int = 10) -> DataFrame:
-    return candidates(pred).orderBy(F.desc("anomaly_score"), "dataset_id", "sample_id").limit(limit)
+    rows = attach(pred, state, []).filter(wanted).drop("_any")
+    return rows if max_alerts is None else rows.orderBy(F.desc("anomaly_score"), "dataset_id", "sample_id").limit(max_alerts)
 
 
 def ranked(rows: DataFrame, keys: list[str], weight: str, tie, k: int) -> DataFrame:
@@ -116,6 +118,16 @@ def statistics(explanations: DataFrame) -> DataFrame:
     )
 
 
+def _chosen(rows: DataFrame, orders: dict[str, list], keys: list[str], k: int) -> DataFrame:
+    """The first k rows per key in each order, with the order's name as ``method``."""
+    out = None
+    for method, order in orders.items():
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        part = rows.withColumn("_r", place).filter(F.col("_r") <= k).drop("_r").withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def choose_components(hosts: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
     """Hosts to mask per alert and method: k with most attention, k random, k with least."""
     drawn = hosts.withColumn("_u", md5_uniform(seed, "sequence", "node_id"))
@@ -124,37 +136,69 @@ def choose_components(hosts: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
         "random": [F.asc("_u"), F.asc("node_id")],
         "lowest_attention": [F.asc("attention"), F.desc("node_id")],
     }
-    out = None
-    for method, order in orders.items():
-        pick = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("sequence").orderBy(*order))).filter(F.col("_r") <= k)
-        part = pick.select("sequence", "node_id", "attention", F.lit(method).alias("method"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _chosen(drawn, orders, ["sequence"], k).select("sequence", "node_id", "attention", "method")
 
 
-def fidelity(alerts: DataFrame, nodes: DataFrame, edges: DataFrame, hosts: DataFrame, memory: DataFrame, width: int, k: int = 3, seed: int = 0, neighbours: int = 8) -> DataFrame:
-    """Mask hosts, rebuild the window vector, score it against the same memory.
+def choose_edges(spans: DataFrame, edges: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
+    """Edges to mask per alert and method, from all its snapshots: k of most weight, k random, k of least.
 
-    All alerts and methods go through one set of jobs. What a mask removes is taken away with an
-    anti join, and the window moments are built again from the rest: a maximum cannot be
-    subtracted.
+    An edge's weight and draw do not depend on the alert, so each snapshot offers its first k once
+    and an alert chooses among those of its snapshots.
     """
-    steps = graph.STEPS
-    masked = choose_components(hosts, k, seed)
+    drawn = edges.select("snapshot", "edge_idx", "edge_attr", "edge_attention", md5_uniform(seed, "snapshot", "edge_idx").alias("_u"))
+    place = [F.asc("snapshot"), F.asc("edge_idx")]
+    orders = {
+        "attention": [F.desc("edge_attention"), *place],
+        "random": [F.asc("_u"), *place],
+        "lowest_attention": [F.asc("edge_attention"), F.desc("snapshot"), F.desc("edge_idx")],
+    }
+    offered = _chosen(drawn, orders, ["snapshot"], k)
+    out = None
+    for method, order in orders.items():
+        mine = spans.join(offered.filter(F.col("method") == method).drop("method"), "snapshot")
+        part = _chosen(mine, {method: order}, ["sequence"], k)
+        out = part if out is None else out.unionByName(part)
+    return out.drop("_u")
+
+
+def fidelity(
+    alerts: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    hosts: DataFrame,
+    memory: DataFrame,
+    width: int,
+    k: int = 3,
+    seed: int = 0,
+    neighbours: int = 8,
+    target: str = "nodes",
+) -> DataFrame:
+    """Mask hosts or edges, take them out of the window vector, score it against the same memory.
+
+    All alerts and methods go through one set of jobs, see ``operators/removal.py``. A masked host
+    goes with its edges; a masked edge (``target="edges"``, ``edges`` with ``edge_idx`` and
+    ``edge_attention``) keeps its place with zero features.
+    """
+    if target not in ("nodes", "edges"):
+        raise ContractError(f"target must be 'nodes' or 'edges', got {target!r}")
+    steps, on = graph.STEPS, ["sequence", "method"]
     spans = alerts.select("sequence", F.explode(F.sequence("sequence", F.col("sequence") + (steps - 1))).alias("snapshot"))
-    trial = spans.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
-    on = ["sequence", "method"]
-    gone = masked.select(*on, "node_id")
-    left = nodes.select("snapshot", "node_id", "x").join(trial, "snapshot").join(gone, [*on, "node_id"], "left_anti")
-    kept = edges.select("snapshot", "src", "dst", "edge_attr").join(trial, "snapshot")
-    for end in ("src", "dst"):
-        kept = kept.join(gone.withColumnRenamed("node_id", end), [*on, end], "left_anti")
-    vectors = graph.raw_statistics(
-        graph.moments(left, "x", width, on), graph.moments(kept, "edge_attr", width, on), on, width
-    )
+    trials = spans.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
+    used = spans.select("snapshot").distinct()
+    nodes, edges = (t.join(used, "snapshot", "left_semi") for t in (nodes, edges))
+    if target == "nodes":
+        masked = written(choose_components(hosts, k, seed), "masked-hosts")
+        listed = masked.groupBy(*on).agg(F.array_sort(F.collect_list("node_id")).alias("gone"))
+        parts = removal.without_hosts(trials.join(listed, on), nodes, edges, on, width, k)
+        weight, total = "attention", hosts.groupBy("sequence").agg(F.sum("attention").alias("_t"))
+    else:
+        masked = written(choose_edges(spans, edges, k, seed), "masked-edges")
+        parts = removal.without_edges(trials, masked, nodes, edges, on, width, k)
+        per = edges.groupBy("snapshot").agg(F.sum("edge_attention").alias("_s"))
+        weight, total = "edge_attention", spans.join(per, "snapshot").groupBy("sequence").agg(F.sum("_s").alias("_t"))
+    vectors = graph.raw_statistics(*parts, on, width)
     after = knn.score(vectors.select(*on, "embedding"), memory, neighbours).select(*on, F.col("anomaly_score").alias("score_after"))
-    share = hosts.groupBy("sequence").agg(F.sum("attention").alias("_t"))
-    mass = masked.groupBy(*on).agg(F.sum("attention").alias("_m"), F.count(F.lit(1)).alias("n_masked")).join(share, "sequence")
+    mass = masked.groupBy(*on).agg(F.sum(weight).alias("_m"), F.count(F.lit(1)).alias("n_masked")).join(total, "sequence")
     rows = after.join(alerts.select("sequence", F.col("anomaly_score").alias("score_before")), "sequence").join(mass, on)
     drop = F.col("score_before") - F.col("score_after")
     return rows.select(

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewarden.functions.hashing import md5_uniform
-from tidewarden.functions.values import CALIBRATION, ONLINE, TRAIN
-from tidewarden.operators import knn, memory, metrics, scorers, spread, threshold
+from tidewarden.functions.values import ONLINE, TEST, TRAIN
+from tidewarden.operators import knn, memory, scorers, spread, threshold
 from tidewarden.operators.scan import attach
 from tidewarden.plans import ablation
 from tidewarden.queries import base
 from tidewarden.queries.base import RECORDS, TAU, b, bank_sql, query, r6, u
-from tidewarden.queries.scoring import EUCLID
+from tidewarden.queries.ranking import AUC, curve_sql
+from tidewarden.session import scratch_path
+from tidewarden.sources import versions
 
 SMALL = 64
 
@@ -22,7 +23,8 @@ def _train(spark, sf):
 
 @query("m1_k_centre")
 def m1(spark, sf):
-    return memory.k_centre(_train(spark, sf), SMALL, buckets=1).select("memory_index", "sample_id", "insert_stage", "version")
+    """In tasks of a fixed number of rows, each of which keeps a bounded number of centres."""
+    return memory.k_centre(_train(spark, sf), SMALL).select("memory_index", "sample_id", "insert_stage", "version")
 
 
 @query("m1_k_centre_coreset")
@@ -96,13 +98,64 @@ def m7(spark, sf):
     return actions.select("action").unionByName(refused).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m8_version_listing")
+# A memory of 64 entries with places for 72, adapted with random replacement: the accepted online rows in order.
+ROOM = 72
+ADAPTED = f"""{TAU},
+m0 AS (SELECT * FROM mem WHERE memory_index < {SMALL}),
+acc AS (SELECT sample_id, dataset_id, window_id, ts, e, row_number() OVER (ORDER BY ts, sample_id) - 1 AS offer FROM scores JOIN rec USING (dataset_id, split, sample_id, window_id, ts, vec_id, label, attack_family), thr
+ WHERE split = 'online_benign' AND label <> 'attack' AND s <= aware AND 1 / (1 + exp(-(s - aware) / (abs(scale) + 1e-12))) <= 0.25),
+act AS (SELECT *, CASE WHEN offer < {ROOM - SMALL} THEN 'inserted' ELSE 'reservoir_replaced' END AS action,
+ CASE WHEN offer < {ROOM - SMALL} THEN offer + {SMALL} ELSE floor({u(42, "'reservoir'", 'offer')} * {ROOM})::BIGINT END AS slot FROM acc),
+lst AS (SELECT slot, max(offer) AS offer FROM act GROUP BY 1),
+nw AS (SELECT slot AS memory_index, sample_id, 'online_update' AS insert_stage, offer + 2 AS version, e FROM act JOIN lst USING (slot, offer)
+ UNION ALL SELECT memory_index, m_id, 'offline_fit', 1, me FROM m0 WHERE memory_index NOT IN (SELECT slot FROM lst))"""
+
+
+def refilled(spark, sf):
+    held = memory.reservoir(_train(spark, sf), SMALL)
+    accepted = gated(spark, sf).filter("action = 'accepted'")
+    return memory.adapt_reservoir(held, accepted, ["timestamp", "sample_id"], ROOM)
+
+
+@query(
+    "m5_reservoir_replacement",
+    f"WITH {ADAPTED} SELECT offer::BIGINT AS offer, sample_id, action, CASE WHEN action <> 'inserted' THEN slot::BIGINT END AS replaced_index FROM act",
+)
+def m5_reservoir(spark, sf):
+    return refilled(spark, sf)[1].select("offer", "sample_id", "action", "replaced_index")
+
+
+@query(
+    "m7_reservoir_adaptation",
+    f"WITH {ADAPTED} SELECT memory_index::BIGINT AS memory_index, sample_id, insert_stage, version::BIGINT AS version, round(list_sum(e), 6) AS total FROM nw",
+)
+def m7_reservoir(spark, sf):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v)
+    return refilled(spark, sf)[0].select("memory_index", "sample_id", "insert_stage", "version", F.round(total, 6).alias("total"))
+
+
+@query(
+    "m8_version_listing",
+    f"""WITH {ADAPTED}, kept AS (SELECT 1 AS stored, 'offline_fit' AS insert_stage, count(*) AS n FROM m0 UNION ALL SELECT 2, insert_stage, count(*) FROM nw GROUP BY 2)
+SELECT 'read' AS event, stored::BIGINT AS stored, insert_stage, n::BIGINT AS n, NULL AS message FROM kept
+UNION ALL SELECT 'refused', 1, NULL, NULL, 'memory main: v1 is pinned by evaluation' UNION ALL SELECT 'refused', 1, NULL, NULL, 'memory main: v1 is superseded by v2'""",
+)
 def m8(spark, sf):
-    """Entries per insert stage and version after adaptation; the old version is still readable."""
-    new, _ = adapted(spark, sf)
-    old = memory.reservoir(_train(spark, sf), SMALL)
-    both = old.withColumn("bank", F.lit("before")).unionByName(new.withColumn("bank", F.lit("after")))
-    return both.groupBy("bank", "insert_stage", "version").agg(F.count(F.lit(1)).alias("n"))
+    """A stored version stays readable after an update; a pinned or superseded one can't be built on."""
+    root = scratch_path(spark, "memory-versions")
+    new, _ = refilled(spark, sf)
+    first = versions.commit(memory.reservoir(_train(spark, sf), SMALL), root, "main")
+    versions.pin(spark, root, "main", first, "evaluation")
+    said = [base.refusal(lambda: versions.commit(new, root, "main", first))]
+    versions.unpin(spark, root, "main", first, "evaluation")
+    versions.commit(new, root, "main", first)
+    said.append(base.refusal(lambda: versions.commit(new, root, "main", first)))
+    out = spark.createDataFrame([("refused", 1, None, None, m) for m in said], "event string, stored bigint, insert_stage string, n bigint, message string")
+    for number in versions.versions(spark, root, "main"):
+        held = versions.read(spark, root, "main", number).groupBy("insert_stage").agg(F.count(F.lit(1)).alias("n"))
+        rows = held.select(F.lit("read").alias("event"), F.lit(number).cast("bigint").alias("stored"), "insert_stage", "n")
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 @query(
@@ -134,13 +187,57 @@ def e7(spark, sf):
     return ablation.retrieval_ablation(rows, base.bank(spark, sf), ["dataset_id", "sample_id"])
 
 
+def _adaptation(spark, sf, capacity, replacement):
+    split = lambda name: base.records(spark, sf).filter(F.col("split") == name)
+    held = memory.reservoir(_train(spark, sf), SMALL)
+    out = ablation.adaptation_ablation(
+        split(TEST), split(ONLINE), held, base.tau(spark, sf), ["timestamp", "sample_id"], capacity, confidence_max=0.25, replacement=replacement
+    )
+    whole = ("tn", "fp", "fn", "tp", "memory_size_before", "memory_size_after", "memory_growth", "online_windows", "n_updates")
+    return out.select(
+        "memory_mode",
+        *b(*whole, "n_rejected_above_threshold", "n_rejected_uncertain"),
+        *r6("benign_fpr_before", "benign_fpr_after", "fpr_reduction", "f1", "recall", "precision", "fpr", "roc_auc"),
+    )
+
+
 @query("e6_memory_ablation")
 def e6(spark, sf):
-    held = memory.reservoir(_train(spark, sf), SMALL)
-    accepted = gated(spark, sf).filter("action = 'accepted'")
-    cut = base.tau(spark, sf).first()["value"]
-    rows = base.records(spark, sf).filter("split = 'test'")
-    return ablation.memory_ablation(rows, held, accepted, ["timestamp", "sample_id"], SMALL, cut)
+    return _adaptation(spark, sf, SMALL, "redundancy")
+
+
+def _against(rows: str, bank: str, index: str = "memory_index", vector: str = "e") -> str:
+    """SQL: rows of ``rec`` of a split with their distance to the nearest entry of ``bank``."""
+    return f"""SELECT q.sample_id, q.label, min(round(1 - greatest(-1, least(1, list_dot_product(q.e, m.{vector}))), 9)) AS s FROM rec q CROSS JOIN {bank} m WHERE q.split = '{rows}' GROUP BY 1, 2"""
+
+
+@query(
+    "e6_memory_ablation_reservoir",
+    f"""WITH {TAU},
+m0 AS (SELECT * FROM mem WHERE memory_index < {SMALL}),
+b0 AS ({_against('online_benign', 'm0', vector='me')}),
+g0 AS (SELECT b0.*, r.dataset_id, r.ts, r.e, CASE WHEN r.label = 'attack' THEN 'attack' WHEN s > aware THEN 'above' WHEN 1 / (1 + exp(-(s - aware) / (abs(scale) + 1e-12))) > 0.25 THEN 'uncertain' ELSE 'accepted' END AS gate
+ FROM b0 JOIN rec r ON r.sample_id = b0.sample_id AND r.split = 'online_benign', thr),
+acc AS (SELECT sample_id, e, row_number() OVER (ORDER BY ts, sample_id) - 1 AS offer FROM g0 WHERE gate = 'accepted'),
+act AS (SELECT *, CASE WHEN offer < {ROOM - SMALL} THEN offer + {SMALL} ELSE floor({u(42, "'reservoir'", 'offer')} * {ROOM})::BIGINT END AS slot FROM acc),
+lst AS (SELECT slot, max(offer) AS offer FROM act GROUP BY 1),
+nw AS (SELECT slot AS memory_index, e FROM act JOIN lst USING (slot, offer) UNION ALL SELECT memory_index, me FROM m0 WHERE memory_index NOT IN (SELECT slot FROM lst)),
+b1 AS ({_against('online_benign', 'nw')}),
+rows AS (SELECT 'static' AS memory_mode, label, s FROM ({_against('test', 'm0', vector='me')}) UNION ALL SELECT 'adaptive', label, s FROM ({_against('test', 'nw')})),
+dec AS (SELECT memory_mode, (label = 'attack')::INT AS y, s, (s > aware)::INT AS p FROM rows, thr)
+{curve_sql('dec', by='memory_mode')},
+au AS (SELECT memory_mode, {AUC} AS auc FROM cv GROUP BY 1),
+cm AS (SELECT memory_mode, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 1 AND p = 1) AS tp FROM dec GROUP BY 1),
+mo AS (SELECT (SELECT count(*) FROM m0) AS s0, (SELECT count(*) FROM nw) AS s1, (SELECT avg((s > aware)::INT) FROM b0, thr) AS f0, (SELECT avg((s > aware)::INT) FROM b1, thr) AS f1,
+ (SELECT count(*) FROM g0) AS nw_rows, (SELECT count(*) FROM g0 WHERE gate = 'above') AS ab, (SELECT count(*) FROM g0 WHERE gate = 'uncertain') AS un, (SELECT count(*) FROM act) AS up)
+SELECT memory_mode, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, s0::BIGINT AS memory_size_before, CASE WHEN memory_mode = 'static' THEN s0 ELSE s1 END::BIGINT AS memory_size_after,
+ CASE WHEN memory_mode = 'static' THEN 0 ELSE s1 - s0 END::BIGINT AS memory_growth, nw_rows::BIGINT AS online_windows, CASE WHEN memory_mode = 'static' THEN 0 ELSE up END::BIGINT AS n_updates, ab::BIGINT AS n_rejected_above_threshold,
+ un::BIGINT AS n_rejected_uncertain, round(f0, 6) AS benign_fpr_before, round(CASE WHEN memory_mode = 'static' THEN f0 ELSE f1 END, 6) AS benign_fpr_after, round(CASE WHEN memory_mode = 'static' THEN 0 ELSE f0 - f1 END, 6) AS fpr_reduction,
+ round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision", round(fp / nullif(fp + tn, 0), 6) AS fpr, round(auc, 6) AS roc_auc
+FROM cm JOIN au USING (memory_mode), mo""",
+)
+def e6_reservoir(spark, sf):
+    return _adaptation(spark, sf, ROOM, "reservoir")
 
 
 @query(
@@ -299,4 +396,3 @@ def e16(spark, sf):
     return one.select(*r6("top1", "pos_cos", "neg_cos", "loss_32", "chance_32", "loss_4", "chance_4"))
 
 
-del CALIBRATION, EUCLID, b, md5_uniform, metrics

@@ -4,34 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewarden.functions.values import CALIBRATION, TEST, TRAIN
 from tidewarden.functions.vectors import l2_normalise
-from tidewarden.operators import graph, knn
+from tidewarden.operators import graph, knn, threshold
+from tidewarden.operators.alerts import assign_streams, verify_alerts
 from tidewarden.plans import explanations as ex
 from tidewarden.queries import base
 from tidewarden.queries.base import b, poisson, query, r6, u
-from tidewarden.queries.graphs import IMPORTANCE, MID, RAW, SIZES, WIDTH, flows, nodes, raw_vectors, sequence_table
+from tidewarden.queries.graphs import IMPORTANCE, MID, RAW, SIZES, WIDTH, bounds, edges, flows, nodes, raw_vectors, sequence_table
 from tidewarden.sources.views import FEATURES
 
-TOP = 3
+DEBOUNCE, PERCENTILE = 2, 75.0
 
-# Sequences as records: benign old ones are the memory, later ones are scored.
+# Sequences as records: benign ones of the first quarter are the memory, those of the second calibrate
+# the threshold, the second half is scored and its confirmed alerts are explained.
 ALERTS = (
     SIZES
     + RAW.split("sq AS (SELECT unnest(range(lo, hi + 1)) AS sequence FROM span)")[1]
     + f""",
+pt AS (SELECT min(snapshot) + (max(snapshot) - min(snapshot) + 1) // 4 AS q1, {MID} AS mid FROM fl),
 uv AS (SELECT sequence, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS e FROM raw),
-mv AS (SELECT uv.* FROM uv JOIN ss USING (sequence) WHERE sequence < {MID} AND label = 'benign'),
-sc AS (SELECT q.sequence, min(round(1 - greatest(-1, least(1, list_dot_product(q.e, m.e))), 9)) AS s FROM uv q CROSS JOIN mv m WHERE q.sequence >= {MID} GROUP BY 1),
-al AS (SELECT * FROM sc ORDER BY s DESC, sequence LIMIT {TOP}),
+mv AS (SELECT uv.* FROM uv JOIN ss USING (sequence), pt WHERE sequence < q1 AND label = 'benign'),
+sc AS (SELECT q.sequence, min(round(1 - greatest(-1, least(1, list_dot_product(q.e, m.e))), 9)) AS s FROM uv q CROSS JOIN mv m, pt WHERE q.sequence >= q1 GROUP BY 1),
+cal AS (SELECT s FROM sc JOIN ss USING (sequence), pt WHERE sequence < mid AND label = 'benign'),
+cs AS (SELECT quantile_cont(s, {PERCENTILE / 100}) AS tau, median(s) AS med, stddev_samp(s) AS sd FROM cal),
+cg AS (SELECT 1.4826 * median(abs(s - med)) AS sig FROM cal, cs),
+th AS (SELECT tau, CASE WHEN sig > 1e-12 THEN sig ELSE sd END AS scale FROM cs, cg),
+an AS (SELECT sequence, s, tau, s > tau AS hit, 1 / (1 + exp(-(s - tau) / (abs(scale) + 1e-12))) AS conf FROM sc, th, pt WHERE sequence >= mid),
+isl AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (ORDER BY sequence) AS g FROM an),
+stk AS (SELECT *, CASE WHEN hit THEN row_number() OVER (PARTITION BY g, hit ORDER BY sequence) ELSE 0 END AS streak FROM isl),
+al AS (SELECT sequence, s, tau, conf FROM stk WHERE CASE WHEN (SELECT max(streak) FROM stk) >= {DEBOUNCE} THEN streak >= {DEBOUNCE} ELSE hit END),
 hs AS (SELECT al.sequence, node_id, sum(att) / 5 AS att FROM al JOIN im ON snapshot BETWEEN al.sequence AND al.sequence + 4 GROUP BY 1, 2)"""
 )
 ALERTS = IMPORTANCE + ALERTS.split("nodes AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY node_id) - 1 AS node_idx FROM nd)")[1]
 
 
-def sequence_memory(spark, sf):
+def sequence_records(spark, sf):
+    """Sequences with the columns of records; a stream is one split of them."""
+
     def build():
+        quarter, middle = bounds(spark, sf)
         rows = raw_vectors(spark, sf).join(sequence_table(spark, sf).select("sequence", "label"), "sequence")
-        old = rows.filter((F.col("sequence") < MID) & (F.col("label") == "benign"))
+        split = F.when(F.col("sequence") < quarter, TRAIN).when(F.col("sequence") < middle, CALIBRATION).otherwise(TEST)
+        return rows.select(
+            "sequence",
+            "label",
+            split.alias("split"),
+            F.lit("graphs").alias("dataset_id"),
+            F.col("sequence").cast("string").alias("sample_id"),
+            F.col("sequence").cast("double").alias("timestamp"),
+            F.when(F.col("label") == "attack", "Return").otherwise("benign").alias("attack_family"),
+            "embedding",
+        )
+
+    return base.shared(spark, sf, "sequence_records", build)
+
+
+def sequence_memory(spark, sf):
+    def build():
+        old = sequence_records(spark, sf).filter((F.col("split") == TRAIN) & (F.col("label") == "benign"))
         # a few sequences; the sequence number is the entry's index
         return old.select(F.col("sequence").alias("memory_index"), l2_normalise("embedding").alias("embedding"))
 
@@ -39,11 +70,16 @@ def sequence_memory(spark, sf):
 
 
 def alerts(spark, sf):
+    """All confirmed alerts of the second half with their calibrated threshold and confidence."""
+
     def build():
-        rows = raw_vectors(spark, sf).filter(F.col("sequence") >= MID).select("sequence", "embedding")
-        scored = knn.score(rows, sequence_memory(spark, sf), 8)
-        top = scored.orderBy(F.desc("anomaly_score"), "sequence").limit(TOP)
-        return top.select("sequence", "anomaly_score", F.lit(0.0).alias("threshold"), F.lit(0.5).alias("confidence"))
+        rows = sequence_records(spark, sf).filter(F.col("split") != TRAIN)
+        scored = base.shared(spark, sf, "sequence_scores", lambda: knn.score(rows, sequence_memory(spark, sf), 8))
+        known = scored.filter((F.col("split") == CALIBRATION) & (F.col("label") == "benign"))
+        cut = threshold.calibrate(known, percentile=PERCENTILE).filter("method = 'fixed_percentile'")
+        decided = threshold.decide(scored.filter(F.col("split") == TEST), cut)
+        pred = verify_alerts(assign_streams(decided), DEBOUNCE)
+        return ex.candidates(pred).select("sequence", "anomaly_score", "threshold", "confidence")
 
     return base.shared(spark, sf, "sequence_alerts", build)
 
@@ -54,8 +90,6 @@ def hosts(spark, sf):
 
 
 def explanations(spark, sf):
-    from tidewarden.queries.graphs import edges
-
     weighted = graph.surrogate_attention(edges(spark, sf))
     return ex.build(alerts(spark, sf), hosts(spark, sf), weighted, FEATURES)
 
@@ -63,13 +97,15 @@ def explanations(spark, sf):
 @query(
     "g6_explanations",
     f"""WITH {ALERTS}, rh AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY att DESC, node_id) AS rk, sum(att) OVER (PARTITION BY sequence) AS t FROM hs)
-SELECT 'alert#' || al.sequence AS alert_id, round(s, 6) AS anomaly_score, string_agg(node_id, ',' ORDER BY rk) AS hosts, round(sum(att) / any_value(t), 4) AS explanation_coverage, 5::BIGINT AS n_features,
- 'anomaly score ' || printf('%.3f', s) || ' > threshold 0.000; most influential hosts: ' || string_agg(node_id, ', ' ORDER BY rk) FILTER (rk <= 3) AS summary FROM al JOIN rh USING (sequence) WHERE rk <= 5 GROUP BY al.sequence, s""",
+SELECT 'alert#' || al.sequence AS alert_id, round(s, 6) AS anomaly_score, round(tau, 9) AS threshold, round(conf, 4) AS confidence, string_agg(node_id, ',' ORDER BY rk) AS hosts, round(sum(att) / any_value(t), 4) AS explanation_coverage, 5::BIGINT AS n_features,
+ 'anomaly score ' || printf('%.3f', s) || ' > threshold ' || printf('%.3f', tau) || '; most influential hosts: ' || string_agg(node_id, ', ' ORDER BY rk) FILTER (rk <= 3) AS summary FROM al JOIN rh USING (sequence) WHERE rk <= 5 GROUP BY al.sequence, s, tau, conf""",
 )
 def g6(spark, sf):
     return explanations(spark, sf).select(
         "alert_id",
         *r6("anomaly_score"),
+        F.round("threshold", 9).alias("threshold"),
+        F.round("confidence", 4).alias("confidence"),
         F.array_join(F.transform("top_nodes", lambda e: e["host"]), ",").alias("hosts"),
         "explanation_coverage",
         F.size("top_features").cast("bigint").alias("n_features"),
@@ -110,6 +146,10 @@ def o3(spark, sf):
     return rows.agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("masked"))
 
 
+def _r8(*names):
+    return [F.round(F.col(n), 8).alias(n) for n in names]
+
+
 def _agg(fn, arr):
     return ", ".join(f"{fn}({arr}[{i}])" for i in range(1, 6))
 
@@ -134,9 +174,38 @@ def fidelity(spark, sf):
     )
 
 
-@query("g8_fidelity", f"WITH {FIDELITY} SELECT sequence::INT AS sequence, method, 3::BIGINT AS n_masked, round(s0, 6) AS score_before, round(s1, 6) AS score_after FROM fd")
+@query("g8_fidelity", f"WITH {FIDELITY} SELECT sequence::INT AS sequence, method, 3::BIGINT AS n_masked, round(s0, 8) AS score_before, round(s1, 8) AS score_after FROM fd")
 def g8(spark, sf):
-    return fidelity(spark, sf).select("sequence", "method", *b("n_masked"), *r6("score_before", "score_after"))
+    return fidelity(spark, sf).select("sequence", "method", *b("n_masked"), *_r8("score_before", "score_after"))
+
+
+EDGE_FIDELITY = f"""{ALERTS},
+ew AS (SELECT snapshot, row_number() OVER (PARTITION BY snapshot ORDER BY ts, record_id, src, dst) - 1 AS edge_idx, ea, list_sum(list_transform(ea, lambda x: abs(x))) AS w FROM fl),
+cd AS (SELECT al.sequence, s, ew.* FROM al JOIN ew ON snapshot BETWEEN al.sequence AND al.sequence + 4),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY w DESC, snapshot, edge_idx) AS ra, row_number() OVER (PARTITION BY sequence ORDER BY {u(0, 'snapshot', 'edge_idx')}, snapshot, edge_idx) AS rr,
+ row_number() OVER (PARTITION BY sequence ORDER BY w, snapshot DESC, edge_idx DESC) AS rl FROM cd),
+mm AS (SELECT *, unnest(['attention', 'random', 'lowest_attention']) AS method, unnest([ra, rr, rl]) AS r FROM rk),
+me AS (SELECT sequence, method, s, w, r <= 3 AS gone, CASE WHEN r <= 3 THEN [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] ELSE ea END AS ea FROM mm),
+ez AS (SELECT sequence, method, s, [{_agg('avg', 'ea')}] AS em, [{_agg('max', 'ea')}] AS eh, [{_agg('stddev_samp', 'ea')}] AS sd, sum(w) FILTER (gone) / (sum(w) + 1e-12) AS cover FROM me GROUP BY 1, 2, 3),
+ev AS (SELECT ez.*, list_concat(list_concat(list_concat(xm, em), eh), sd) AS v FROM ez JOIN nst USING (sequence)),
+eu AS (SELECT sequence, method, s, cover, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS e FROM ev),
+ef AS (SELECT eu.sequence, eu.method, any_value(s) AS s0, any_value(cover) AS cover, min(round(1 - greatest(-1, least(1, list_dot_product(eu.e, m.e))), 9)) AS s1 FROM eu CROSS JOIN mv m GROUP BY 1, 2)"""
+
+
+def edge_fidelity(spark, sf):
+    def build():
+        weighted = graph.surrogate_attention(edges(spark, sf))
+        return ex.fidelity(alerts(spark, sf), nodes(spark, sf), weighted, hosts(spark, sf), sequence_memory(spark, sf), WIDTH, target="edges")
+
+    return base.shared(spark, sf, "edge_fidelity", build)
+
+
+@query(
+    "g8_fidelity_edges",
+    f"WITH {EDGE_FIDELITY} SELECT sequence::INT AS sequence, method, 3::BIGINT AS n_masked, round(s0, 8) AS score_before, round(s1, 8) AS score_after, round(cover, 6) AS attention_coverage FROM ef",
+)
+def g8_edges(spark, sf):
+    return edge_fidelity(spark, sf).select("sequence", "method", *b("n_masked"), *_r8("score_before", "score_after"), *r6("attention_coverage"))
 
 
 BOOT = f"""bw AS (SELECT method, pct, replicate, {poisson(u(0, 'replicate', 'sequence'))} AS w FROM fd, (SELECT unnest(range(200)) AS replicate)),

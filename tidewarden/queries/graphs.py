@@ -170,7 +170,17 @@ def a25(spark, sf):
     )
 
 
-MID = 310  # snapshots before this one form the old file
+# snapshots before the middle of the table's range form the old file, from there on the new one
+MID = "(SELECT min(snapshot) + (max(snapshot) - min(snapshot) + 1) // 2 FROM fl)"
+
+
+def bounds(spark, sf) -> tuple[int, int]:
+    """First snapshots of the second quarter and of the second half of the table's range."""
+    span = base.shared(spark, sf, "snapshot_span", lambda: flows(spark, sf).agg(F.min("snapshot").alias("lo"), F.max("snapshot").alias("hi")))
+    lo, hi = span.first()
+    return lo + (hi - lo + 1) // 4, lo + (hi - lo + 1) // 2
+
+
 PROFILE = FLOWS + f""",
 vals AS (SELECT snapshot < {MID} AS is_old, unnest(range(5)) AS feature_idx, unnest(ea) AS v FROM fl WHERE snapshot < {MID} OR edge_y = 0),
 prof AS (SELECT is_old, feature_idx, min(v) AS vmin, max(v) AS vmax, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.99) AS p99, avg((abs(v) > 5)::INT) AS share FROM vals GROUP BY 1, 2)"""
@@ -178,7 +188,7 @@ prof AS (SELECT is_old, feature_idx, min(v) AS vmin, max(v) AS vmax, quantile_co
 
 def profiles(spark, sf):
     rows = flows(spark, sf)
-    new = F.col("snapshot") >= MID
+    new = F.col("snapshot") >= bounds(spark, sf)[1]
     values = rows.filter(~new | (F.col("edge_y") == 0)).select((~new).alias("is_old"), F.posexplode("edge_attr").alias("feature_idx", "value"))
     return base.shared(spark, sf, "profiles", lambda: quality.scale_profile(values, ["is_old", "feature_idx"]))
 
@@ -220,13 +230,13 @@ def g12(spark, sf):
 
 @query(
     "j8_duplicates",
-    f"""WITH {PRINTS}, nw AS (SELECT fingerprint FROM fp WHERE sequence >= {MID - 10} UNION ALL SELECT fingerprint FROM fp WHERE sequence BETWEEN {MID} AND {MID + 4})
+    f"""WITH {PRINTS}, nw AS (SELECT fingerprint FROM fp WHERE sequence >= {MID} - 10 UNION ALL SELECT fingerprint FROM fp WHERE sequence BETWEEN {MID} AND {MID} + 4)
 SELECT (count(*) - count(DISTINCT fingerprint))::BIGINT AS n_repeated, count(*)::BIGINT AS n_rows, count(*) FILTER (fingerprint IN (SELECT fingerprint FROM fp WHERE sequence < {MID}))::BIGINT AS n_known FROM nw""",
 )
 def j8(spark, sf):
-    p = prints(spark, sf)
-    new = p.filter(F.col("sequence") >= MID - 10).unionByName(p.filter(F.col("sequence").between(MID, MID + 4)))
-    return quality.duplicate_report(new, p.filter(F.col("sequence") < MID)).select(*b("n_repeated", "n_rows", "n_known"))
+    p, mid = prints(spark, sf), bounds(spark, sf)[1]
+    new = p.filter(F.col("sequence") >= mid - 10).unionByName(p.filter(F.col("sequence").between(mid, mid + 4)))
+    return quality.duplicate_report(new, p.filter(F.col("sequence") < mid)).select(*b("n_repeated", "n_rows", "n_known"))
 
 
 SHIFT = FLOWS + f""", t AS (SELECT ea[2] AS s, (snapshot >= {MID})::INT AS y FROM fl WHERE edge_y = 0){curve_sql('t')}, sh AS (SELECT {AUC} AS auc FROM cv)"""
@@ -240,10 +250,11 @@ SELECT n_flagged::BIGINT AS n_flagged, n_known::BIGINT AS n_known, round(auc, 6)
 )
 def a29(spark, sf):
     """Scale flags, shift of one feature and duplicates as one row that gates the evaluation."""
+    mid = bounds(spark, sf)[1]
     rows = flows(spark, sf).filter("edge_y = 0").withColumn("anomaly_score", F.col("edge_attr")[1])
-    shift = ev.shift_auc(rows.filter(F.col("snapshot") < MID), rows.filter(F.col("snapshot") >= MID)).select(F.col("roc_auc").alias("shift_auc"))
+    shift = ev.shift_auc(rows.filter(F.col("snapshot") < mid), rows.filter(F.col("snapshot") >= mid)).select(F.col("roc_auc").alias("shift_auc"))
     p = prints(spark, sf)
-    dup = quality.duplicate_report(p.filter(F.col("sequence") >= MID), p.filter(F.col("sequence") < MID)).select("n_known")
+    dup = quality.duplicate_report(p.filter(F.col("sequence") >= mid), p.filter(F.col("sequence") < mid)).select("n_known")
     flagged = flags(spark, sf).agg(F.count(F.when(F.col("flag_range"), 1)).alias("n_flagged"))
     one = attach(attach(flagged, shift, []), dup, [])
     return one.select(

@@ -231,10 +231,10 @@ def e14(spark, sf):
 @query("e11_validate_then_evaluate")
 def e11(spark, sf):
     """New file against the reference: quality gate first; metrics only if the gate lets them."""
-    from tidewarden.queries.graphs import flags, prints
+    from tidewarden.queries.graphs import bounds, flags, prints
 
-    p = prints(spark, sf)
-    dup = quality.duplicate_report(p.filter("sequence >= 310"), p.filter("sequence < 310")).select("n_known")
+    p, mid = prints(spark, sf), bounds(spark, sf)[1]
+    dup = quality.duplicate_report(p.filter(F.col("sequence") >= mid), p.filter(F.col("sequence") < mid)).select("n_known")
     scored = base.scores(spark, sf)
     benign = scored.filter("label = 'benign'")
     shift = ev.shift_auc(benign.filter("split = 'calibration_benign'"), benign.filter("split = 'online_benign'")).select(F.col("roc_auc").alias("shift_auc"))
