@@ -65,3 +65,22 @@ def test_empty_table(spark):
 def test_no_shuffle(spark):
     plan = warc.derive(warc.responses(spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>").alias("html"))))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def text_of(spark, page):
+    rows = warc.derive(warc.responses(pages(spark, [(1, "u", page)]))).filter("warc_type = 'conversion'")
+    return rows.collect()[0]["block"]
+
+
+def test_long_runs_of_breaks(spark):
+    assert text_of(spark, "a" + "<br>" * 100_000 + "b" + " <p> </p>" * 50_000 + "c") == "a\nb\nc"
+    assert text_of(spark, "<br>" * 100_000) == ""
+
+
+def test_character_references(spark):
+    page = "<p>caf&eacute; &mdash; it&#8217;s &#xE9;t&eacute;&nbsp;&amp;lt; &notanentity; &#0; &hellip;</p><title>&Uuml;ber &#x201C;x&#x201D;</title>"
+    assert text_of(spark, page) == "café — it’s été &lt; ¬anentity; \ufffd …\nÜber “x”"
+
+
+def test_script_and_style_close_themselves(spark):
+    assert text_of(spark, "<style>a</script>b</style>c<script>'</style>' d</script>e<noscript>f</noscript>") == "c e"

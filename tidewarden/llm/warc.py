@@ -8,7 +8,8 @@ digests under ``source``; the conversion's record id is named in the metadata as
 writes records as the bytes of a WARC file.
 
 Record ids are name-based UUIDs of kind and content position (page id, row of that id, target), so
-a task that runs again writes the same ids. All of it is column functions: one scan, no shuffle.
+a task that runs again writes the same ids. All of it is column functions: one scan, no shuffle;
+character references alone are decoded in Python, on Arrow batches.
 
 Rows: null html counts as an empty body, null url as an empty target; a page_id that is null or
 occurs again gives records of its own, told apart by their digests; repeated rows give equal
@@ -17,25 +18,17 @@ records, as a crawl that stored a page twice would; other columns are ignored.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no date; the crawl's is a parameter
 CRLF = "\r\n"
-# Named characters that pages use most; others stay as they are.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&apos;": "'",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&amp;": "&",
-}
-UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>"
+UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
 BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|article|section|header|footer|nav|title|head|body|html|blockquote|pre)\b[^>]*>"
 TAG = r"(?s)<[A-Za-z/!?][^>]*>"
 
@@ -55,22 +48,23 @@ def sha1_label(text: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(text))
 
 
-def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES.items():  # the ampersand comes last
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references of HTML 5, named and numeric, as characters; no-break spaces as spaces."""
+    return text.map(lambda t: html.unescape(t).replace("\xa0", " ") if "&" in t or "\xa0" in t else t, na_action="ignore")
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(page: Column) -> Column:
     """Visible text: one line per block element, spaces joined, empty lines gone."""
-    seen = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"[\n\r]+", " ")
+    seen = F.regexp_replace(F.regexp_replace(page, UNSEEN, " "), r"[\n\r]+", " ")
     text = unescaped(F.regexp_replace(F.regexp_replace(seen, BREAKS, "\n"), TAG, ""))
-    joined = F.regexp_replace(text, r"[ \t\f\x0b]+", " ")
-    return F.btrim(F.regexp_replace(joined, r" ?(?:\n ?)+", "\n"), F.lit(" \n"))
+    joined = F.regexp_replace(text, r"[ \t\f\x0b\r]+", " ")
+    # a class, not a group, is repeated: Java's matcher recurses into groups, however long the run
+    return F.btrim(F.regexp_replace(joined, r"[ \n]*\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def title(html: Column) -> Column:
-    inner = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)
+def title(page: Column) -> Column:
+    inner = F.regexp_extract(page, r"(?is)<title\b[^>]*>(.*?)</title", 1)
     return F.btrim(F.regexp_replace(unescaped(inner), r"[ \t\f\x0b\n\r]+", " "))
 
 
