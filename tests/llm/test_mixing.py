@@ -40,12 +40,16 @@ def test_copies(spark, chosen):
     rows, docs = chosen
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
-    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows}
-    for g in got:
-        assert g["size"] == size[g["doc_id"]]
-        rate = g["target"] / g["source_size"]
-        u = int(hashlib.md5(f"{mixing.SEED}:{'' if g['doc_id'] is None else g['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
-        assert g["taken"] == (int(rate) + (u < rate - int(rate))) * g["size"] <= 2 * g["size"]
+    target, words = got[0]["target"], got[0]["source_size"]
+    rate, seen, want = target / words, {}, []
+    for i, t in rows:
+        number = seen[i, t] = seen.get((i, t), -1) + 1
+        parts = f"{mixing.SEED}:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}:{number}"
+        u = int(hashlib.md5(parts.encode()).hexdigest()[:8], 16) / 2**32
+        copies = int(rate) + (u < rate - int(rate))
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        want.append((i, size, words, target, copies * size, copies))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and all(w[4] <= 2 * w[1] for w in want)
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     taken = mixing.mixed_rows(docs)
@@ -69,3 +73,22 @@ def test_many_sources_go_through_a_shuffle(spark, documents, monkeypatch):
     few = sorted(map(str, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     assert sorted(map(str, mixing.mix(docs).collect())) == few
+
+
+def test_rows_without_an_id_or_with_the_same_come_near_the_target(spark, documents, way):
+    """Null ids, one id for all, and one row over and over: no group shares a draw."""
+    docs = documents(
+        [(None, f"w{i} " * 100, "a") for i in range(1000)] + [(5, f"w{i} " * 100, "b") for i in range(1000)] + [(6, "same " * 100, "c")] * 1000
+    )
+    sums = mixing.mix(docs).join(spark.createDataFrame([(None, 1), (5, 2), (6, 3)], "id long, s int"), expr_same(), "inner")
+    got = {r["s"]: (r["t"], r["target"]) for r in sums.groupBy("s", "target").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
+    assert len(got) == 3
+    for taken, target in got.values():
+        assert taken == pytest.approx(target, rel=0.08)
+    assert mixing.mixed_rows(docs).count() == sum(taken for taken, _ in got.values()) / 100
+
+
+def expr_same():
+    from pyspark.sql import functions as F
+
+    return F.col("doc_id").eqNullSafe(F.col("id"))

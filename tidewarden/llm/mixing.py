@@ -2,15 +2,18 @@
 
 Words are summed per source; each source's target is its share of ``total`` times all words, by
 weight, but at most ``cap`` times its own words, the excess being shared again by weight. The rate
-is target over words. A document is taken floor(rate) times, plus once more when a hash of its id
-falls below the rate's fraction, so reruns and lost tasks give the same copies.
+is target over words. A document is taken floor(rate) times, plus once more when a hash falls below
+the rate's fraction, so reruns and lost tasks give the same copies. The hash is that of the doc_id,
+the text's digest and, for rows equal in both, their number; such rows are numbered by a scan that
+cuts a large group into chunks, and which of them gets which number is of no account.
 
 Sharing the excess again until nothing is above its cap ends in ``min(cap * words, weight * x)``
 for one level x. Sources sorted by words per weight reach their caps in that order, so x follows
 from running sums over the source table; all sums are whole numbers, one division per source.
 
 Rows: null text has size 0; null source is a source of its own, after all others; a source without
-words has target 0 and its documents are not taken; null or repeated doc_ids draw the same hash.
+words has target 0 and its documents are not taken; documents without a doc_id or with a repeated
+one draw by their texts, and repeated rows one by one, so that they come near their target as well.
 Other columns are kept, whatever their names.
 """
 
@@ -20,13 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.hashing import md5_uniform
+from tidewarden.operators.scan import positions
 from tidewarden.session import written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_PERCENT, CAP = 150, 2
 SEED = 4
-BROADCAST_SOURCES = 10_000
+BROADCAST_SOURCES, BROADCAST_REPEATS = 10_000, 100_000
 MARK = "mixing__"  # of columns that go again
+ID, DIGEST, NUMBER = MARK + "id", MARK + "digest", MARK + "number"
 
 
 def words(text: Column) -> Column:
@@ -69,13 +74,37 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCEN
     )
 
 
+def drawn_by(docs: DataFrame) -> DataFrame:
+    """Add what a row's draw is made of: its id as text, its text's digest and its number among equal rows."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumns({ID: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), DIGEST: digest})
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` of every document, written once: all later steps read this slim table."""
-    return written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    """``doc_id, source, size`` of every document and its draw's parts, written once: all later steps read this slim table."""
+    slim = drawn_by(docs.select("doc_id", "source", "text"))
+    return written(slim.select("doc_id", "source", words(F.col("text")).alias("size"), ID, DIGEST), "sizes")
 
 
-def with_copies(rows: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
-    """``rows`` (with doc_id and source) and how often each is taken, with its source's figures.
+def numbered(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """Add the number of each row among those of the same id and digest, 0 for the first.
+
+    Few documents are repeated, if any; only these are dealt out and scanned.
+    """
+    key = [ID, DIGEST]
+    again = written(sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "repeated")
+    count = again.count()
+    once = F.lit(0).cast("bigint").alias(NUMBER)
+    if not count:
+        return rows.select("*", once)
+    again = F.broadcast(again) if count <= BROADCAST_REPEATS else again
+    single = rows.join(again, key, "left_anti").select("*", once)
+    several = rows.join(again, key, "left_semi").withColumn(MARK + "place", F.monotonically_increasing_id())
+    return single.unionByName(positions(several, key, [MARK + "place"], NUMBER).drop(MARK + "place"))
+
+
+def with_copies(rows: DataFrame, table: DataFrame, sized: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows`` (with doc_id, source and the draw's parts) and how often each is taken, with its source's figures.
 
     The source table is broadcast while it has at most ``BROADCAST_SOURCES`` rows; beyond, a
     shuffle join is left to adaptive skew handling.
@@ -83,10 +112,10 @@ def with_copies(rows: DataFrame, table: DataFrame, seed: int = SEED) -> DataFram
     table = written(table, "targets").withColumnsRenamed({c: MARK + c for c in table.columns})
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = rows.join(table, F.col("source").eqNullSafe(F.col(MARK + "source")), "left")
+    joined = numbered(rows, sized).join(table, F.col("source").eqNullSafe(F.col(MARK + "source")), "left")
     words_there = F.col(MARK + "source_size")
     rate = F.when(words_there > 0, F.col(MARK + "target") / words_there).otherwise(0.0)
-    drawn = md5_uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    drawn = md5_uniform(seed, ID, DIGEST, NUMBER)
     copies = F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
     return joined.withColumn(MARK + "copies", copies.cast("bigint"))
 
@@ -94,7 +123,7 @@ def with_copies(rows: DataFrame, table: DataFrame, seed: int = SEED) -> DataFram
 def mix(docs: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken, copies``."""
     sized = sizes(docs)
-    counted = with_copies(sized, targets(sized, weights, total_percent, cap), seed)
+    counted = with_copies(sized, targets(sized, weights, total_percent, cap), sized, seed)
     copies = F.col(MARK + "copies")
     return counted.select(
         "doc_id",
@@ -108,6 +137,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, ca
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of ``docs``."""
-    counted = with_copies(docs, targets(sizes(docs), weights, total_percent, cap), seed).filter(F.col(MARK + "copies") > 0)
+    sized = sizes(docs)
+    counted = with_copies(drawn_by(docs), targets(sized, weights, total_percent, cap), sized, seed).filter(F.col(MARK + "copies") > 0)
     repeats = F.sequence(F.lit(1).cast("bigint"), F.col(MARK + "copies"))
     return counted.withColumn(MARK + "copy", F.explode(repeats)).select(*docs.columns)

@@ -73,7 +73,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MIX_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS number, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::HUGEINT AS held FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::HUGEINT AS weight FROM per),
 s AS (SELECT *, row_number() OVER lv AS n, sum(held) OVER () * 150 - coalesce(sum(held) OVER (lv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 200 AS rest,
@@ -85,7 +85,7 @@ t AS (SELECT f.source, f.held::BIGINT AS source_size,
            ELSE (f.weight * o.rest)::DOUBLE / (o.shared_by * 100)::DOUBLE END AS target
       FROM f LEFT JOIN f AS o ON o.n = f.first_n),
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-      ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || digest || ':' || number), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
       FROM d LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size AS taken,
        (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c"""
