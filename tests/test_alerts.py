@@ -155,3 +155,43 @@ def test_debounce_ablation_counts_alerts_as_streaks_do(spark, streams):
         assert got[length]["alert_tp"] == rows.filter("confirmed_alert and label = 'attack'").count()
         for c in ("n_episodes", "n_true_alerts", "n_false_alerts", "mean_detection_delay_steps"):
             assert got[length][c] == pytest.approx(one[c])
+
+
+@pytest.mark.parametrize("seed,debounce", [(1, 1), (2, 2), (3, 3)])
+def test_one_pass_equals_a_loop_over_the_rows(spark, way, seed, debounce):
+    """Positions, episodes, streaks and edges of several streams, all chunk borders included."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(400):
+        ds = ["a", "a", "a", "b", "c"][rng.integers(0, 5)]
+        attack = rng.random() < 0.6
+        fam = ["Probe", "Flood", "Flood|Probe"][rng.integers(0, 3)] if attack else "benign"
+        rows.append((ds, "test", f"s{i:04d}", f"w{i}", float(rng.integers(0, 90)), i, "attack" if attack else "benign", fam, [0.0], bool(rng.random() < 0.7)))
+    cols = "dataset_id string, split string, sample_id string, window_id string, timestamp double, source_index long, label string, attack_family string, embedding array<double>, is_anomaly boolean"
+    df = spark.createDataFrame(rows, cols)
+    got = {r["sample_id"]: r for r in alerts.placed_streaks(df, debounce).collect()}
+    assert len(got) == len(rows)
+    split = {r["sample_id"]: r for r in alerts.streaks(alerts.assign_streams(df), debounce).collect()}
+    for ds in "abc":
+        opened, streak, before, last = 0, 0, False, None
+        for n, r in enumerate(sorted((r for r in rows if r[0] == ds), key=lambda r: (r[4], r[5], r[2]))):
+            fam = "|".join(sorted(r[7].split("|"))) if r[6] == "attack" else None
+            opened += fam is not None and fam != last
+            streak = streak + 1 if r[9] else 0
+            g = got[r[2]]
+            assert (g["stream_pos"], g["consecutive_anomalies"], g["confirmed_alert"]) == (n, streak, streak >= debounce)
+            assert g["alert_raised"] == (streak == debounce)
+            assert g["episode_id"] == split[r[2]]["episode_id"] and (g["episode_id"] == "benign") == (fam is None)
+            assert fam is None or g["episode_id"].endswith(f"#{opened}")
+            assert {c: g[c] for c in g.asDict() if c != "embedding"} == {c: split[r[2]][c] for c in g.asDict() if c != "embedding"}
+            last, before = fam, r[9]
+
+
+def test_rows_are_dealt_once(spark, monkeypatch):
+    dealt = []
+    real = alerts.ordered_chunks
+    monkeypatch.setattr(alerts, "ordered_chunks", lambda *a, **k: dealt.append(a[3]) or real(*a, **k))
+    rows = [("a", "test", f"s{i}", "w", float(i), i, "attack", "Probe", [0.0], i % 3 > 0) for i in range(30)]
+    cols = "dataset_id string, split string, sample_id string, window_id string, timestamp double, source_index long, label string, attack_family string, embedding array<double>, is_anomaly boolean"
+    out = alerts.verify_records(spark.createDataFrame(rows, cols), 2)
+    assert out.count() == 30 and dealt == ["streams"]

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.operators import metrics
+from tidewarden.operators import fits, metrics
 from tidewarden.operators.scan import attach
 from tidewarden.operators.splits import stratified_folds
 from tidewarden.session import written
@@ -81,28 +81,22 @@ def select_probe(fit: DataFrame, cal: DataFrame, grid=GRID, max_iter: int = 50)
     return best
 
 
-def cross_validated_scores(rows: DataFrame, key: str, folds: int = 5, c: float = 1.0, max_iter: int = 50) -> DataFrame:
-    """Out-of-fold decision values from stratified folds."""
-    placed = written(stratified_folds(rows, key, "y", folds), "folds")
-    out = None
-    for f in range(folds):
-        probe = Probe(placed.filter(F.col("fold") != f), c, max_iter)
-        part = probe.score(placed.filter(F.col("fold") == f))
-        out = part if out is None else out.unionByName(part)
-    return out
+def cross_validated_scores(rows: DataFrame, key: str, sets: dict[str, list[str]], folds: int = 5, c: float = 1.0) -> DataFrame:
+    """Out-of-fold decision values from stratified folds, of all feature sets in the same passes."""
+    held, places = fits.wide(rows, sets)
+    placed = written(stratified_folds(held.select(key, "y", "x"), key, "y", folds), "folds")
+    mine = F.expr("shiftleft(1L, fold)")
+    outside = placed.withColumn("fit_folds", F.lit((1 << folds) - 1).cast("bigint").bitwiseXOR(mine))
+    models = fits.many_fits(outside, places, list(range(folds)), (c,))
+    return fits.scored(placed, models, mine, [key, "y"])
 
 
-def probe_feature_sets(rows: DataFrame, key: str, sets: dict[str, list[str]], folds: int = 5, max_iter: int = 50) -> DataFrame:
+def probe_feature_sets(rows: DataFrame, key: str, sets: dict[str, list[str]], folds: int = 5) -> DataFrame:
     """Cross-validated ROC-AUC per feature set."""
-    out = None
-    for name, parts in sets.items():
-        scored = cross_validated_scores(feature_set(rows, parts).select(key, "y", "features"), key, folds, max_iter=max_iter)
-        part = metrics.ranking(scored).withColumn("feature_set", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return metrics.ranking(written(cross_validated_scores(rows, key, sets, folds), "probe"), by=["feature_set"])
 
 
-def boosted_trees(train: DataFrame, features: str = "features", rounds: int = 20, depth: int = 4, seed: int = 42):
+def boosted_trees(train: DataFrame, features: str = "features", rounds: int = 150, depth: int = 4, seed: int = 42):
     """Gradient-boosted trees with balanced weights; returns a scorer of rows."""
     rows = balanced(train).withColumn("_v", array_to_vector(features))
     model = GBTClassifier(

@@ -14,6 +14,8 @@ from tidewarden.operators import knn, metrics
 from tidewarden.operators.knn import SCORE_DIGITS, dimension_stats, matrix_of
 from tidewarden.operators.scan import exact_quantiles, positions
 
+STRONG = 0.2  # attack share from which a window counts as a strong attack
+
 
 def centroid_cosine(rows: DataFrame, reference: DataFrame, out: str = "score") -> DataFrame:
     """1 - cosine to the mean of the unit vectors."""
@@ -161,7 +163,11 @@ def stratified_halves(labels: DataFrame, key: str, seeds: int = 20, first: int =
 
 
 def compare_scorers(scores: DataFrame, labels: DataFrame, key: str, seeds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Mean dev and test ROC-AUC per scorer, and per seed the scorer that dev selects."""
+    """Mean dev and test ROC-AUC per scorer, and per seed the scorer that dev selects.
+
+    If ``labels`` has the attack share ``ratio``, the means are also taken over benign rows and
+    attacks of at least ``STRONG`` share (``test_auc_strong``).
+    """
     rows = scores.join(stratified_halves(labels, key, seeds), key).withColumnRenamed("score", "anomaly_score")
     by = ["seed", "scorer", "half"]
     auc = metrics.ranking(rows, by=by)
@@ -175,6 +181,10 @@ def compare_scorers(scores: DataFrame, labels: DataFrame, key: str, seeds: int =
         F.avg("test_auc").alias("test_auc"),
         F.stddev_pop("test_auc").alias("test_std"),
     )
+    if "ratio" in labels.columns:
+        strong = rows.filter((F.col("half") == "test") & ((F.col("y") == 0) | (F.col("ratio") >= STRONG)))
+        per = metrics.ranking(strong, by=["seed", "scorer"]).groupBy("scorer")
+        means = means.join(per.agg(F.avg("roc_auc").alias("test_auc_strong"), F.stddev_pop("roc_auc").alias("test_strong_std")), "scorer")
     place = F.struct(F.round("dev_auc", 9).alias("a"), "scorer")
     chosen = wide.groupBy("seed").agg(F.max_by(F.struct("scorer", "dev_auc", "test_auc", "test_ap"), place).alias("c")).select("seed", "c.*")
     benign = rows.filter("half = 'dev' and y = 0").join(chosen.select("seed", "scorer"), ["seed", "scorer"])

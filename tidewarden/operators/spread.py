@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.vectors import NORM_FLOOR, as_double, dot, l2_normalise, norm
 from tidewarden.operators.alerts import ratio
-from tidewarden.operators.knn import blocked_knn, unit_rows
+from tidewarden.operators.knn import blocked_knn, matrix_of, unit_rows
 from tidewarden.operators.scan import attach, positions
 
+STRETCH_ROWS = 2048  # of a call that works on whole batches
+
 
 def element_statistics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Element mean of absolute values, spread and range; mean and spread of the norms."""
@@ -104,23 +107,24 @@ def pair_diagnostics(pairs: DataFrame, a: str = "view1", b: str = "view2") -> Da
 def contrastive_loss(pairs: DataFrame, key: str, batch: int = 32, temperature: float = 0.1, a: str = "view1", b: str = "view2") -> DataFrame:
     """NT-Xent loss per batch of consecutive keys; an incomplete last batch is dropped."""
     placed = positions(pairs.select(key, as_double(a).alias("a"), as_double(b).alias("b")), [], [key], "pos")
-    rows = placed.withColumn("batch", F.floor(F.col("pos") / batch).cast("bigint"))
-
-    def loss(pdf):
-        import pandas as pd
-
-        if len(pdf) < batch:
-            return pd.DataFrame({"batch": [], "loss": []})
-        pdf = pdf.sort_values("pos")
-        z = unit_rows(np.vstack([np.stack(pdf["a"].to_numpy()), np.stack(pdf["b"].to_numpy())]))
-        s = z @ z.T / temperature
-        np.fill_diagonal(s, -np.inf)
-        partner = np.r_[np.arange(batch, 2 * batch), np.arange(batch)]
-        top = s.max(axis=1)
-        log_sum = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "loss": [float((log_sum - s[np.arange(2 * batch), partner]).mean())]})
-
-    per = rows.groupBy("batch").applyInPandas(loss, "batch long, loss double")
+    # a task's call takes a stretch of whole batches, all of them in one stacked product
+    rows = placed.withColumn("stretch", F.floor(F.col("pos") / (batch * max(STRETCH_ROWS // batch, 1))).cast("bigint"))
+
+    def losses(part: pa.Table) -> pa.Table:
+        part = part.sort_by("pos")
+        whole = len(part) // batch
+        if not whole:
+            return pa.table({"loss": pa.array([], pa.float64())})
+        views = [unit_rows(matrix_of(part.column(c).combine_chunks())[: whole * batch]).reshape(whole, batch, -1) for c in ("a", "b")]
+        z = np.concatenate(views, axis=1)
+        s = z @ z.transpose(0, 2, 1) / temperature
+        own, partner = np.arange(2 * batch), np.r_[np.arange(batch, 2 * batch), np.arange(batch)]
+        s[:, own, own] = -np.inf
+        top = s.max(axis=2)
+        log_sum = top + np.log(np.exp(s - top[:, :, None]).sum(axis=2))
+        return pa.table({"loss": pa.array((log_sum - s[:, own, partner]).mean(axis=1))})
+
+    per = rows.select("stretch", "pos", "a", "b").groupBy("stretch").applyInArrow(losses, "loss double")
     return per.agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n_batches")).withColumn(
         "chance", F.lit(float(np.log(2 * batch - 1)))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOT_RUN = "NOT RUN"
@@ -48,20 +48,57 @@ UNITS = {
     "explanation_coverage": "ratio",
     "tau_delta_vs_baseline": "score units",
     "detection_rate": "ratio",
+    "mean": "score units",
+    "median": "score units",
+    "std": "score units",
+    "throughput_samples_per_s": "samples/second",
+    "ci95_low": "% score reduction",
+    "ci95_high": "% score reduction",
+    "mean_before": "score units",
+    "mean_after": "score units",
+    "folds": "count",
 }
+# Columns that are no metrics, and the columns of a tidy table.
+SKIP = ("confusion", "metric_validity", "status")
 TIDY_COLUMNS = ["table", "row_key", "dataset", "split", "config_id", "n_samples", "data_source", "notes", "metric", "value", "unit"]
 
 
-def tidy(df: DataFrame, table: str, row_key: list[str], dataset: str = "", split: str = "test", config_id: str = "cfg-default", data_source: str = "", notes: str = "") -> DataFrame:
-    """One row per metric; a missing or non-finite value is reported as NOT RUN, never dropped."""
-    numbers = [n for n, t in df.dtypes if n not in row_key and t in ("double", "float", "int", "bigint", "boolean")]
+def _text(name: str, kind: str) -> Column:
+    c = F.col(name)
+    if kind in ("double", "float"):
+        c = F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), None).otherwise(c)
+    return F.coalesce(c.cast("string"), F.lit(NOT_RUN))
+
+
+def tidy(
+    df: DataFrame,
+    table: str,
+    row_key: list[str],
+    dataset: str = "",
+    split: str = "test",
+    config_id: str = "cfg-default",
+    data_source: str = "",
+    notes: str = "",
+    skip=SKIP,
+) -> DataFrame:
+    """One row per metric; a missing or non-finite value is reported as NOT RUN, never dropped.
+
+    An interval, a struct with ``low`` and ``high`` and perhaps ``point``, gives a row for each of
+    them. Columns in ``skip`` and other nested ones are no metrics.
+    """
     cells = []
-    for n in numbers:
-        c = F.col(n)
-        if dict(df.dtypes)[n] in ("double", "float"):
-            c = F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), None).otherwise(c)
-        text = F.coalesce(c.cast("string"), F.lit(NOT_RUN))
-        cells.append(F.struct(F.lit(n).alias("metric"), text.alias("value"), F.lit(UNITS.get(n, "")).alias("unit")))
+    for n, kind in df.dtypes:
+        if n in row_key or n in skip:
+            continue
+        if kind.startswith("struct"):
+            inner = {f.name: f.dataType.simpleString() for f in df.schema[n].dataType.fields}
+            if {"low", "high"} <= inner.keys():
+                named = [("point", "point"), ("ci95_low", "low"), ("ci95_high", "high")]
+                parts = [(f"{n}_{metric}", f"{n}.{name}", inner[name]) for metric, name in named if name in inner]
+                cells += [(metric, _text(at, held), UNITS.get(n, "")) for metric, at, held in parts]
+        elif not kind.startswith(("array", "map", "binary")):
+            cells.append((n, _text(n, kind), UNITS.get(n, "")))
+    cells = [F.struct(F.lit(m).alias("metric"), v.alias("value"), F.lit(u).alias("unit")) for m, v, u in cells]
     size = F.col("n_samples").cast("string") if "n_samples" in df.columns else F.lit("")
     long = df.select(
         F.lit(table).alias("table"),

@@ -72,7 +72,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         cal = scores(spark, sf).filter(F.col("split") == CALIBRATION)
         cut = threshold.calibrate(cal, percentile=90.0).filter("method = 'fixed_percentile'")
         decided = threshold.decide(scores(spark, sf), cut)
-        return alerts.verify_alerts(alerts.assign_streams(decided), debounce=2)
+        return alerts.verify_records(decided, debounce=2)
 
     return shared(spark, sf, "predictions", build)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewarden.functions.hashing import md5_uniform
 from tidewarden.functions.values import ONLINE, TEST, TRAIN
+from tidewarden.functions.vectors import l2_normalise
 from tidewarden.operators import knn, memory, scorers, spread, threshold
 from tidewarden.operators.scan import attach
 from tidewarden.plans import ablation
@@ -270,16 +272,31 @@ def a39(spark, sf):
     return scorers.local_outlier_factor(rows, base.bank(spark, sf)).select("sample_id", F.round("score", 4).alias("score"))
 
 
+def _projected(rows):
+    """A second embedding of the same rows, as a projection head would give: neighbouring dimensions mixed."""
+    mixed = F.transform("embedding", lambda v, i: v + 0.8 * F.get("embedding", (i + 1) % F.size("embedding")))
+    return rows.withColumn("embedding", mixed)
+
+
 def _comparison(spark, sf):
     rows = base.records(spark, sf).filter("split = 'test'")
-    labels = rows.select("sample_id", (F.col("label") == "attack").cast("int").alias("y"))
-    long = base.shared(spark, sf, "all_scores", lambda: scorers.all_scores(rows, base.bank(spark, sf), ["sample_id"]))
-    return scorers.compare_scorers(long, labels, "sample_id", 20)
+    share = md5_uniform(3, "sample_id")
+    labels = rows.select("sample_id", (F.col("label") == "attack").cast("int").alias("y"), share.alias("ratio"))
+
+    def build():
+        bank = base.bank(spark, sf)
+        h = scorers.all_scores(rows, bank, ["sample_id"], "h")
+        return h.unionByName(scorers.all_scores(_projected(rows), _projected(bank), ["sample_id"], "z"))
+
+    return scorers.compare_scorers(base.shared(spark, sf, "all_scores", build), labels, "sample_id", 20)
 
 
 @query("l7_scorer_comparison")
 def l7(spark, sf):
-    return _comparison(spark, sf)[0].select("scorer", *r6("dev_auc", "dev_std", "test_auc", "test_std"))
+    """Nine scorers over two embeddings, on all attacks and on those of at least a fifth attack flows."""
+    return _comparison(spark, sf)[0].select(
+        "scorer", *r6("dev_auc", "dev_std", "test_auc", "test_std", "test_auc_strong", "test_strong_std")
+    )
 
 
 @query("l7_selected_scorer")
@@ -321,10 +338,31 @@ def a36(spark, sf):
     return spread.class_centres(base.records(spark, sf)).select(*r6("centre_cosine", "centre_distance"))
 
 
-@query("e17_collapse_report", ELEMENTS.format(by="CASE WHEN label >= 7 THEN 'attack' ELSE 'benign' END AS class,", grp="GROUP BY 1"))
+@query(
+    "e17_collapse_report",
+    f"""WITH v AS (SELECT vec_id, CASE WHEN label >= 7 THEN 'attack' ELSE 'benign' END AS class, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+r AS (SELECT *, sqrt(list_dot_product(v, v)) AS size, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS e FROM v),
+el AS (SELECT class, avg(abs(x)) AS mean_abs, stddev_samp(x) AS std, min(x) AS minimum, max(x) AS maximum FROM (SELECT class, unnest(v) AS x FROM r) GROUP BY 1),
+nm AS (SELECT class, count(*) AS n_rows, avg(size) AS mean_norm, stddev_samp(size) AS std_norm FROM r GROUP BY 1),
+sm AS (SELECT class, sum(t * t) AS square FROM (SELECT class, i, sum(x) AS t FROM (SELECT class, unnest(range(64)) AS i, unnest(e) AS x FROM r) GROUP BY 1, 2) GROUP BY 1),
+ct AS (SELECT i, avg(x) FILTER (class = 'benign') AS a, avg(x) FILTER (class = 'attack') AS b FROM (SELECT class, unnest(range(64)) AS i, unnest(e) AS x FROM r) GROUP BY 1),
+cc AS (SELECT sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) AS centre_cosine, sqrt(sum((a - b) * (a - b))) AS centre_distance FROM ct)
+SELECT class, n_rows::BIGINT AS n_rows, round(mean_abs, 6) AS mean_abs, round(std, 6) AS std, round(minimum, 6) AS minimum, round(maximum, 6) AS maximum, round(mean_norm, 6) AS mean_norm, round(std_norm, 6) AS std_norm,
+ round((square - n_rows) / (n_rows * (n_rows - 1.0)), 6) AS mean_cosine, round(centre_cosine, 6) AS centre_cosine, round(centre_distance, 6) AS centre_distance FROM el JOIN nm USING (class) JOIN sm USING (class), cc""",
+)
 def e17(spark, sf):
+    """Elements, norms and pairwise cosine of each class, and how far apart the class centres are."""
     rows = _raw(spark, sf).withColumn("class", F.when(F.col("label") >= 7, "attack").otherwise("benign"))
-    return spread.element_statistics(rows, ["class"]).select("class", "n_rows", *r6("mean_abs", "std", "minimum", "maximum"))
+    out = spread.element_statistics(rows, ["class"])
+    cosines = None
+    for name in ("benign", "attack"):
+        part = spread.mean_pairwise_cosine(rows.filter(F.col("class") == name)).select(F.lit(name).alias("class"), "mean_cosine")
+        cosines = part if cosines is None else cosines.unionByName(part)
+    unit = rows.select("class", l2_normalise("embedding").alias("embedding"))
+    out = attach(out.join(cosines, "class"), spread.class_centres(unit, "class"), [])
+    return out.select(
+        "class", "n_rows", *r6("mean_abs", "std", "minimum", "maximum", "mean_norm", "std_norm", "mean_cosine", "centre_cosine", "centre_distance")
+    )
 
 
 VIEWS = f"""WITH {RECORDS}, vw AS (SELECT vec_id, e AS v1, list_transform(range(1, 65), lambda i: e[i] + 0.8 * e[(i % 64) + 1]) AS v2 FROM rec),

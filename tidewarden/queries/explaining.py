@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewarden.functions.values import CALIBRATION, TEST, TRAIN
 from tidewarden.functions.vectors import l2_normalise
 from tidewarden.operators import graph, knn, threshold
-from tidewarden.operators.alerts import assign_streams, verify_alerts
+from tidewarden.operators.alerts import verify_records
 from tidewarden.plans import explanations as ex
 from tidewarden.queries import base
 from tidewarden.queries.base import b, poisson, query, r6, u
@@ -78,7 +78,7 @@ def alerts(spark, sf):
         known = scored.filter((F.col("split") == CALIBRATION) & (F.col("label") == "benign"))
         cut = threshold.calibrate(known, percentile=PERCENTILE).filter("method = 'fixed_percentile'")
         decided = threshold.decide(scored.filter(F.col("split") == TEST), cut)
-        pred = verify_alerts(assign_streams(decided), DEBOUNCE)
+        pred = verify_records(decided, DEBOUNCE)
         return ex.candidates(pred).select("sequence", "anomaly_score", "threshold", "confidence")
 
     return base.shared(spark, sf, "sequence_alerts", build)

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.hashing import md5_uniform
 from tidewarden.functions.values import family_tokens
-from tidewarden.operators import graph, knn, learn, metrics, quality, splits, threshold
-from tidewarden.operators.scan import attach
+from tidewarden.operators import graph, knn, learn, metrics, quality, scorers, splits, threshold
+from tidewarden.operators.scan import attach, exact_quantiles
 from tidewarden.plans import ablation, reports, supervised
 from tidewarden.plans import evaluation as ev
 from tidewarden.queries import base
-from tidewarden.queries.base import PRED, SCORES, TAU, b, poisson, query, r6, u
-from tidewarden.queries.graphs import WIDTH, edges, flows, nodes
-from tidewarden.queries.ranking import AUC, PAIRS, curve_sql
+from tidewarden.queries.base import PRED, SCORES, b, query, r6, u
+from tidewarden.queries.graphs import edges, flows, nodes
+from tidewarden.queries.ranking import AP, AUC, curve_sql
 from tidewarden.queries.scoring import EUCLID
+from tidewarden.session import written
 from tidewarden.sources import views
 
 WINDOW_S = 86400
@@ -25,7 +26,10 @@ def labelled_windows(spark, sf):
     o = views.table(spark, sf, "orders")
     li = views.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("window_key")).agg(
         F.count(F.lit(1)).alias("n_edges"),
-        F.array(F.avg("l_quantity"), F.avg("l_discount") * 100, F.avg("l_tax") * 100).alias("raw"),
+        F.array(F.avg("l_quantity"), F.avg("l_discount") * 100, F.avg("l_tax") * 100).alias("h"),
+        F.array(
+            *[f(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") for f in (F.avg, F.max, F.min)]
+        ).alias("raw"),
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"),
     )
     start = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
@@ -39,9 +43,18 @@ def labelled_windows(spark, sf):
     return rows.join(li, "window_key").withColumn("log_size", F.log1p(F.col("n_edges").cast("double")))
 
 
+# feature sets of the probes: parts of a row, by name
+SETS = {"size": ["size"], "h": ["h"], "h_plus_size": ["h", "size"], "raw": ["raw"], "raw_plus_size": ["raw", "size"]}
+
+
 def test_vectors(spark, sf):
+    """Test records with the parts of all feature sets; raw statistics are those of the stored vector."""
     rec = base.records(spark, sf).filter("split = 'test'")
-    return rec.select("sample_id", "embedding", F.col("timestamp").alias("size"), (F.col("label") == "attack").cast("int").alias("y"))
+    e = F.col("embedding")
+    total = lambda f: F.aggregate(e, F.lit(0.0), lambda a, v: a + f(v))
+    raw = F.array(total(lambda v: v) / F.size(e), F.array_max(e), F.array_min(e), total(F.abs) / F.size(e))
+    label = (F.col("label") == "attack").cast("int")
+    return rec.select("sample_id", "embedding", e.alias("h"), raw.alias("raw"), F.col("timestamp").alias("size"), label.alias("y"))
 
 
 @query("l1_balanced_logistic")
@@ -54,26 +67,27 @@ def l1(spark, sf):
 
 @query("l2_cross_validated_probe")
 def l2(spark, sf):
-    out = learn.probe_feature_sets(test_vectors(spark, sf), "sample_id", {"size": ["size"], "h": ["embedding"], "h_plus_size": ["embedding", "size"]})
+    out = learn.probe_feature_sets(test_vectors(spark, sf), "sample_id", SETS)
     return out.select("feature_set", *b("n_positive", "n_negative"), *r6("roc_auc", "auprc"))
 
 
 @query("l3_boosted_trees")
 def l3(spark, sf):
     rows = flows(spark, sf).withColumnsRenamed({"edge_attr": "features", "edge_y": "y"}).withColumn("u", md5_uniform(32, "record_id"))
-    score = learn.boosted_trees(rows.filter("u < 0.5").select("features", "y"), rounds=20)
+    score = learn.boosted_trees(rows.filter("u < 0.5").select("features", "y"))
     return metrics.ranking(score(rows.filter("u >= 0.5").select("features", "y"))).select(*b("n_positive", "n_negative"), *r6("roc_auc"))
 
 
 @query(
     "l4_feature_sets",
-    f"""WITH {base.RECORDS}, f AS (SELECT sample_id, e, ts FROM rec WHERE split = 'test')
-SELECT 'size' AS feature_set, 1::BIGINT AS width, round(sum(ts), 4) AS total FROM f UNION ALL SELECT 'h', 64, round(sum(list_sum(e)), 4) FROM f UNION ALL SELECT 'h_plus_size', 65, round(sum(list_sum(e) + ts), 4) FROM f""",
+    f"""WITH {base.RECORDS}, f AS (SELECT sample_id, ts, list_sum(e) AS h, list_avg(e) + list_max(e) + list_min(e) + list_avg(list_transform(e, lambda x: abs(x))) AS raw FROM rec WHERE split = 'test')
+SELECT 'size' AS feature_set, 1::BIGINT AS width, round(sum(ts), 4) AS total FROM f UNION ALL SELECT 'h', 64, round(sum(h), 4) FROM f UNION ALL SELECT 'h_plus_size', 65, round(sum(h + ts), 4) FROM f
+UNION ALL SELECT 'raw', 4, round(sum(raw), 4) FROM f UNION ALL SELECT 'raw_plus_size', 5, round(sum(raw + ts), 4) FROM f""",
 )
 def l4(spark, sf):
     rows = test_vectors(spark, sf)
     out = None
-    for name, parts in {"size": ["size"], "h": ["embedding"], "h_plus_size": ["embedding", "size"]}.items():
+    for name, parts in SETS.items():
         f = learn.feature_set(rows, parts)
         total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
         part = f.agg(F.max(F.size("features")).cast("bigint").alias("width"), F.round(F.sum(total), 4).alias("total"))
@@ -83,13 +97,11 @@ def l4(spark, sf):
 
 
 def _folds(spark, sf):
-    sets = {"size": ["log_size"], "raw_plus_size": ["raw", "price", "log_size"]}
-    return base.shared(
-        spark,
-        sf,
-        "fold_scores",
-        lambda: supervised.rolling_origin(labelled_windows(spark, sf), ["start_time", "window_key"], sets, "window_key", (0.1, 1.0)),
-    )
+    def build():
+        rows = written(labelled_windows(spark, sf).withColumnRenamed("log_size", "size"), "labelled-windows")
+        return supervised.rolling_origin(rows, ["start_time", "window_key"], SETS, "window_key")
+
+    return base.shared(spark, sf, "fold_scores", build)
 
 
 @query("l5_rolling_origin")
@@ -100,7 +112,8 @@ def l5(spark, sf):
 
 @query("l5_paired_differences")
 def l5_paired(spark, sf):
-    p = supervised.paired(_folds(spark, sf), [("raw_plus_size", "size")], "window_key")
+    pairs = [("raw_plus_size", "size"), ("h_plus_size", "size"), ("raw", "h")]
+    p = supervised.paired(_folds(spark, sf), pairs, "window_key")
     return p.select("method_a", "method_b", "statistic", *r6("point", "ci_low", "ci_high"), "n_replicates")
 
 
@@ -169,6 +182,28 @@ def e10_not_run(spark, sf):
     return reports.tidy(rows, "events", ["family"]).select("table", "row_key", "metric", "value", "unit")
 
 
+@query(
+    "e10_tidy_intervals",
+    """WITH f AS (SELECT event_type AS family, count(*) AS n, round(avg(value), 6) AS point, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY 1)
+SELECT 'events' AS "table", family AS row_key, 'events' AS dataset, CAST(n AS VARCHAR) AS n_samples, unnest(['n_samples', 'mean_point', 'mean_ci95_low', 'mean_ci95_high', 'folds']) AS metric,
+ unnest([CAST(n AS VARCHAR), CAST(point AS VARCHAR), CAST(low AS VARCHAR), CAST(high AS VARCHAR), 'NOT RUN']) AS value, unnest(['count', 'score units', 'score units', 'score units', 'count']) AS unit FROM f""",
+)
+def e10_intervals(spark, sf):
+    """An interval is three rows; status columns are skipped; a value that is missing stays visible."""
+    rows = views.table(spark, sf, "events").withColumnRenamed("event_type", "family")
+    ends = exact_quantiles(rows, "value", {"low": 0.025, "high": 0.975}, ["family"])
+    means = rows.groupBy("family").agg(F.round(F.avg("value"), 6).alias("point"))
+    both = ends.join(means, "family").select(
+        "family",
+        F.col("n_rows").alias("n_samples"),
+        F.struct("point", F.round("low", 6).alias("low"), F.round("high", 6).alias("high")).alias("mean"),
+        F.lit(None).cast("int").alias("folds"),
+        F.lit("ok").alias("status"),
+    )
+    out = reports.tidy(both, "events", ["family"], dataset="events")
+    return out.select("table", "row_key", "dataset", "n_samples", "metric", "value", "unit")
+
+
 @query(
     "e8_ablation_summary",
     f"""WITH {PRED}, ls AS (SELECT unnest([1, 2, 3, 4]) AS l), m AS (SELECT 'fixed_mean3sd' AS v, mean + 3 * sd AS t FROM thr UNION ALL SELECT 'fixed_percentile', pct FROM thr UNION ALL SELECT 'confidence_aware', aware FROM thr),
@@ -292,4 +327,75 @@ def e13(spark, sf):
     return one.select(*r6("roc_auc", "auprc", "fpr", "tpr"))
 
 
-del PAIRS, TAU, WIDTH, poisson, u
+
+def _mean_scores(spark, sf):
+    rows = base.scores(spark, sf).withColumn("anomaly_score", knn.neighbour_score("mean"))
+    return rows.withColumns({"y": (F.col("label") == "attack").cast("int"), "ratio": md5_uniform(3, "sample_id"), "size": F.col("timestamp")})
+
+
+@query(
+    "e13_checkpoint_evaluation",
+    f"""WITH {SCORES}, sm AS (SELECT sample_id, split, ts, s_mean AS s, (label = 'attack')::INT AS y, {u(3, 'sample_id')} AS ratio FROM scores),
+te AS (SELECT * FROM sm WHERE split = 'test'), th AS (SELECT quantile_cont(s, 0.95) AS c FROM sm WHERE split = 'calibration_benign'),
+pt AS (SELECT 'all' AS part, s, y FROM te UNION ALL SELECT 'strong', s, y FROM te WHERE y = 0 OR ratio >= 0.2
+ UNION ALL SELECT 'shift', s, (split = 'test')::INT FROM sm WHERE y = 0 AND split IN ('calibration_benign', 'test')){curve_sql('pt', by='part')},
+au AS (SELECT part, {AUC} AS auc, {AP} AS ap FROM cv GROUP BY 1),
+ed AS (SELECT i, quantile_cont(ts, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM te, (SELECT unnest(range(5)) AS i) GROUP BY i),
+jb AS (SELECT i AS bin, s, y FROM te, ed WHERE ts BETWEEN e[i + 1] AND e[i + 2]){curve_sql('jb', by='bin').replace('c0', 'd0').replace('cv', 'dv')},
+st AS (SELECT bin, {AUC} AS auc, max(np) + max(nn) AS n FROM dv GROUP BY 1 HAVING max(np) >= 10 AND max(nn) >= 10)
+SELECT 'roc_auc' AS measure, round(auc, 6) AS value FROM au WHERE part = 'all' UNION ALL SELECT 'auprc', round(ap, 6) FROM au WHERE part = 'all'
+UNION ALL SELECT 'strong_auc', round(auc, 6) FROM au WHERE part = 'strong' UNION ALL SELECT 'shift_auc', round(auc, 6) FROM au WHERE part = 'shift'
+UNION ALL SELECT 'stratified_auc', round(sum(auc * n) / sum(n), 6) FROM st
+UNION ALL SELECT 'fpr', round(avg((s >= c)::INT) FILTER (y = 0), 6) FROM te, th UNION ALL SELECT 'tpr', round(avg((s >= c)::INT) FILTER (y = 1), 6) FROM te, th""",
+)
+def e13_evaluation(spark, sf):
+    """Ranking of all and of strong attacks, shift of benign scores, ranking inside size bins, rates at the benign threshold."""
+    rows = _mean_scores(spark, sf)
+    test, cal = rows.filter("split = 'test'"), rows.filter("split = 'calibration_benign'")
+    strong = test.filter((F.col("y") == 0) | (F.col("ratio") >= 0.2))
+    rates = metrics.rate_at_threshold(test, threshold.benign_percentile(cal).select("threshold"))
+    parts = [
+        metrics.ranking(test).select("roc_auc", "auprc"),
+        metrics.ranking(strong).select(F.col("roc_auc").alias("strong_auc")),
+        ev.shift_auc(cal.filter("y = 0"), test.filter("y = 0")).select(F.col("roc_auc").alias("shift_auc")),
+        ev.weighted_mean_auc(ev.stratified_auc(test, "size", 5)).select("stratified_auc"),
+        rates.select("fpr", "tpr"),
+    ]
+    one = parts[0]
+    for part in parts[1:]:
+        one = attach(one, part, [])
+    cells = F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 6).alias("value")) for c in one.columns])
+    return one.select(F.inline(cells))
+
+
+@query("e13_checkpoint_readouts")
+def e13_readouts(spark, sf):
+    """Other readouts of the same vectors: Mahalanobis distance and cross-validated probes on five feature sets."""
+    rec = base.records(spark, sf)
+    test = rec.filter("split = 'test'").withColumn("y", (F.col("label") == "attack").cast("int"))
+    far = scorers.mahalanobis(test, rec.filter("split = 'train_benign'")).withColumnRenamed("score", "anomaly_score")
+    out = metrics.ranking(written(far.select("y", "anomaly_score"), "far")).withColumn("readout", F.lit("mahalanobis"))
+    probes = learn.probe_feature_sets(test_vectors(spark, sf), "sample_id", SETS)
+    probes = probes.withColumn("readout", F.concat(F.lit("probe:"), "feature_set")).drop("feature_set")
+    return out.unionByName(probes).select("readout", *b("n_positive", "n_negative"), *r6("roc_auc", "auprc"))
+
+
+@query("e8_ablation_all_arms")
+def e8_all(spark, sf):
+    """Threshold, debounce, memory and retrieval ablations as one table."""
+    from tidewarden.operators import memory
+
+    test = base.records(spark, sf).filter("split = 'test'")
+    cal = base.scores(spark, sf).filter("split = 'calibration_benign'")
+    t = ablation.threshold_ablation(base.scores(spark, sf).filter("split = 'test'"), threshold.calibrate(cal))
+    d = ablation.debounce_ablation(base.predictions(spark, sf).filter("split = 'test'"))
+    d = d.withColumnsRenamed({f"alert_{c}": c for c in ("tn", "fp", "fn", "tp", "recall", "fpr", "f1", "precision")})
+    held = memory.reservoir(base.records(spark, sf).filter("split = 'train_benign'"), 64)
+    online = base.records(spark, sf).filter("split = 'online_benign'")
+    order = ["timestamp", "sample_id"]
+    m = ablation.adaptation_ablation(test, online, held, base.tau(spark, sf), order, 72, confidence_max=0.25, replacement="reservoir")
+    r = ablation.retrieval_ablation(test, base.bank(spark, sf), ["dataset_id", "sample_id"])
+    counted = lambda df: df.withColumn("n_samples", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    arms = {"threshold": (t, "method"), "debounce": (counted(d), "debounce"), "memory": (counted(m), "memory_mode"), "retrieval": (r, "probes")}
+    out = reports.ablation_summary(arms)
+    return out.select("arm", "variant", "n_samples", *r6("f1", "precision", "recall", "fpr", "roc_auc", "recall_at_k"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewarden.functions.hashing import md5_uniform
-from tidewarden.operators import bootstrap, metrics, threshold
+from tidewarden.operators import bootstrap, knn, memory, metrics, threshold
+from tidewarden.operators.scan import attach
 from tidewarden.plans import evaluation as ev
 from tidewarden.queries import base
 from tidewarden.queries.base import PRED, RECORDS, SCORES, TAU, b, poisson, query, r6, u
 from tidewarden.queries.streams import EPISODE_SQL
+from tidewarden.session import written
 from tidewarden.sources import views
 
 PAIRS = """
@@ -425,17 +427,33 @@ def e4(spark, sf):
     return rows.select("method", *r6("threshold"), *b("tp", "fp", "fn", "tn"))
 
 
+# In-domain: four fifths of the benign windows are the reference, the others and all attacks the test.
+IN_DOMAIN = f"""WITH {RECORDS},
+rf AS (SELECT * FROM (SELECT e AS me, row_number() OVER (ORDER BY {u(42, 'dataset_id', 'sample_id')}, dataset_id, sample_id) AS rk FROM rec WHERE label = 'benign' AND {u(15, 'sample_id')} < 0.8) WHERE rk <= 4096),
+ds AS (SELECT sample_id, label, round(1 - greatest(-1, least(1, list_dot_product(e, me))), 9) AS d, rk FROM rec CROSS JOIN rf WHERE label = 'attack' OR {u(15, 'sample_id')} >= 0.8),
+t AS (SELECT sample_id, (label = 'attack')::INT AS y, round(avg(d), 9) AS s FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY d, rk) AS k FROM ds) WHERE k <= 5 GROUP BY 1, 2)"""
+
+
 @query(
     "e15_in_domain_evaluation",
-    f"""WITH {SCORES}, t AS (SELECT round(s_mean, 9) AS s, (label='attack')::INT AS y FROM scores WHERE split = 'test'){curve_sql('t')},
-f AS (SELECT *, 2.0*tp/(tp+fp+np) AS f1, row_number() OVER (ORDER BY round(2.0*tp/(tp+fp+np), 12) DESC, s) AS rk FROM cv), a AS (SELECT {AUC} AS auc, {AP} AS ap FROM cv)
-SELECT round(auc, 6) AS roc_auc, round(ap, 6) AS auprc, round(s, 6) AS threshold, round(f1, 6) AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, (np-tp)::BIGINT AS fn, (nn-fp)::BIGINT AS tn FROM f, a WHERE rk = 1""",
+    f"""{IN_DOMAIN}{curve_sql('t')},
+f AS (SELECT *, 2.0*tp/(tp+fp+np) AS f1, row_number() OVER (ORDER BY round(2.0*tp/(tp+fp+np), 12) DESC, s) AS rk FROM cv), a AS (SELECT {AUC} AS auc, {AP} AS ap FROM cv),
+sm AS (SELECT avg(s) FILTER (y = 0) AS m0, median(s) FILTER (y = 0) AS q0, quantile_cont(s, 0.95) FILTER (y = 0) AS p0, avg(s) FILTER (y = 1) AS m1, median(s) FILTER (y = 1) AS q1, quantile_cont(s, 0.95) FILTER (y = 1) AS p1 FROM t)
+SELECT round(auc, 6) AS roc_auc, round(ap, 6) AS auprc, round(s, 6) AS threshold, round(f1, 6) AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, (np-tp)::BIGINT AS fn, (nn-fp)::BIGINT AS tn,
+ round(m0, 6) AS benign_mean, round(q0, 6) AS benign_median, round(p0, 6) AS benign_p95, round(m1, 6) AS attack_mean, round(q1, 6) AS attack_median, round(p1, 6) AS attack_p95 FROM f, a, sm WHERE rk = 1""",
 )
 def e15(spark, sf):
-    from tidewarden.operators.knn import neighbour_score
-
-    rows = _test(spark, sf).withColumn("anomaly_score", neighbour_score("mean"))
-    return ev.best_threshold_report(rows).select(*r6("roc_auc", "auprc", "threshold", "f1"), *b("tp", "fp", "fn", "tn"))
+    rows = base.records(spark, sf)
+    reference = (F.col("label") == "benign") & (md5_uniform(15, "sample_id") < 0.8)
+    held = written(memory.reservoir(rows.filter(reference), 4096), "in-domain-memory")
+    scored = knn.score(rows.filter(~reference), held, 5, "mean").withColumn("y", (F.col("label") == "attack").cast("int"))
+    scored = written(scored.select("sample_id", "label", "y", "anomaly_score"), "in-domain-scores")
+    out = ev.best_threshold_report(scored)
+    for label in ("benign", "attack"):
+        part = metrics.score_summary(scored.filter(F.col("label") == label))
+        out = attach(out, part.select(*[F.col(c).alias(f"{label}_{c}") for c in ("mean", "median", "p95")]), [])
+    names = [f"{label}_{c}" for label in ("benign", "attack") for c in ("mean", "median", "p95")]
+    return out.select(*r6("roc_auc", "auprc", "threshold", "f1"), *b("tp", "fp", "fn", "tn"), *r6(*names))
 
 
 def leaky_records(spark, sf):

@@ -62,8 +62,7 @@ def event_alerts(spark, sf):
             "threshold",
             "is_anomaly",
         )
-        placed = alerts.assign_streams(named).withColumn("stream_id", F.col("dataset_id"))
-        return alerts.verify_alerts(placed, debounce=2)
+        return alerts.verify_records(named, debounce=2).withColumn("stream_id", F.col("dataset_id"))
 
     return base.shared(spark, sf, "event_alerts", build)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,29 +42,39 @@ def tracker(debounce: int, idle_ms: int | None = None) -> Callable:
             return
         streak, first, last, was, total = state.get if state.exists else (0, -1, None, False, 0)
         rows = pd.concat(list(frames)).sort_values(["stream_pos", "is_anomaly"], ascending=[True, False], kind="stable")
-        out = []
-        for pos, hit in zip(rows["stream_pos"], rows["is_anomaly"]):
-            if last is not None and pos <= last:
-                out.append((key[0], pos, hit, True, None, "late", False, False, None))
-                continue
-            if last is not None and pos != last + 1:
-                streak, first = 0, -1
-            last = int(pos)
-            streak, first = (streak + 1, first if first >= 0 else last) if hit else (0, -1)
-            confirmed = streak >= debounce
-            name = "confirmed" if confirmed else "candidate" if streak else "none"
-            raised = confirmed and not was
-            total += raised
-            out.append((key[0], pos, hit, False, streak, name, confirmed, raised, last - first if confirmed else None))
-            was = confirmed
+        pos, hit = rows["stream_pos"].to_numpy(np.int64), rows["is_anomaly"].to_numpy(bool)
+        late = np.r_[False, pos[1:] == pos[:-1]]
+        if last is not None:
+            late |= pos <= last
+        p, h = pos[~late], hit[~late]
+        done = pd.DataFrame({"stream_id": key[0], "stream_pos": pos, "is_anomaly": hit, "late": late})
+        run = np.zeros(len(p), np.int64)
+        raised = np.zeros(len(p), bool)
+        if len(p):
+            at = np.arange(len(p))
+            jump = np.r_[last is None or p[0] != last + 1, p[1:] != p[:-1] + 1]
+            # index at which a row's run began; the carried run began that many rows before this trigger
+            began = np.maximum.accumulate(np.where(~h, at + 1, np.where(jump, at, -streak)))
+            run = np.where(h, at - began + 1, 0)
+            confirmed = run >= debounce
+            raised = confirmed & ~np.r_[was, confirmed[:-1]]
+            streak, last, was, total = int(run[-1]), int(p[-1]), bool(confirmed[-1]), total + int(raised.sum())
+            first = last - streak + 1 if streak else -1
         state.update((streak, first, last, was, total))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        names = [c.split()[0] for c in OUTPUT.split(", ")]
-        done = pd.DataFrame(out, columns=names)
-        for c in ("consecutive_anomalies", "delay_streak"):
-            done[c] = done[c].astype("Int64")
-        yield done
+        known = np.flatnonzero(~late)
+        counts = pd.array([None] * len(pos), "Int64")
+        counts[known] = run
+        delays = pd.array([None] * len(pos), "Int64")
+        delays[known[run >= debounce]] = run[run >= debounce] - 1
+        names = np.full(len(pos), "late", object)
+        names[known] = np.where(run >= debounce, "confirmed", np.where(run > 0, "candidate", "none"))
+        flags = np.zeros((2, len(pos)), bool)
+        flags[0, known], flags[1, known] = run >= debounce, raised
+        yield done.assign(
+            consecutive_anomalies=counts, alert_state=names, confirmed_alert=flags[0], alert_raised=flags[1], delay_streak=delays
+        )
 
     return update
 
