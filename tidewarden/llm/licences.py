@@ -125,7 +125,7 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFram
 
 
 def scan_sql(source: str) -> str:
-    """The same scan in DuckDB SQL over a table ``source`` (doc_id, text), without ``DIGESTS``."""
+    """The same scan in DuckDB SQL over a table ``source`` (doc_id, text)."""
 
     def q(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
@@ -143,9 +143,11 @@ def scan_sql(source: str) -> str:
             out = step.format(step.format(out))
         return f"trim({out})"
 
+    long_rows = ", ".join(f"({q(d)}, {q(name)})" for name, digests in DIGESTS.items() for d in digests)
     known_rows = ", ".join(f"({q(name)}, {q(body)})" for name, bodies in KNOWN.items() for body in bodies)
     return f"""
-WITH k AS (SELECT sha256({form('body')}) AS digest, min(licence) AS licence FROM (VALUES {known_rows}) AS v(licence, body) GROUP BY 1),
+WITH k AS (SELECT sha256({form('body')}) AS digest, min(licence) AS licence FROM (VALUES {known_rows}) AS v(licence, body) GROUP BY 1
+ UNION ALL SELECT * FROM (VALUES {long_rows})),
 f AS (SELECT doc_id, {form('text')} AS c FROM {source}),
 w AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM f),
 l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {source}) WHERE regexp_matches(line, {q(NOTICE_LINE)})),
