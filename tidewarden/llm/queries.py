@@ -147,6 +147,6 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.interactions(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-@query("op13_url_templates")
+@query("op13_url_templates", url_templates.filter_sql())
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return url_templates.filter_urls(table(spark, sf, "pages"))

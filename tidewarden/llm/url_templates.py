@@ -190,3 +190,51 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataF
     known = urls.withColumn("said", rule_verdict(F.col("rule"), rules))
     judged = judge(known, known.select("host", "path", (F.col("said") == BLOCK).alias("bad")))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", "method").alias("verdict"))
+
+
+def filter_sql(source: str = "pages", rules: list[tuple[str, str]] = RULES) -> str:
+    """The rows of ``filter_urls`` in DuckDB SQL: every level is a few tables of its own."""
+    rule = said = "NULL"
+    for _, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+        site, _, path = text.partition("/")
+        fits = f"(host = '{site}' OR ends_with(host, '.{site}')) AND starts_with(path, '/{path}')"
+        rule = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END"
+    for verdict, text in rules:
+        said = f"CASE WHEN rule = '{text}' THEN '{verdict}' ELSE {said} END"
+    shape = (
+        "CASE WHEN regexp_matches(s, '^[0-9A-Fa-f][0-9A-Fa-f-]{7,}$') AND regexp_matches(s, '[A-Fa-f]') AND regexp_matches(s, '[0-9]') "
+        "THEN '{x}' ELSE regexp_replace(s, '[0-9]+', '{n}', 'g') END"
+    )
+    weight = f"{WEIGHT}::DOUBLE"
+    tables = [
+        f"""u0 AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {source}),
+u1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u0),
+u2 AS (SELECT page_id, translate(h, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM u1),
+u3 AS (SELECT *, {rule} AS rule FROM u2),
+u4 AS (SELECT *, {said} AS said, list_transform(CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END, lambda s: {shape}) AS cut FROM u3),
+u5 AS MATERIALIZED (SELECT *, CASE WHEN len(cut) <= {DEPTH} THEN cut ELSE list_append(cut[1:{DEPTH - 1}], array_to_string(cut[{DEPTH}:], '/')) END AS segs FROM u4),
+p0 AS MATERIALIZED (SELECT host, segs, count(*)::BIGINT AS n, count(*) FILTER (said = '{BLOCK}')::BIGINT AS bad, count(*) FILTER (said = '{ALLOW}')::BIGINT AS good FROM u5 GROUP BY ALL),
+pr AS (SELECT (coalesce(sum(bad), 0) + {weight} * 0.5::DOUBLE) / (coalesce(sum(bad), 0) + coalesce(sum(good), 0) + {weight}) AS p FROM p0),
+ph AS (SELECT host, (sum(bad) + {weight} * any_value(p)) / (sum(bad) + sum(good) + {weight}) AS purity FROM p0, pr GROUP BY 1),
+a0 AS MATERIALIZED (SELECT host, '' AS node, purity, segs, n, bad, good FROM p0 JOIN ph USING (host))"""
+    ]
+    for i in range(DEPTH + 1):
+        tables.append(
+            f"""h{i} AS MATERIALIZED (SELECT *, CASE WHEN len(segs) <= {i} THEN '{END}' ELSE segs[{i + 1}] END AS child FROM a{i}),
+k{i} AS (SELECT host, node, child, sum(n) AS n, sum(bad) AS bad, sum(good) AS good, max(purity) AS purity FROM h{i} GROUP BY 1, 2, 3),
+b{i} AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER o > {FAN} AND n * {FAN} < sum(n) OVER o AND child <> '{END}' THEN '{WILD}' ELSE child END AS branch FROM k{i} WINDOW o AS (PARTITION BY host, node)),
+j{i} AS (SELECT *, sum(bad) OVER o AS every_bad, sum(good) OVER o AS every_good FROM (SELECT host, node, branch, sum(bad) AS bad, sum(good) AS good, max(purity) AS purity FROM b{i} GROUP BY 1, 2, 3) WINDOW o AS (PARTITION BY host, node)),
+x{i} AS (SELECT *, (bad * (every_good - good) - good * (every_bad - bad))::DOUBLE AS apart, (every_bad + every_good)::DOUBLE AS every, ((bad + good) * (every_bad + every_good - bad - good))::DOUBLE * every_bad::DOUBLE * every_good::DOUBLE AS scale FROM j{i}),
+s{i} AS (SELECT *, CASE WHEN branch = '{END}' THEN '{END}' WHEN scale > 0 AND every * apart * apart > {DIFFERS}::DOUBLE * scale THEN CASE WHEN apart > 0 THEN '{WORSE}' ELSE '{BETTER}' END ELSE '{SIMILAR}' END AS side FROM x{i}),
+f{i} AS MATERIALIZED (SELECT host, node, branch, CASE WHEN count(*) OVER o = 1 THEN branch ELSE side END AS step, (sum(bad) OVER o + {weight} * purity) / (sum(bad) OVER o + sum(good) OVER o + {weight}) AS fresh FROM s{i} WINDOW o AS (PARTITION BY host, node, side)),
+m{i} AS MATERIALIZED (SELECT host, node || '/' || step AS node, fresh AS purity, segs, h{i}.n, h{i}.bad, h{i}.good FROM h{i} JOIN (SELECT host, node, child, branch FROM b{i}) USING (host, node, child) JOIN f{i} USING (host, node, branch)),
+a{i + 1} AS (SELECT * FROM m{i} WHERE len(segs) > {i})"""
+        )
+    done = " UNION ALL ".join(f"SELECT host, segs, purity FROM m{i} WHERE len(segs) <= {i}" for i in range(DEPTH + 1))
+    return (
+        "WITH "
+        + ",\n".join(tables)
+        + f""",
+fin AS (SELECT host, segs FROM ({done}) WHERE purity >= {REJECT})
+SELECT page_id, u5.host, path, rule, coalesce(said, CASE WHEN fin.host IS NULL THEN '{ALLOW}' ELSE '{BLOCK}' END) AS verdict FROM u5 LEFT JOIN fin ON u5.host = fin.host AND u5.segs = fin.segs"""
+    )
