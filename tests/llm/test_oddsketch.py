@@ -68,6 +68,48 @@ def test_components_equal_all_pairs(spark, documents, seed, size):
         assert g["kept"] == (g["doc_id"] == g["component_id"])
 
 
+@pytest.mark.parametrize("seed,size", [(5, 2), (6, 5)])
+def test_large_open_buckets_go_through_blocks(spark, documents, monkeypatch, seed, size):
+    """A group around the threshold: many members miss it with all others, which only blocks can show."""
+    monkeypatch.setattr(oddsketch, "LARGE", 4)
+    monkeypatch.setattr(oddsketch, "BLOCK_SHINGLES", 2500)
+    seen = []
+    real = oddsketch.written
+
+    def watched(df, name, **kw):
+        out = real(df, name, **kw)
+        if name in ("block-pairs", "open-pairs", "large-members"):
+            seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(oddsketch, "written", watched)
+    rng = random.Random(seed)
+    rows = corpus(seed)
+    base = [f"v{rng.randrange(300)}" for _ in range(120)]
+    for i in range(200):
+        copy = list(base)
+        for _ in range(rng.randint(*((2, 22) if size == 2 else (0, 5)))):
+            copy[rng.randrange(len(copy))] = f"u{rng.randrange(4000)}"
+        rows.append((20_000 + i, " ".join(copy)))
+    want = brute(rows, size)
+    alone = sum(c == i for i, (_, c) in want.items() if i >= 20_000)
+    assert 20 < alone < 190
+    got = {g["doc_id"]: g["component_id"] for g in oddsketch.deduplicate(documents(rows), shingle=size).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+    counts = dict(seen)
+    assert counts["large-members"] > 100 and counts["block-pairs"] < counts["large-members"] * 3
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64) << np.uint64(55)) for _ in range(n)] for n in (17, 9))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    for width in (7, 4096):
+        assert oddsketch.common_counts(a, b, width).tolist() == want
+    none = oddsketch.common_counts(a, [np.array([5], np.uint64)])
+    assert none.shape == (17, 1) and none.sum() == 0
+
+
 def test_one_large_group_and_small_chunks(spark, documents, monkeypatch):
     monkeypatch.setattr(oddsketch, "CHUNK", 4)
     monkeypatch.setattr(oddsketch, "BROADCAST_IDS", 3)

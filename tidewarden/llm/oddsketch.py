@@ -11,9 +11,11 @@ one of a few hash orders, and every member is compared with it, so a group of co
 size, not its square. Pairs whose
 sketches put them beyond doubt below the threshold go; the others are confirmed on the full sets.
 Linked representatives form components. A bucket that then still holds members of several
-components is open: all its pairs of different components are candidates, unless their distances
-to the centre differ by more than a link allows (the Jaccard distance is a metric), and go the same
-way. A pair at the threshold shares no band with probability (1 - 0.8**5)**40, about 1e-7.
+components is open. In one of at most ``LARGE`` members all pairs of different components are
+candidates, unless their distances to the centre differ by more than a link allows (the Jaccard
+distance is a metric), and go the same way. Members of larger ones lie in blocks; blocks that share
+a bucket are compared as a whole, by the exact counts of their sets' common shingles, and only links
+that join components leave the task. A pair at the threshold shares no band with probability (1 - 0.8**5)**40, about 1e-7.
 
 Nothing is capped: buckets, groups and members of any size are worked through by joins and
 aggregations that Spark can spread, with a centre's text copied to as many parts as its members
@@ -38,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from tidewarden.operators.scan import ordered_chunks, scan
 from tidewarden.session import written
 
 SHINGLE = 2
@@ -48,6 +51,8 @@ DOUBT = 0.62  # estimates have a spread of about 0.03 at the threshold; five of
 LEAST_SHARED = 2  # bands
 ORDERS = 8  # of members, by which buckets choose their centres
 CHUNK = 64  # members that share one copy of their centre's text
+LARGE = 64  # members of an open bucket beyond which blocks are compared, not pairs formed
+BLOCK_SHINGLES, MEMBER = 100_000, 64  # of a block, and what a member counts beside its own
 SEED = 6
 BROADCAST_IDS = 1_000_000
 SKETCHED = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, odd array<bigint>"
@@ -249,9 +254,9 @@ def links(reps: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, shingle
     # centre would serve all buckets of a group and leave its outer members unlinked
     keyed = keyed.withColumn("order", F.xxhash64("rep", F.pmod("key", F.lit(ORDERS))))
     shared = keyed.groupBy("key").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(shared.hint("merge"), "key").select("key", "rep", "order", "first"), "members")
+    members = written(keyed.join(shared.hint("merge"), "key").select("key", "rep", "order", "first", "n"), "members")
     centres = members.filter(F.col("order") == F.col("first")).groupBy("key").agg(F.min("rep").alias("centre"))
-    buckets = written(members.select("key", "rep").join(centres.hint("merge"), "key"), "buckets")
+    buckets = written(members.select("key", "rep", "n").join(centres.hint("merge"), "key"), "buckets")
     stars = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = written(likely(stars, reps, threshold=threshold), "stars")
     confirmed = written(confirm(tested.filter("open").select("a", "b"), texts, threshold, shingle), "confirmed")
@@ -282,9 +287,15 @@ def open_links(
         ),
         "members",
     )
-    rows = written(peeled(members.select("key", "rep", "component", "step")), "open")
+    rows = written(peeled(members.select("key", "rep", "component", "step", "n")), "open")
+    small = pair_links(rows.filter(F.col("n") <= LARGE), tested, reps, texts, threshold, shingle)
+    return small.union(block_links(rows.filter(F.col("n") > LARGE), texts, threshold, shingle))
+
+
+def pair_links(rows: DataFrame, tested: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """Links between components inside open buckets of at most ``LARGE`` members."""
     # a link spans at most 0.2 of distance and a sketch errs by less than 0.1: four steps of 0.1 each
-    # way. Members of one component meet as one row first, so a large component isn't paired with itself
+    # way. Members of one component meet as one row first, so a component isn't paired with itself
     span = -(-(100 - threshold) // 10) + 2
     groups = rows.select("key", "step", "component").distinct()
     others = groups.withColumnsRenamed({"step": "other_step", "component": "other"}).hint("merge")
@@ -293,7 +304,7 @@ def open_links(
         .join(others, ["key", "other_step"])
         .filter("component < other")
     )
-    left = met.join(rows.hint("merge"), ["key", "step", "component"])
+    left = met.join(rows.drop("n").hint("merge"), ["key", "step", "component"])
     right = rows.select("key", F.col("step").alias("other_step"), F.col("component").alias("other"), F.col("rep").alias("other_rep"))
     pairs = (
         left.join(right.hint("merge"), ["key", "other_step", "other"])
@@ -308,6 +319,114 @@ def open_links(
     return confirm(hopeful, texts, threshold, shingle).filter("linked").select("a", "b")
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            columns = [batch.column(c) for c in ("rep", "component", "home")]
+            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "component", "home", "n", "set"])
+
+    return run
+
+
+def block_links(rows: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """Links between components inside large buckets, by blocks and without a row per pair.
+
+    What is left open here are mostly members that miss the threshold with everything in a large
+    group, which only a comparison with all of it can show. Members lie in blocks of about
+    ``BLOCK_SHINGLES``, by their largest bucket and their component. Blocks that share a bucket meet
+    once, however many they share, unless both hold one and the same component; a task counts the
+    common shingles of two blocks as matrix products and returns a link only where it joins
+    components that the task has not joined yet.
+    """
+    empty = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    homes = rows.groupBy("rep", "component").agg(F.max_by("key", F.struct("n", "key")).alias("home"))
+    homes = written(homes, "large-members")
+    if homes.isEmpty():
+        return empty
+    found = texts.join(_small(homes), "rep").select("rep", "component", "home", "text")
+    schema = "rep bigint, component bigint, home bigint, n bigint, set binary"
+    sets = written(found.mapInArrow(_sets(shingle), schema), "large-sets")
+    order = ["component", "rep"]
+    chunks = ordered_chunks(sets.select("home", "n", *order), ["home"], order, "blocks")
+    upto = scan(chunks, ["home"], order, sums={"upto": F.col("n") + MEMBER})
+    block = F.floor((F.col("upto") - F.col("n") - MEMBER) / BLOCK_SHINGLES).alias("block")
+    placed = written(upto.select("rep", "component", F.struct("home", block).alias("block")), "placed")
+    held = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    spans = rows.select("key", "rep").join(placed.select("rep", "block").hint("merge"), "rep").select("key", "block").distinct()
+    spans = written(spans.join(held.hint("merge"), "block"), "spans")
+    first = spans.select("key", F.struct("block", "low", "high").alias("x"))
+    second = spans.select("key", F.struct("block", "low", "high").alias("y")).hint("merge")
+    one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    met = first.join(second, "key").filter("x.block <= y.block").filter(~one)
+    met = written(met.select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct(), "block-pairs")
+    full = written(placed.join(sets.select("rep", "set").hint("merge"), "rep"), "block-sets")
+    side = lambda c: met.join(full.withColumnRenamed("block", c).hint("merge"), c).select(
+        F.col("x.home").alias("xh"), F.col("x.block").alias("xb"), F.col("y.home").alias("yh"), F.col("y.block").alias("yb"),
+        *[F.col(m).alias(f"{c}_{m}") for m in ("rep", "component", "set")],
+    )
+    pair = ["xh", "xb", "yh", "yb"]
+    both = side("x").groupBy(*pair).cogroup(side("y").groupBy(*pair))
+    return both.applyInArrow(_joining(threshold), "a bigint, b bigint")
+
+
+def _columns(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each common shingle, ordered by column."""
+    where = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+    there = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+    row, column = where[there], at[there]
+    order = np.argsort(column, kind="stable")
+    return row[order], column[order]
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``; sets are ascending."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    (ra, ca), (rb, cb) = _columns(a, common), _columns(b, common)
+    for lo in range(0, len(common), width):
+        left, right = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        i, j = np.searchsorted(ca, [lo, lo + width])
+        left[ra[i:j], ca[i:j] - lo] = 1
+        i, j = np.searchsorted(cb, [lo, lo + width])
+        right[rb[i:j], cb[i:j] - lo] = 1
+        out += left @ right.T
+    return out.astype(np.int64)
+
+
+def _joining(threshold: int):
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["a", "b"]
+        sides = []
+        for t, c in ((x, "x"), (y, "y")):
+            sets = [np.frombuffer(v, np.uint64) for v in t.column(f"{c}_set").to_pylist()]
+            sides.append((t.column(f"{c}_rep").to_pylist(), t.column(f"{c}_component").to_pylist(), sets))
+        (ids, mine, a), (others, theirs, b) = sides
+        common = common_counts(a, b)
+        united = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
+        apart = np.array(mine)[:, None] != np.array(theirs)[None, :]
+        leader: dict[int, int] = {}
+
+        def lead(c: int) -> int:
+            while leader.get(c, c) != c:
+                c = leader[c]
+            return c
+
+        links = []
+        for i, j in zip(*np.nonzero((common * 100 >= united * threshold) & apart)):
+            p, q = lead(mine[i]), lead(theirs[j])
+            if p != q:
+                leader[max(p, q)] = min(p, q)
+                links.append((min(ids[i], others[j]), max(ids[i], others[j])))
+        columns = list(zip(*links)) or [(), ()]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return run
+
+
 def peeled(members: DataFrame, rounds: int = 2) -> DataFrame:
     """Members of open buckets that share enough of them to be linked.
 
@@ -345,7 +464,7 @@ def _decided(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
         .select("digest", F.coalesce("component", "rep").alias("component"))
     )
     slim = sketched.select("doc_id", "n_shingles", "digest")
-    out = slim.join(looked.hint("merge"), "digest", "left").select(
+    out = slim.join(_small(written(looked, "looked")), "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "digest"
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
