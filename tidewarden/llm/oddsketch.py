@@ -51,7 +51,7 @@ DOUBT = 0.62  # estimates have a spread of about 0.03 at the threshold; five of
 LEAST_SHARED = 2  # bands
 ORDERS = 8  # of members, by which buckets choose their centres
 CHUNK = 64  # members that share one copy of their centre's text
-LARGE = 64  # members of an open bucket beyond which blocks are compared, not pairs formed
+LARGE = 32  # members of an open bucket beyond which blocks are compared, not pairs formed
 BLOCK_SHINGLES, MEMBER = 100_000, 64  # of a block, and what a member counts beside its own
 SEED = 6
 BROADCAST_IDS = 1_000_000
