@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.errors import ContaminationError, ContractError
+from tidewarden.functions import draws
 from tidewarden.operators import bootstrap, metrics, threshold
 from tidewarden.plans import evaluation as ev
 
@@ -217,3 +218,30 @@ def test_quantile_replicates_equal_repeated_rows(spark, way, prob):
     assert got.keys() == want.keys() and 0 < sum(g == "c" for g, _ in want) < 70  # some replicates leave the single row out
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-12)
+
+
+def test_drawn_weights_equal_the_column_expression(spark):
+    keys = [(i, k) for i, k in enumerate([None, "", "a", "é😀", "x" * 40, "x" * 51, "x" * 52, "x" * 53, "y" * 300, "7"])]
+    keys += [(10**18 + i, str(i)) for i in range(40)]
+    df = spark.createDataFrame(keys, "id long, k string")
+    for seed, on in ((0, ["id"]), (12, ["k"]), (3, ["id", "k"])):
+        got = df.select("id", "k", draws.draw_key(on).alias("t")).toArrow()
+        w = np.concatenate([draws.poisson_weights(got.column("t"), seed, 0, 7), draws.poisson_weights(got.column("t"), seed, 7, 120)], axis=1)
+        want = {(r["id"], r["replicate"]): r["w"] for r in bootstrap.replicates(df, on, 120, seed).collect()}
+        for i, row in zip(got.column("id").to_pylist(), w):
+            assert row.tolist() == [want[i, r] for r in range(120)]
+
+
+def test_mean_interval_equals_multiplied_rows(spark):
+    rows = [(i, None if i % 11 == 0 else i % 7 / 3.0, None if i % 5 == 0 else "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v double, g string").repartition(5)
+    got = {r["g"]: r for r in bootstrap.mean_interval(df, "v", "id", 60, by=["g"]).collect()}
+    w = bootstrap.replicates(df.filter("v is not null"), "id", 60).toPandas()
+    for g in (None, "a", "b"):
+        mine = w[w["g"].isna()] if g is None else w[w["g"] == g]
+        stat = mine.assign(top=mine["w"] * mine["v"]).groupby("replicate")[["top", "w"]].sum()
+        stat = (stat["top"] / stat["w"])[stat["w"] > 0]
+        assert got[g]["n_replicates"] == len(stat)
+        np.testing.assert_allclose([got[g]["ci_low"], got[g]["ci_high"]], np.quantile(stat, [0.025, 0.975]))
+    alone = bootstrap.mean_interval(df.filter("v is null"), "v", "id", 60).first()
+    assert alone["point"] is None and alone["n_replicates"] == 0

@@ -1,9 +1,10 @@
 """Poisson bootstrap: every row gets a weight per replicate from a hash of its id.
 
 Weights depend only on (seed, replicate, id), so methods compared on the same rows share their
-resamples. For ranking metrics rows are never multiplied by replicates: they are cut into chunks by
-score, a row carries its weights as one small array, and a chunk returns sums per replicate. The
-counts of all higher chunks are carried into the ranking, as in ``operators/scan.py``.
+resamples. Rows are never multiplied by replicates: for ranking metrics they are cut into chunks by
+score, and a chunk draws its rows' weights itself, some replicates at a time, and returns sums per
+replicate; weights are neither written nor shuffled. The counts of all higher chunks are carried into
+the ranking, as in ``operators/scan.py``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewarden.functions.draws import draw_key, poisson_weights
 from tidewarden.functions.hashing import md5_uniform, poisson1
 from tidewarden.operators import metrics
 from tidewarden.operators.alerts import ratio
@@ -20,7 +22,7 @@ from tidewarden.operators.scan import CHUNK, attach, exact_quantiles, null_safe,
 from tidewarden.session import written
 
 CELLS = ["tn", "fp", "fn", "tp", "pos", "neg"]
-BLOCK = 64  # replicates whose running counts are held at once
+BLOCK = 32  # replicates whose weights and running counts are held at once
 
 
 def _keys(key) -> list[str]:
@@ -34,9 +36,36 @@ def replicates(df: DataFrame, key, n_boot: int = 200, seed: int = 0) -> DataFram
     return each.withColumn("w", weight.cast("bigint"))
 
 
-def weight_array(key, n_boot: int, seed: int) -> Column:
-    numbers = F.sequence(F.lit(0), F.lit(n_boot - 1))
-    return F.transform(numbers, lambda r: poisson1(md5_uniform(seed, r, *_keys(key))).cast("tinyint"))
+def _blocks(n_boot: int) -> list[tuple[int, int]]:
+    return [(lo, min(lo + BLOCK, n_boot)) for lo in range(0, n_boot, BLOCK)]
+
+
+def _weighted_sums(by: list[str], value: str, n_boot: int, seed: int):
+    """Per batch and group: the weighted sum of the values and the sum of weights of every replicate."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if by:
+                numbered = rows.select(by).append_column("_row", pa.array(np.arange(len(rows))))
+                groups = [np.asarray(g.values) for g in numbered.group_by(by).aggregate([("_row", "list")]).column("_row_list")]
+            else:
+                groups = [np.arange(len(rows))]
+            x = np.asarray(rows.column(value).combine_chunks())
+            tops, ns = [], []
+            w = np.concatenate([poisson_weights(rows.column("_key"), seed, *b) for b in _blocks(n_boot)], axis=1)
+            for rows_of in groups:
+                mine = w[rows_of]
+                tops.append(x[rows_of] @ mine.astype(float))
+                ns.append(mine.sum(0, dtype=np.int64))
+            first = rows.select(by).take(pa.array([g[0] for g in groups])) if by else None
+            columns = [c.combine_chunks() for c in first.columns] if by else []
+            columns += [pa.array(tops, pa.list_(pa.float64())), pa.array(ns, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, "top", "n"])
+
+    return run
 
 
 def interval(values: DataFrame, value: str, points: DataFrame | None = None, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -53,29 +82,32 @@ def interval(values: DataFrame, value: str, points: DataFrame | None = None, alp
 def mean_interval(
     df: DataFrame, value: str, key, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, by: list[str] | None = None
 ) -> DataFrame:
-    """Mean of the data with an interval: partial sums per replicate leave each task, not rows.
+    """Mean of the data with an interval: sums per replicate leave each batch of rows, not rows.
 
     Replicates in which every weight is 0 are left out, as are null values.
     """
     by = by or []
     rows = df.filter(F.col(value).isNotNull())
-    rep = replicates(rows, key, n_boot, seed).groupBy(*by, "replicate")
-    sums = rep.agg(F.sum(F.col("w") * F.col(value)).alias("top"), F.sum("w").alias("n")).filter("n > 0")
+    slim = rows.select(*by, F.col(value).cast("double").alias(value), draw_key(_keys(key)).alias("_key"))
+    schema = ", ".join([*([_schema(rows, by)] if by else []), "top array<double>, n array<bigint>"])
+    parts = slim.mapInArrow(_weighted_sums(by, value, n_boot, seed), schema)
+    each = parts.select(*by, F.posexplode(F.arrays_zip("top", "n")).alias("replicate", "c")).groupBy(*by, "replicate")
+    sums = each.agg(F.sum("c.top").alias("top"), F.sum("c.n").alias("n")).filter("n > 0")
     means = sums.select(*by, "replicate", (F.col("top") / F.col("n")).alias("stat"))
     return interval(means, "stat", rows.groupBy(*by).agg(F.avg(value).alias("point")), alpha, by)
 
 
-def _weight_sums(by: list[str]):
+def _weight_sums(by: list[str], n_boot: int, seed: int):
     """Weights of a chunk's rows, summed per replicate."""
 
     def run(part: pa.Table) -> pa.Table:
-        sums = _weights_of(part.column("_w"), len(part)).sum(0, dtype=np.int64)
+        sums = np.concatenate([poisson_weights(part.column("_key"), seed, *b).sum(0, dtype=np.int64) for b in _blocks(n_boot)])
         return part.select([*by, CHUNK]).slice(0, 1).append_column("w", pa.array([sums], pa.list_(pa.int64())))
 
     return run
 
 
-def _at_positions(by: list[str], value: str):
+def _at_positions(by: list[str], value: str, n_boot: int, seed: int):
     """Values of a chunk at positions among its rows, each repeated by its weight in a replicate."""
 
     def run(part: pa.Table, asked: pa.Table) -> pa.Table:
@@ -84,16 +116,15 @@ def _at_positions(by: list[str], value: str):
             return pa.Table.from_arrays([asked.column(c).slice(0, 0) for c in [*by, "replicate", "place"]] + [pa.array([], pa.float64())], names=names)
         part = part.sort_by(value)
         values = np.asarray(part.column(value).combine_chunks().cast(pa.float64()))
-        w = _weights_of(part.column("_w"), len(part))
         replicate, inside = np.asarray(asked.column("replicate")), np.asarray(asked.column("inside"))
         found = np.empty(len(asked))
-        for block in range(0, w.shape[1], BLOCK):
-            mine = np.flatnonzero((replicate >= block) & (replicate < block + BLOCK))
+        for lo, hi in _blocks(n_boot):
+            mine = np.flatnonzero((replicate >= lo) & (replicate < hi))
             if not len(mine):
                 continue
-            upto = np.cumsum(w[:, block : block + BLOCK], 0, dtype=np.int64)
+            upto = np.cumsum(poisson_weights(part.column("_key"), seed, lo, hi), 0, dtype=np.int64)
             for i in mine:
-                found[i] = values[np.searchsorted(upto[:, replicate[i] - block], inside[i], side="right")]
+                found[i] = values[np.searchsorted(upto[:, replicate[i] - lo], inside[i], side="right")]
         return pa.Table.from_arrays([asked.column(c) for c in [*by, "replicate", "place"]] + [pa.array(found)], names=names)
 
     return run
@@ -109,11 +140,12 @@ def quantile_replicates(
     positions asked of them. Rows are not multiplied by replicates.
     """
     by = by or []
-    slim = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*by, value, *_keys(key)]))
+    slim = df.filter(F.col(value).isNotNull()).select(*by, value, draw_key(_keys(key)).alias("_key"))
     chunks = ordered_chunks(slim, by, [value], "replicates")
-    rows = written(chunks.select(*by, F.col(value).cast("double").alias(value), CHUNK, weight_array(key, n_boot, seed).alias("_w")), "weights")
+    rows = chunks.withColumn(value, F.col(value).cast("double"))
     spot = [*by, CHUNK]
-    sums = written(rows.groupBy(*spot).applyInArrow(_weight_sums(by), f"{_schema(rows, spot)}, w array<bigint>"), "sums")
+    weighed = rows.groupBy(*spot).applyInArrow(_weight_sums(by, n_boot, seed), f"{_schema(rows, spot)}, w array<bigint>")
+    sums = written(weighed, "sums")
     # one row per chunk and replicate
     each = sums.select(*spot, F.posexplode("w").alias("replicate", "w"))
     whole = Window.partitionBy(*by, "replicate")
@@ -131,7 +163,7 @@ def quantile_replicates(
     held = asked.select(*spot).distinct()
     searched = null_safe(rows, held, spot, "left_semi")
     schema = (_schema(rows, by) + ", " if by else "") + "replicate int, place string, value double"
-    found = searched.groupBy(*spot).cogroup(asked.groupBy(*spot)).applyInArrow(_at_positions(by, value), schema)
+    found = searched.groupBy(*spot).cogroup(asked.groupBy(*spot)).applyInArrow(_at_positions(by, value, n_boot, seed), schema)
     pick = lambda place: F.max(F.when(F.col("place") == place, F.col("value")))
     both = found.groupBy(*by, "replicate").agg(pick("lo").alias("lo"), pick("hi").alias("hi"))
     rests = asked.groupBy(*by, "replicate").agg(F.max("rest").alias("rest"))
@@ -150,30 +182,28 @@ def median_interval(
     return interval(med, "stat", point, alpha, by)
 
 
-def _weights_of(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten()
-    return np.asarray(flat).reshape(rows, -1)
-
-
-def _cell_sums(by: list[str], score: str):
+def _cell_sums(by: list[str], score: str, n_boot: int, seed: int):
     """Weights of a chunk's rows, summed per replicate over each cell of the confusion table and over ranked rows."""
 
     def run(part: pa.Table) -> pa.Table:
-        w = _weights_of(part.column("_w"), len(part))
         y = np.asarray(part.column("y").combine_chunks().cast(pa.float64()).fill_null(-1))
         p = np.asarray(part.column("p").combine_chunks().cast(pa.float64()).fill_null(-1))
         ranked = np.asarray(part.column(score).combine_chunks().is_valid())
         masks = [(y == 0) & (p == 0), (y == 0) & (p == 1), (y == 1) & (p == 0), (y == 1) & (p == 1), (y == 1) & ranked, (y == 0) & ranked]
+        sums = np.zeros((len(masks), n_boot), np.int64)
+        for lo, hi in _blocks(n_boot):
+            w = poisson_weights(part.column("_key"), seed, lo, hi)
+            for cell, mask in enumerate(masks):
+                sums[cell, lo:hi] = w[mask].sum(0, dtype=np.int64)
         out = part.select([*by, CHUNK]).slice(0, 1)
-        for name, mask in zip(CELLS, masks):
-            sums = w[mask].sum(0, dtype=np.int64)
-            out = out.append_column(name, pa.array([sums], pa.list_(pa.int64())))
+        for name, row in zip(CELLS, sums):
+            out = out.append_column(name, pa.array([row], pa.list_(pa.int64())))
         return out
 
     return run
 
 
-def _areas(by: list[str], score: str):
+def _areas(by: list[str], score: str, seed: int):
     """Parts of the areas under a chunk's curves, given the counts of all higher chunks."""
 
     def run(part: pa.Table, above: pa.Table) -> pa.Table:
@@ -183,13 +213,12 @@ def _areas(by: list[str], score: str):
         tp0, fp0 = (np.array(above.column(c)[0].as_py()) for c in ("tp0", "fp0"))
         u, a = np.zeros(len(tp0)), np.zeros(len(tp0))
         if len(part):
-            w = _weights_of(part.column("_w"), len(part))
             y = np.asarray(part.column("y").combine_chunks().cast(pa.float64()).fill_null(-1))
             s = np.asarray(part.column(score).combine_chunks())
             ties = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            for lo in range(0, len(tp0), BLOCK):
-                block = slice(lo, lo + BLOCK)
-                weights = w[:, block].astype(np.int64)
+            for lo, hi in _blocks(len(tp0)):
+                block = slice(lo, hi)
+                weights = poisson_weights(part.column("_key"), seed, lo, hi).astype(np.int64)
                 pos = np.add.reduceat(weights * (y == 1)[:, None], ties)
                 neg = np.add.reduceat(weights * (y == 0)[:, None], ties)
                 tp, fp = tp0[block] + np.cumsum(pos, 0), fp0[block] + np.cumsum(neg, 0)
@@ -212,13 +241,12 @@ def metric_replicates(
     ``df`` has ``y`` and ``p`` besides the score. Chunks are of the size of a shuffle partition.
     """
     by = by or []
-    slim = df.select(*dict.fromkeys([*by, score, "y", "p", *_keys(key)]))
-    chunks = ordered_chunks(slim, by, [score], "replicates", descending=True)
-    rows = written(chunks.select(*by, score, "y", "p", CHUNK, weight_array(key, n_boot, seed).alias("_w")), "weights")
+    slim = df.select(*dict.fromkeys([*by, score, "y", "p"]), draw_key(_keys(key)).alias("_key"))
+    rows = ordered_chunks(slim, by, [score], "replicates", descending=True)
     spot = [*by, CHUNK]
     held = _schema(rows, spot)
     lists = ", ".join(f"{c} array<bigint>" for c in CELLS)
-    cells = written(rows.groupBy(*spot).applyInArrow(_cell_sums(by, score), f"{held}, {lists}"), "cells")
+    cells = written(rows.groupBy(*spot).applyInArrow(_cell_sums(by, score, n_boot, seed), f"{held}, {lists}"), "cells")
     # one row per chunk and replicate
     zipped = cells.select(*spot, F.posexplode(F.arrays_zip(*CELLS)).alias("replicate", "c")).select(*spot, "replicate", "c.*")
     order = Window.partitionBy(*by, "replicate").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -229,7 +257,7 @@ def metric_replicates(
     )
     per_chunk = F.sort_array(F.collect_list(F.struct("replicate", "tp0", "fp0")))
     above = carried.groupBy(*spot).agg(per_chunk.alias("c")).select(*spot, F.col("c.tp0").alias("tp0"), F.col("c.fp0").alias("fp0"))
-    parts = rows.groupBy(*spot).cogroup(above.groupBy(*spot)).applyInArrow(_areas(by, score), f"{held}, u array<double>, a array<double>")
+    parts = rows.groupBy(*spot).cogroup(above.groupBy(*spot)).applyInArrow(_areas(by, score, seed), f"{held}, u array<double>, a array<double>")
     areas = parts.select(*spot, F.posexplode(F.arrays_zip("u", "a")).alias("replicate", "c")).groupBy(*by, "replicate").agg(
         F.sum("c.u").alias("_u"), F.sum("c.a").alias("_a")
     )
