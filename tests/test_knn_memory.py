@@ -177,3 +177,16 @@ def test_memory_state_round_trip(spark, data, tmp_path):
         state.load_memory(spark, str(tmp_path), "main", 1, dim=9)
     with pytest.raises(Exception):
         state.save_memory(bank, str(tmp_path), "main", 1)
+
+
+def test_blocked_join_holds_a_bounded_number_of_distances(spark):
+    for n in (1, 300, 20_000, 3_000_000):
+        assert 1 <= knn.query_step(n) and knn.query_step(n) * n <= max(n, knn.PAIR_BLOCK)
+    x = np.random.default_rng(5).normal(size=(1500, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = {r["id"]: r["nn_id"] for r in knn.blocked_knn(df, df, 3, "id", "id", exclude_self=True).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert all(got[i] == want[i].tolist() for i in range(len(x)))
