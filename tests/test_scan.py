@@ -70,3 +70,17 @@ def test_null_keys_are_keys(spark, way):
         assert q[k]["n_rows"] == 100 and q[k]["m"] == np.median(want)
     both = scan.attach(df, df.groupBy("k").agg(F.sum("t").alias("total")), ["k"])
     assert {r["k"]: r["total"] for r in both.collect()} == {None: sum(range(1, 200, 2)), "a": sum(range(0, 200, 2))}
+
+
+def test_positions_shuffle_wide_rows_once(rows, way, monkeypatch):
+    pdf, df = rows
+    want = pdf.assign(position=pdf.sort_values("t").groupby("k").cumcount()).set_index("t")["position"]
+    placed = scan.positions(df, ["k"], ["t"], keep=["k", "t"])
+    assert placed.columns == ["k", "t", "position"]
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    # the only hash exchange left is that of the starts, one line per key and chunk
+    assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan
+    monkeypatch.setattr(scan, "FEW_STARTS", 0)  # too many keys to broadcast their starts
+    for got in (placed, scan.positions(df, ["k"], ["t"])):
+        got = got.toPandas().set_index("t")["position"]
+        assert (got.sort_index() == want.sort_index()).all()
