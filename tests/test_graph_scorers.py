@@ -157,3 +157,19 @@ def test_probe_and_trees_beat_chance(spark):
 
     trees = learn.boosted_trees(fit.select("features", "y"), rounds=5, depth=2)
     assert metrics.ranking(trees(cal.select("features", "y"))).first()["roc_auc"] > 0.85
+
+
+def test_edges_with_equal_order_are_numbered_by_their_features(spark, way):
+    ends = [(1, f"s{i % 3}", f"d{i % 2}", 5, f"r{i % 6}", [float(i // 6), 1.0], i % 2, "f") for i in range(60)]
+    flows = spark.createDataFrame(ends, "snapshot int, src string, dst string, ts long, record_id string, edge_attr array<double>, edge_y int, family string")
+    flows = flows.repartition(7)
+    nodes = graph.build_nodes(flows, 2)
+    whole = graph.build_edges(flows, nodes).toPandas().sort_values("edge_idx")
+    assert whole["edge_idx"].tolist() == list(range(60)) and "family" in whole
+    want = sorted(ends, key=lambda e: (e[4], e[1], e[2], ",".join(map(str, e[5]))))
+    assert [(r.record_id, r.edge_attr[0]) for r in whole.itertuples()] == [(e[4], e[5][0]) for e in want]
+    slim = graph.build_edges(flows, nodes, keep=["edge_y"])
+    assert set(slim.columns) == {"snapshot", "src", "dst", "edge_y", "edge_idx", "src_idx", "dst_idx"}
+    slim = slim.toPandas().sort_values("edge_idx")
+    for c in ("src", "dst", "edge_y", "edge_idx", "src_idx", "dst_idx"):
+        assert slim[c].tolist() == whole[c].tolist()
