@@ -103,3 +103,19 @@ def test_rolling_folds_equal_the_loop(spark, way):
         for part, want in (("fit", fit), ("cal", cal), ("test", test)):
             assert set(got[(got.fold == k) & (got.part == part)].id) == set(want)
         assert got[got.fold == k].fold_ok.all()
+
+
+def test_only_the_snapshots_of_alerts_are_numbered(spark, monkeypatch):
+    from tidewarden.operators import graph
+    from tidewarden.queries import explaining
+
+    rows = [(s, f"s{i % 3}", f"d{i % 4}", i, f"r{i}", [float(i)] * 5, 0, "f") for s in range(12) for i in range(8)]
+    flows = spark.createDataFrame(rows, "snapshot int, src string, dst string, ts long, record_id string, edge_attr array<double>, edge_y int, family string")
+    nodes = graph.build_nodes(flows, 5)
+    alerts = spark.createDataFrame([(2, 1.0), (4, 2.0)], "sequence int, anomaly_score double")
+    for name, made in (("flows", flows), ("nodes", nodes), ("alerts", alerts)):
+        monkeypatch.setattr(explaining, name, lambda spark, sf, made=made: made)
+    got = explaining.alert_edges(spark, "rows of test_plans")
+    columns = ["snapshot", "edge_idx", "record_id", "src", "dst", "src_idx", "dst_idx"]
+    whole = graph.build_edges(flows, nodes).filter("snapshot between 2 and 8").select(columns)
+    assert sorted(got.select(columns).collect()) == sorted(whole.collect()) and got.count() == 7 * 8

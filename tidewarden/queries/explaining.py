@@ -11,7 +11,7 @@ from tidewarden.operators.alerts import verify_records
 from tidewarden.plans import explanations as ex
 from tidewarden.queries import base
 from tidewarden.queries.base import b, poisson, query, r6, u
-from tidewarden.queries.graphs import IMPORTANCE, MID, RAW, SIZES, WIDTH, bounds, edges, flows, nodes, raw_vectors, sequence_table
+from tidewarden.queries.graphs import IMPORTANCE, MID, RAW, SIZES, WIDTH, bounds, flows, nodes, raw_vectors, sequence_table
 from tidewarden.sources.views import FEATURES
 
 DEBOUNCE, PERCENTILE = 2, 75.0
@@ -89,8 +89,20 @@ def hosts(spark, sf):
     return base.shared(spark, sf, "alert_hosts", lambda: ex.alert_hosts(alerts(spark, sf), nodes(spark, sf), weighted))
 
 
+def alert_edges(spark, sf):
+    """Edges of the snapshots that alerts cover. Edges are numbered per snapshot, so the others change nothing here."""
+
+    def build():
+        span = F.sequence("sequence", F.col("sequence") + (graph.STEPS - 1))
+        used = alerts(spark, sf).select(F.explode(span).alias("snapshot")).distinct()
+        mine = [t.join(used, "snapshot", "left_semi") for t in (flows(spark, sf), nodes(spark, sf))]
+        return graph.build_edges(*mine, keep=["record_id", "edge_attr"])
+
+    return base.shared(spark, sf, "alert_edges", build)
+
+
 def explanations(spark, sf):
-    weighted = graph.surrogate_attention(edges(spark, sf))
+    weighted = graph.surrogate_attention(alert_edges(spark, sf))
     return ex.build(alerts(spark, sf), hosts(spark, sf), weighted, FEATURES)
 
 
@@ -194,7 +206,7 @@ ef AS (SELECT eu.sequence, eu.method, any_value(s) AS s0, any_value(cover) AS co
 
 def edge_fidelity(spark, sf):
     def build():
-        weighted = graph.surrogate_attention(edges(spark, sf))
+        weighted = graph.surrogate_attention(alert_edges(spark, sf))
         return ex.fidelity(alerts(spark, sf), nodes(spark, sf), weighted, hosts(spark, sf), sequence_memory(spark, sf), WIDTH, target="edges")
 
     return base.shared(spark, sf, "edge_fidelity", build)
