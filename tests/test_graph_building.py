@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from tidewarden.operators import graph, scan
+from tidewarden.queries import base, graphs
 
 FLOW = "src string, dst string, ts timestamp, edge_attr array<double>, edge_y int, family string, record_id string, snapshot int"
 
@@ -39,3 +40,25 @@ def test_nodes_take_one_exchange(spark, way, monkeypatch):
             rows = ends[snapshot, h]
             want[snapshot, h] = (i, len(rows), [round(sum(v) / len(rows), 9) for v in zip(*rows)])
     assert got == want
+
+
+def _carried(spark, monkeypatch, query):
+    kept, place = [], graph.positions
+
+    def seen(df, keys, order, out="position", keep=None, *rest, **kw):
+        if out == "edge_idx":
+            kept.append(set(keep or df.columns))
+        return place(df, keys, order, out, keep, *rest, **kw)
+
+    monkeypatch.setattr(graph, "positions", seen)
+    base.forget_shared()
+    monkeypatch.setattr(graphs, "flows", lambda s, sf: _flows(s))
+    rows = query(spark, "carried").collect()
+    base.forget_shared()
+    return kept, rows
+
+
+def test_masked_edges_carry_record_and_features_only(spark, monkeypatch):
+    kept, rows = _carried(spark, monkeypatch, graphs.g2)
+    assert kept == [{"snapshot", "src", "dst", "record_id", "edge_attr"}]
+    assert sorted(r["n_edges"] for r in rows) == [20, 49]  # the flow without a host has no edge
