@@ -62,3 +62,9 @@ def test_masked_edges_carry_record_and_features_only(spark, monkeypatch):
     kept, rows = _carried(spark, monkeypatch, graphs.g2)
     assert kept == [{"snapshot", "src", "dst", "record_id", "edge_attr"}]
     assert sorted(r["n_edges"] for r in rows) == [20, 49]  # the flow without a host has no edge
+
+
+def test_audited_edges_carry_record_and_features_only(spark, monkeypatch):
+    kept, rows = _carried(spark, monkeypatch, graphs.g10)
+    assert kept == [{"snapshot", "src", "dst", "record_id", "edge_attr"}]
+    assert rows == []  # two snapshots make no sequence of five
