@@ -68,3 +68,29 @@ def test_audited_edges_carry_record_and_features_only(spark, monkeypatch):
     kept, rows = _carried(spark, monkeypatch, graphs.g10)
     assert kept == [{"snapshot", "src", "dst", "record_id", "edge_attr"}]
     assert rows == []  # two snapshots make no sequence of five
+
+
+def test_picked_edges_are_drawn_before_their_hosts_are_looked_up(spark):
+    flows = _flows(spark)
+    nodes = graph.build_nodes(flows, 5)
+    whole = graph.with_node_features(graph.build_edges(flows, nodes), nodes, ["snapshot"])
+    want = {(r["snapshot"], r["edge_idx"]): (r["record_id"], r["flow_features"]) for r in whole.collect()}
+    seen = []
+
+    def pick(rows):
+        seen.append((rows.columns, rows.filter("src is null or dst is null").count()))
+        return rows.filter("edge_idx % 4 = 1")
+
+    picked = graph.build_edges(flows, nodes, keep=["record_id", "edge_attr"], pick=pick)
+    got = graph.with_node_features(picked, graph.hosts_of(picked, nodes, ["snapshot"]), ["snapshot"]).collect()
+    assert "src_idx" not in seen[0][0] and seen[0][1] == 0
+    assert {(r["snapshot"], r["edge_idx"]): (r["record_id"], r["flow_features"]) for r in got} == {k: v for k, v in want.items() if k[1] % 4 == 1}
+
+
+def test_node_features_by_host_id_equal_those_by_index(spark):
+    flows = _flows(spark)
+    nodes = graph.build_nodes(flows, 5)
+    by_index = graph.with_node_features(graph.build_edges(flows, nodes), nodes, ["snapshot"])
+    by_id = graph.with_node_features(flows, nodes, ["snapshot"])
+    listed = lambda df: sorted((r["record_id"], r["flow_features"]) for r in df.collect())
+    assert listed(by_id) == listed(by_index)
