@@ -190,3 +190,18 @@ def test_blocked_join_holds_a_bounded_number_of_distances(spark):
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, axis=1, kind="stable")[:, :3]
     assert all(got[i] == want[i].tolist() for i in range(len(x)))
+
+
+@pytest.mark.parametrize("batch_rows", [7, 4096])
+def test_adaptation_folds_what_replacements_leave_without_a_similar_entry(spark, batch_rows, monkeypatch):
+    # eight tight pairs: each replacement of an entry leaves later candidates without a similar one
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.normal(size=(8, 6)), 2, axis=0) + 0.001 * rng.normal(size=(16, 6))
+    z = np.concatenate([rng.normal(size=(40, 6)), m[rng.integers(0, 16, 200)] + 0.3 * rng.normal(size=(200, 6))])
+    rounds, nearest = [], memory.nearest_similarity
+    monkeypatch.setattr(memory, "nearest_similarity", lambda *a: rounds.append(1) or nearest(*a))
+    new, actions = memory.adapt(bank_of(spark, m), table(spark, z), ["timestamp", "sample_id"], 16, batch_rows)
+    want_m, want = sequential(m, z, 16)
+    assert [r["action"] for r in actions.orderBy("offer").collect()] == want
+    np.testing.assert_allclose([r["embedding"] for r in new.orderBy("memory_index").collect()], want_m, atol=1e-9)
+    assert batch_rows == 7 or len(rounds) == 1

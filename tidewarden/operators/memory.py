@@ -273,8 +273,8 @@ def adapt(
     largest redundancy of a full memory never rises, so a candidate with an entry at least that
     similar is dropped as long as such an entry stays. Each round marks the other candidates
     ("suspects") on the executors, folds the next batch of suspects, and then checks on the
-    executors which earlier unmarked candidate lost all its similar entries to replacements. The
-    fold is kept up to the first such candidate and the next round starts there. A round looks at a
+    executors which unmarked candidates lost all their similar entries to replacements before them.
+    Those are folded too, until no more of them are found. A round looks at a
     stretch of candidates that doubles while suspects are rare, so a candidate is scored a few
     times, not once per round.
     """
@@ -308,7 +308,7 @@ def adapt(
             limit = math.inf
         else:
             limit = float(_best_peer(rows).max())
-            suspects = nearest_similarity(rest, rows).filter(F.col("similarity") < limit + 1e-12)
+            suspects = nearest_similarity(rest, rows).filter(F.col("similarity") < limit + 1e-12).drop("similarity")
         head = suspects.orderBy("offer").limit(batch_rows).toArrow()
         if head.num_rows < batch_rows:
             look_ahead *= 2
@@ -317,15 +317,12 @@ def adapt(
             continue
         offers = head["offer"].to_numpy()
         end = int(offers[-1]) + 1 if head.num_rows == batch_rows else upto
-        vectors = unit_rows(matrix_of(head["embedding"]))
-        stop = end
         if math.isfinite(limit):
-            _, steps = _fold(rows, capacity, vectors)
-            gone = {s[1]: int(o) for o, s in reversed(list(zip(offers, steps))) if s[0] == "redundancy_replaced"}
-            if gone:
-                stop = _first_conflict(rest.filter(F.col("offer") < end), rows, limit, gone, end)
+            head, stop = _closed(rest, head, rows, capacity, limit, end, batch_rows)
+            offers = head["offer"].to_numpy()
         else:
             stop = min(end, int(offers[min(len(offers), capacity - len(rows)) - 1]) + 1)
+        vectors = unit_rows(matrix_of(head["embedding"]))
         keep = offers < stop
         rows, steps = _fold(rows, capacity, vectors[keep])
         done = []
@@ -403,9 +400,9 @@ def adapt_reservoir(
     return written(old.unionByName(fresh), "memory"), actions
 
 
-def nearest_similarity(rows: DataFrame, matrix: np.ndarray, alive: np.ndarray | None = None) -> DataFrame:
+def nearest_similarity(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
     """Cosine to the nearest entry of a small matrix held on the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast(matrix if alive is None else matrix[alive])
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)
     schema = T.StructType(rows.schema.fields + [T.StructField("similarity", T.DoubleType())])
 
     def run(batches):
@@ -420,18 +417,50 @@ def nearest_similarity(rows: DataFrame, matrix: np.ndarray, alive: np.ndarray |
     return rows.mapInArrow(run, schema)
 
 
-def _first_conflict(rest: DataFrame, before: np.ndarray, limit: float, gone: dict, end: int) -> int:
-    """First offer that was held back by entries that have since been replaced."""
-    alive = np.array([i for i in range(len(before)) if i not in gone])
-    first_change = min(gone.values())
-    checked = nearest_similarity(rest.filter(F.col("offer") > first_change), before)
-    held = checked.filter(F.col("similarity") >= limit + 1e-12).drop("similarity")
-    if not len(alive):
-        loose = held
-    else:
-        loose = nearest_similarity(held, before, alive).filter(F.col("similarity") < limit + 1e-12)
-    row = loose.agg(F.min("offer").alias("o")).first()
-    return end if row["o"] is None else int(row["o"])
+def _closed(rest: DataFrame, head, rows: np.ndarray, capacity: int, limit: float, end: int, batch_rows: int):
+    """Suspects with the candidates that their fold leaves without a similar entry; and the offer before which they are all there.
+
+    Candidates that join the fold may replace more entries, so it is folded again until none is left
+    out. Each time more of the entries must have gone, so there are at most as many turns as entries.
+    At most twice ``batch_rows`` are held; the round then ends earlier.
+    """
+    import pyarrow as pa
+
+    while True:
+        offers = head["offer"].to_numpy()
+        _, steps = _fold(rows, capacity, unit_rows(matrix_of(head["embedding"])))
+        gone = {s[1]: int(o) for o, s in reversed(list(zip(offers, steps))) if s[0] == "redundancy_replaced"}
+        if not gone:
+            return head, end
+        found = _loose(rest.filter(F.col("offer") < end), rows, limit, gone, offers).orderBy("offer").limit(batch_rows).toArrow()
+        if not found.num_rows:
+            return head, end
+        if found.num_rows == batch_rows:
+            end = found["offer"][-1].as_py() + 1
+        head = pa.concat_tables([head, found.cast(head.schema)]).sort_by("offer")
+        if head.num_rows > 2 * batch_rows:
+            end = min(end, head["offer"][2 * batch_rows].as_py())
+        head = head.filter(pa.array(head["offer"].to_numpy() < end))
+
+
+def _loose(rest: DataFrame, before: np.ndarray, limit: float, gone: dict, known: np.ndarray) -> DataFrame:
+    """Candidates besides ``known`` without a similar entry that is still there at their turn."""
+    until = np.full(len(before), np.inf)
+    until[list(gone)] = list(gone.values())
+    shared = rest.sparkSession.sparkContext.broadcast((before, until, known))
+
+    def run(batches):
+        import pyarrow as pa
+
+        entries, last, taken = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offers = np.asarray(batch.column("offer"))
+            sims = np.where(last[None, :] > offers[:, None], matrix_of(batch.column("embedding")) @ entries.T, -np.inf)
+            yield batch.filter(pa.array((sims.max(axis=1) < limit + 1e-12) & ~np.isin(offers, taken)))
+
+    return rest.filter(F.col("offer") > min(gone.values())).mapInArrow(run, rest.schema)
 
 
 def memory_hash(memory: DataFrame) -> DataFrame:
