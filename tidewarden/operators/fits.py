@@ -174,20 +174,24 @@ def _curvatures(fits: list[Fit], active: list[int]):
 
     def run(batch):
         x, y = matrix_of(batch.column("x")), np.asarray(batch.column("y")).astype(float)
-        seen: dict[tuple, tuple] = {}
+        parts: dict[int, tuple] = {}
+        seen: dict[tuple, np.ndarray] = {}
         for i in active:
             fit = fits[i]
-            at = (fit.fold, fit.feature_set)
-            if at not in seen:  # penalties share the standardised features
+            if fit.fold not in parts:  # feature sets share a fold's rows
                 m = _members(batch, fit.fold)
-                seen = {at: (fit.features(x[m]), y[m])}
-            z, t = seen[at]
+                parts = {fit.fold: (x[m], y[m], np.where(y[m] == 1, fit.class_weight[1], fit.class_weight[0]))}
+            held, t, w = parts[fit.fold]
             if not len(t):
                 continue
+            at = (fit.fold, fit.feature_set)
+            if at not in seen:  # penalties share the standardised features
+                seen = {at: fit.features(held)}
+            z = seen[at]
             s = z @ fit.beta
-            p = 0.5 * (1.0 + np.tanh(0.5 * s))
-            w = np.where(t == 1, fit.class_weight[1], fit.class_weight[0])
-            loss = (w * (np.logaddexp(0.0, s) - t * s)).sum()
+            e = np.exp(-np.abs(s))  # one exponential serves loss and probability
+            p = np.where(s >= 0, 1.0, e) / (1.0 + e)
+            loss = (w * (np.log1p(e) + np.maximum(s, 0.0) - t * s)).sum()
             bend = z * (w * p * (1 - p))[:, None]
             yield i, np.concatenate([[loss], z.T @ (w * (p - t)), (z.T @ bend).ravel()])
 
