@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,30 @@ def test_cross_validated_scores_leave_the_own_fold_out(spark):
     assert 0.6 < auc["h"] < auc["both"] < 0.95
     with pytest.raises(ContractError, match="arrays of"):
         learn.cross_validated_scores(rows.withColumn("h", F.slice("h", 1, (F.col("id") % 2 + 1).cast("int"))), "id", {"h": ["h"]})
+
+
+def test_a_pass_selects_a_folds_rows_once_and_keeps_far_scores_finite(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y, inside = rng.normal(size=(50, 3)), rng.integers(0, 2, 50), rng.integers(0, 4, 50)
+    x[0] = 500.0
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(y, pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(inside, pa.int64())], names=["y", "x", "fit_folds"]
+    )
+    models = []
+    for fold in (0, 1):
+        for name, at in (("a", [0]), ("b", [1, 2]), ("c", [0, 1, 2])):
+            for c in (0.1, 1.0):
+                fit = fits.Fit(fold, name, np.array(at), c, 50, np.zeros(len(at)), np.ones(len(at)), (0.8, 1.3))
+                fit.beta = rng.normal(size=len(at) + 1) * 10
+                models.append(fit)
+    asked, members = [], fits._members
+    monkeypatch.setattr(fits, "_members", lambda b, k: asked.append(k) or members(b, k))
+    got = dict(fits._curvatures(models, list(range(len(models))))(batch))
+    assert asked == [0, 1]
+    for i, fit in enumerate(models):
+        m = (inside >> fit.fold) & 1 == 1
+        z, t = np.column_stack([np.ones(m.sum()), x[m][:, fit.places]]), y[m]
+        s, w = z @ fit.beta, np.where(t == 1, 1.3, 0.8)
+        p = 0.5 * (1 + np.tanh(s / 2))
+        want = [[(w * (np.logaddexp(0, s) - t * s)).sum()], z.T @ (w * (p - t)), (z.T @ (z * (w * p * (1 - p))[:, None])).ravel()]
+        np.testing.assert_allclose(got[i], np.concatenate(want), rtol=1e-9, atol=1e-9)
