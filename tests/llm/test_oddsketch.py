@@ -203,3 +203,27 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 100), (100, 100)]
     got = dict(map(tuple, oddsketch.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert got == {i: 0 for i in range(61)} | {90: 90, 100: 90}
+
+
+def test_joined_links_are_not_read_again(spark, monkeypatch):
+    """Links inside a group go after its round, and a group goes on as one pair per member."""
+    read, real = [], oddsketch.written
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        if name == "links":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(oddsketch, "written", counted)
+    edges = [(hub, 100 + i) for hub in (1, 2, 3) for i in range(60)] + [(900, 901), (901, 902)]
+    got = dict(map(tuple, oddsketch.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {i: 900 if i >= 900 else 1 for i in [1, 2, 3, *range(100, 160), 900, 901, 902]}
+    assert read[0] == 182 and read[-1] == 0 and sum(read[1:]) < 10
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{i}" if j == rng.randrange(200) else w for j, w in enumerate(base))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    reps = oddsketch.classes(oddsketch.sketch(docs))
+    found = oddsketch.links(reps, docs.withColumnRenamed("doc_id", "rep"))
+    assert found.distinct().count() < reps.count()

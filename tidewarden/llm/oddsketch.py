@@ -213,24 +213,32 @@ def likely(pairs: DataFrame, reps: DataFrame, doubt: float = DOUBT, threshold: i
 def components(links: DataFrame) -> DataFrame:
     """``rep, component`` of every id with a link: the smallest id it reaches.
 
-    Each round takes the least label among a node and its neighbours, then the label's label.
+    In a round each id takes the least id among itself and its neighbours, follows these steps down
+    to their end, and the ends replace the ids in the links. Links inside a group are gone after it,
+    so a round reads only what still joins groups, and every second round at least halves the ids.
     """
-    edges = written(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
-    )
-    labels = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "rep"), "labels")
-    while True:
-        near = edges.join(labels.hint("merge").withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.min("label").alias("by_edge"))
-        stepped = labels.join(near.hint("merge").withColumnRenamed("a", "rep"), "rep").select(
-            "rep", "label", F.least("label", "by_edge").alias("next")
-        )
-        jump = labels.withColumnsRenamed({"rep": "next", "label": "over"}).hint("merge")
-        fresh = written(
-            stepped.join(jump, "next").select("rep", F.least("next", "over").alias("label"), F.col("label").alias("old")), "labels"
-        )
-        labels = fresh.select("rep", "label")
-        if not fresh.filter("label < old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, rounds = written(ends.distinct(), "links"), []
+    while not rounds or not edges.isEmpty():
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("col.*")
+        labels = written(both.groupBy(F.col("a").alias("rep")).agg(F.least("a", F.min("b")).alias("label")), "labels")
+        while True:
+            over = labels.select(F.col("rep").alias("label"), F.col("label").alias("over")).hint("merge")
+            stepped = written(labels.join(over, "label").select("rep", F.col("over").alias("label"), F.col("label").alias("old")), "labels")
+            labels = stepped.select("rep", "label")
+            if stepped.filter("label < old").isEmpty():
+                break
+        rounds.append(labels)
+        for end in ("a", "b"):
+            to = labels.withColumnsRenamed({"rep": end, "label": f"{end}_label"}).hint("merge")
+            edges = edges.join(to, end)
+        left = edges.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
+        edges = written(left.filter("a < b").distinct(), "links")
+    found = rounds.pop()
+    for labels in reversed(rounds):
+        later = found.select(F.col("rep").alias("label"), F.col("label").alias("least")).hint("merge")
+        found = labels.join(later, "label", "left").select("rep", F.coalesce("least", "label").alias("label"))
+    return written(found.withColumnRenamed("label", "component"), "components") if rounds else found.withColumnRenamed("label", "component")
 
 
 def classes(sketched: DataFrame) -> DataFrame:
@@ -248,7 +256,7 @@ def classes(sketched: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``a, b`` of linked representatives: enough of them to join every component."""
+    """``a, b`` that join every component: ids with the least id that the centres' links reach, and the open buckets' links."""
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     # the order that names the centre depends on the key: were it always the smallest id, one poor
     # centre would serve all buckets of a group and leave its outer members unlinked
@@ -260,11 +268,13 @@ def links(reps: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, shingle
     stars = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = written(likely(stars, reps, threshold=threshold), "stars")
     confirmed = written(confirm(tested.filter("open").select("a", "b"), texts, threshold, shingle), "confirmed")
-    linked = confirmed.filter("linked").select("a", "b")
-    return linked.union(open_links(buckets, tested, confirmed, reps, texts, threshold, shingle))
+    joined = components(confirmed.filter("linked"))
+    linked = joined.filter("component < rep").select(F.col("component").alias("a"), F.col("rep").alias("b"))
+    return linked.union(open_links(joined, buckets, tested, confirmed, reps, texts, threshold, shingle))
 
 
 def open_links(
+    joined: DataFrame,
     buckets: DataFrame,
     tested: DataFrame,
     confirmed: DataFrame,
@@ -273,8 +283,7 @@ def open_links(
     threshold: int = THRESHOLD,
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """Links across components that still share a bucket after the centres' links."""
-    joined = components(confirmed.filter("linked"))
+    """Links across the components ``joined`` that still share a bucket after the centres' links."""
     placed = buckets.join(joined.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     # exact where the full sets were compared, else by the sketches; the centre itself is at distance 0
     exact = confirmed.select("a", "b", (F.col("common") / F.col("united")).alias("exact"))
