@@ -45,6 +45,12 @@ def test_grammar_round_trip(ids, least, rounds):
         assert len(repair.expand(np.array([7 + i]), rules.astype(np.int64), 7)) == n
 
 
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 6])
+def test_grammar_of_hardly_any_ids(n):
+    symbols, rules = repair.compress(np.zeros(n, np.uint32), 7, 1, 5)
+    assert repair.expand(symbols, rules.astype(np.int64), 7).tolist() == [0] * n
+
+
 def test_grammar_compresses_and_gives_spans():
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 50, 6) for _ in range(40)]

@@ -50,7 +50,7 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
     rules = [np.empty((0, 2), np.uint32)]
     fresh = first
     for _ in range(rounds):
-        if len(seq) < least or fresh == LIMIT:
+        if len(seq) <= least or fresh == LIMIT:  # fewer pairs than ``least``
             break
         pairs = np.sort(seq[:-1] << 16 | seq[1:])
         runs = pairs[: len(pairs) - least + 1] == pairs[least - 1 :]
