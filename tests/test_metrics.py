@@ -245,3 +245,38 @@ def test_mean_interval_equals_multiplied_rows(spark):
         np.testing.assert_allclose([got[g]["ci_low"], got[g]["ci_high"]], np.quantile(stat, [0.025, 0.975]))
     alone = bootstrap.mean_interval(df.filter("v is null"), "v", "id", 60).first()
     assert alone["point"] is None and alone["n_replicates"] == 0
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_a_chunk_gives_its_area_with_one_draw_of_its_weights(monkeypatch, rows):
+    """Cut into slices that split ties, with labels and scores missing: as pairs counted one by one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n = 90
+    s = [None if i % 17 == 0 else float(v) for i, v in enumerate(rng.integers(0, 6, n))]
+    y = [None if i % 13 == 0 else int(v) for i, v in enumerate(rng.random(n) < 0.4)]
+    part = pa.table(
+        {
+            "g": ["a"] * n, "_chunk": [0] * n, "s": pa.array(s, pa.float64()), "y": pa.array(y, pa.int32()),
+            "p": pa.array([int(v) for v in rng.random(n) < 0.5], pa.int32()), "_key": [f":{i}" for i in range(n)],
+        }
+    )
+    calls, drawn = [], bootstrap.poisson_weights
+    monkeypatch.setattr(bootstrap, "SLICE", rows)
+    monkeypatch.setattr(bootstrap, "poisson_weights", lambda t, *a: calls.append(len(t)) or drawn(t, *a))
+    got = bootstrap._cell_sums(["g"], "s", 70, 0)(part).to_pylist()[0]
+    assert sum(calls) == n
+    w = drawn(part.column("_key"), 0, 0, 70).astype(int)
+    pos, neg = ([i for i in range(n) if y[i] == v and s[i] is not None] for v in (1, 0))
+    want = sum(w[i] * w[j] * ((s[i] > s[j]) + 0.5 * (s[i] == s[j])) for i in pos for j in neg)
+    assert got["u"] == want.tolist()
+    assert got["pos"] == w[pos].sum(0).tolist() and got["neg"] == w[neg].sum(0).tolist()
+
+
+def test_replicates_without_average_precision(spark, way):
+    rng = np.random.default_rng(9)
+    rows = frame(spark, (rng.random(200) < 0.4).astype(int), np.round(rng.random(200), 1), g=rng.choice(["a", "b"], 200)).withColumn("p", F.lit(1))
+    one, both = (bootstrap.metric_replicates(rows, "id", 40, by=["g"], average_precision=v) for v in (False, True))
+    assert sorted(both.columns) == sorted([*one.columns, "auprc"])
+    assert sorted(one.collect()) == sorted(both.select(one.columns).collect())

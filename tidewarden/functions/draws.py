@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions.hashing import POISSON1_CDF
 
-AT_ONCE = 16384  # hashes whose words stay in a core's cache
+AT_ONCE = 32768  # hashes whose words stay in a core's cache
 LONGEST = 55  # bytes that fit one md5 block
 START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
 SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
@@ -31,42 +31,68 @@ def draw_key(keys: list[str]) -> Column:
 def _first_words(words: list, size: int) -> np.ndarray:
     """First four digest bytes, as a number, of texts of one block; a word is an array or one number for all."""
     a, b, c, d = (np.full(size, v, np.uint32) for v in START)
-    for i in range(64):
+    f = np.empty(size, np.uint32)
+    for i in range(61):  # the last three steps leave these bytes as they are
         if i < 16:
-            f, g = d ^ (b & (c ^ d)), i
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
         elif i < 32:
-            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
         elif i < 48:
-            f, g = b ^ c ^ d, (3 * i + 5) % 16
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
         else:
-            f, g = c ^ (b | ~d), 7 * i % 16
+            g = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
         f += a
-        f += words[g]
-        f += SINES[i]
-        turned = f << TURNS[i]
+        if isinstance(words[g], np.ndarray):
+            f += words[g]
+            f += SINES[i]
+        else:
+            f += np.uint32((int(SINES[i]) + words[g]) & 0xFFFFFFFF)
+        np.left_shift(f, TURNS[i], out=a)
         f >>= np.uint32(32) - TURNS[i]
-        turned |= f
-        turned += b
-        a, d, c, b = d, c, b, turned
-    return (a + START[0]).byteswap()
+        a |= f
+        a += b
+        a, b, c, d = d, a, b, c
+    return (b + START[0]).byteswap()
+
+
+def _weights(drawn: np.ndarray) -> np.ndarray:
+    """Poisson weights of draws: how many of the cumulative probabilities they reach."""
+    out = np.zeros(drawn.shape, np.int8)
+    for cut in CUTS:
+        out += drawn >= cut
+    return out
 
 
 def _same_length(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    """Draws of all texts head + tail; ``heads`` and ``tails`` are byte matrices of one width each."""
-    length = heads.shape[1] + tails.shape[1]
+    """Weights of all texts head + tail; ``heads`` and ``tails`` are byte matrices of one width each."""
+    width, length = heads.shape[1], heads.shape[1] + tails.shape[1]
     used = length // 4 + 1
-    out = np.empty((len(tails), len(heads)), np.uint32)
+    first, rest = np.zeros((len(heads), 4 * used), np.uint8), np.zeros((len(tails), 4 * used), np.uint8)
+    first[:, :width] = heads
+    rest[:, width:length] = tails
+    rest[:, length] = 0x80
+    first, rest = first.view("<u4"), rest.view("<u4")
+    out = np.empty((len(tails), len(heads)), np.int8)
     step = max(1, AT_ONCE // len(heads))
     for lo in range(0, len(tails), step):
-        part = tails[lo : lo + step]
-        text = np.zeros((len(part), len(heads), 4 * used), np.uint8)
-        text[:, :, : heads.shape[1]] = heads
-        text[:, :, heads.shape[1] : length] = part[:, None, :]
-        text[:, :, length] = 0x80
-        block = text.view("<u4").reshape(-1, used)
-        words: list = [np.ascontiguousarray(block[:, i]) for i in range(used)] + [np.uint32(0)] * (16 - used)
-        words[14] = words[14] + np.uint32(8 * length)
-        out[lo : lo + step] = _first_words(words, len(block)).reshape(len(part), len(heads))
+        part = rest[lo : lo + step]
+        words: list = [(part[:, None, i] | first[None, :, i]).ravel() for i in range(used)] + [0] * (16 - used)
+        if used > 14:
+            words[14] = words[14] + np.uint32(8 * length)
+        else:
+            words[14] = 8 * length
+        out[lo : lo + step] = _weights(_first_words(words, len(part) * len(heads))).reshape(len(part), len(heads))
     return out
 
 
@@ -78,7 +104,7 @@ def poisson_weights(tails: pa.Array | pa.ChunkedArray, seed: int, first: int, la
     sizes = np.array([len(t) for t in texts], np.int64)
     heads = [f"{seed}:{r}".encode() for r in range(first, last)]
     widths = np.array([len(h) for h in heads], np.int64)
-    drawn = np.empty((len(texts), len(heads)), np.uint32)
+    weights = np.empty((len(texts), len(heads)), np.int8)
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
         mine = np.frombuffer(b"".join(texts[i] for i in rows), np.uint8).reshape(len(rows), size)
@@ -86,8 +112,8 @@ def poisson_weights(tails: pa.Array | pa.ChunkedArray, seed: int, first: int, la
             at = np.flatnonzero(widths == width)
             if size + width > LONGEST:
                 found = [[int.from_bytes(hashlib.md5(heads[j] + texts[i]).digest()[:4], "big") for j in at] for i in rows]
-                drawn[np.ix_(rows, at)] = np.array(found, np.uint32)
+                weights[np.ix_(rows, at)] = _weights(np.array(found, np.uint32))
             else:
                 head = np.frombuffer(b"".join(heads[j] for j in at), np.uint8).reshape(len(at), width)
-                drawn[np.ix_(rows, at)] = _same_length(head, mine)
-    return np.searchsorted(CUTS, drawn.ravel(), side="right").astype(np.int8).reshape(drawn.shape)
+                weights[np.ix_(rows, at)] = _same_length(head, mine)
+    return weights

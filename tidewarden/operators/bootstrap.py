@@ -23,6 +23,7 @@ from tidewarden.session import written
 
 CELLS = ["tn", "fp", "fn", "tp", "pos", "neg"]
 BLOCK = 32  # replicates whose weights and running counts are held at once
+SLICE = 16_384  # rows of a chunk whose weights in all replicates are held at once
 
 
 def _keys(key) -> list[str]:
@@ -182,36 +183,83 @@ def median_interval(
     return interval(med, "stat", point, alpha, by)
 
 
+class _Area:
+    """Twice the area under a chunk's ROC curve per replicate, in whole numbers, from slices of its ranked rows in falling order.
+
+    The last group of ties of a slice stays open, as the next slice may go on with it.
+    """
+
+    def __init__(self, n_boot: int):
+        self.twice, self.above = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+        self.pos, self.neg = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+
+    def close(self) -> None:
+        self.twice += self.neg * (2 * self.above + self.pos)
+        self.above += self.pos
+        self.pos[:], self.neg[:] = 0, 0
+
+    def add(self, w: np.ndarray, y: np.ndarray, s: np.ndarray, goes_on: bool) -> None:
+        if not goes_on:
+            self.close()
+        ties = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        is_pos, is_neg = ((y == v).astype(np.int8)[:, None] for v in (1, 0))
+        for lo in range(0, w.shape[1], BLOCK):
+            block = slice(lo, min(lo + BLOCK, w.shape[1]))
+            mine = w[:, block]
+            pos, neg = (np.add.reduceat(mine * of, ties, axis=0, dtype=np.int64) for of in (is_pos, is_neg))
+            pos[0] += self.pos[block]
+            neg[0] += self.neg[block]
+            upto = np.cumsum(pos, 0)
+            self.twice[block] += (neg[:-1] * (2 * (self.above[block] + upto[:-1]) - pos[:-1])).sum(0)
+            self.above[block] += upto[-1] - pos[-1]
+            self.pos[block], self.neg[block] = pos[-1], neg[-1]
+
+    def total(self) -> np.ndarray:
+        self.close()
+        return self.twice / 2.0
+
+
 def _cell_sums(by: list[str], score: str, n_boot: int, seed: int):
-    """Weights of a chunk's rows, summed per replicate over each cell of the confusion table and over ranked rows."""
+    """Weights of a chunk's rows, summed per replicate over each cell of the confusion table and over ranked rows, and ``u``.
+
+    ``u`` is the chunk's own part of the area under the ROC curve. What its rows gain from the higher
+    chunks is a product of sums, so it needs no second draw.
+    """
 
     def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(score, "descending")])
         y = np.asarray(part.column("y").combine_chunks().cast(pa.float64()).fill_null(-1))
         p = np.asarray(part.column("p").combine_chunks().cast(pa.float64()).fill_null(-1))
-        ranked = np.asarray(part.column(score).combine_chunks().is_valid())
+        n = len(part) - part.column(score).null_count  # ranked rows come first
+        s = np.asarray(part.column(score).slice(0, n).combine_chunks())
+        ranked = np.arange(len(part)) < n
         masks = [(y == 0) & (p == 0), (y == 0) & (p == 1), (y == 1) & (p == 0), (y == 1) & (p == 1), (y == 1) & ranked, (y == 0) & ranked]
-        sums = np.zeros((len(masks), n_boot), np.int64)
-        for lo, hi in _blocks(n_boot):
-            w = poisson_weights(part.column("_key"), seed, lo, hi)
-            for cell, mask in enumerate(masks):
-                sums[cell, lo:hi] = w[mask].sum(0, dtype=np.int64)
+        of = np.stack(masks).astype(np.float32)
+        sums, area = np.zeros((len(masks), n_boot), np.int64), _Area(n_boot)
+        for lo in range(0, len(part), SLICE):
+            hi = min(lo + SLICE, len(part))
+            w = poisson_weights(part.column("_key").slice(lo, hi - lo), seed, 0, n_boot)
+            sums += (of[:, lo:hi] @ w.astype(np.float32)).astype(np.int64)  # whole numbers far below 2^24
+            if lo < n:
+                top = min(hi, n)
+                area.add(w[: top - lo], y[lo:top], s[lo:top], lo > 0 and bool(s[lo] == s[lo - 1]))
         out = part.select([*by, CHUNK]).slice(0, 1)
         for name, row in zip(CELLS, sums):
             out = out.append_column(name, pa.array([row], pa.list_(pa.int64())))
-        return out
+        return out.append_column("u", pa.array([area.total()], pa.list_(pa.float64())))
 
     return run
 
 
-def _areas(by: list[str], score: str, seed: int):
-    """Parts of the areas under a chunk's curves, given the counts of all higher chunks."""
+def _precisions(by: list[str], score: str, seed: int):
+    """Parts of the average precision of a chunk, given the counts of all higher chunks."""
 
     def run(part: pa.Table, above: pa.Table) -> pa.Table:
         part = part.filter(part.column(score).is_valid())
         part = part.sort_by([(score, "descending")])
         head = above.select([*by, CHUNK]).slice(0, 1)
         tp0, fp0 = (np.array(above.column(c)[0].as_py()) for c in ("tp0", "fp0"))
-        u, a = np.zeros(len(tp0)), np.zeros(len(tp0))
+        a = np.zeros(len(tp0))
         if len(part):
             y = np.asarray(part.column("y").combine_chunks().cast(pa.float64()).fill_null(-1))
             s = np.asarray(part.column(score).combine_chunks())
@@ -222,9 +270,8 @@ def _areas(by: list[str], score: str, seed: int):
                 pos = np.add.reduceat(weights * (y == 1)[:, None], ties)
                 neg = np.add.reduceat(weights * (y == 0)[:, None], ties)
                 tp, fp = tp0[block] + np.cumsum(pos, 0), fp0[block] + np.cumsum(neg, 0)
-                u[block] = (neg * (tp - pos / 2.0)).sum(0)
                 a[block] = (pos * tp / np.maximum(tp + fp, 1)).sum(0)
-        return head.append_column("u", pa.array([u], pa.list_(pa.float64()))).append_column("a", pa.array([a], pa.list_(pa.float64())))
+        return head.append_column("a", pa.array([a], pa.list_(pa.float64())))
 
     return run
 
@@ -234,11 +281,18 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
 
 
 def metric_replicates(
-    df: DataFrame, key, n_boot: int = 200, seed: int = 0, by: list[str] | None = None, score: str = "anomaly_score"
+    df: DataFrame,
+    key,
+    n_boot: int = 200,
+    seed: int = 0,
+    by: list[str] | None = None,
+    score: str = "anomaly_score",
+    average_precision: bool = True,
 ) -> DataFrame:
     """Confusion rates, ROC-AUC and average precision of each replicate; single-class replicates are left out.
 
-    ``df`` has ``y`` and ``p`` besides the score. Chunks are of the size of a shuffle partition.
+    ``df`` has ``y`` and ``p`` besides the score. Chunks are of the size of a shuffle partition. A row's weights are
+    drawn once; ``average_precision`` draws them once more, as it needs the counts of the higher chunks, and adds ``auprc``.
     """
     by = by or []
     slim = df.select(*dict.fromkeys([*by, score, "y", "p"]), draw_key(_keys(key)).alias("_key"))
@@ -246,28 +300,21 @@ def metric_replicates(
     spot = [*by, CHUNK]
     held = _schema(rows, spot)
     lists = ", ".join(f"{c} array<bigint>" for c in CELLS)
-    cells = written(rows.groupBy(*spot).applyInArrow(_cell_sums(by, score, n_boot, seed), f"{held}, {lists}"), "cells")
+    cells = written(rows.groupBy(*spot).applyInArrow(_cell_sums(by, score, n_boot, seed), f"{held}, {lists}, u array<double>"), "cells")
     # one row per chunk and replicate
-    zipped = cells.select(*spot, F.posexplode(F.arrays_zip(*CELLS)).alias("replicate", "c")).select(*spot, "replicate", "c.*")
+    zipped = cells.select(*spot, F.posexplode(F.arrays_zip(*CELLS, "u")).alias("replicate", "c")).select(*spot, "replicate", "c.*")
     order = Window.partitionBy(*by, "replicate").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = zipped.select(
-        *spot, "replicate",
-        F.coalesce(F.sum("pos").over(order), F.lit(0)).alias("tp0"),
-        F.coalesce(F.sum("neg").over(order), F.lit(0)).alias("fp0"),
-    )
-    per_chunk = F.sort_array(F.collect_list(F.struct("replicate", "tp0", "fp0")))
-    above = carried.groupBy(*spot).agg(per_chunk.alias("c")).select(*spot, F.col("c.tp0").alias("tp0"), F.col("c.fp0").alias("fp0"))
-    parts = rows.groupBy(*spot).cogroup(above.groupBy(*spot)).applyInArrow(_areas(by, score, seed), f"{held}, u array<double>, a array<double>")
-    areas = parts.select(*spot, F.posexplode(F.arrays_zip("u", "a")).alias("replicate", "c")).groupBy(*by, "replicate").agg(
-        F.sum("c.u").alias("_u"), F.sum("c.a").alias("_a")
-    )
-    counts = zipped.groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in CELLS])
-    both = null_safe(metrics.with_rates(counts.drop("pos", "neg")), areas, [*by, "replicate"], "inner")
-    both = null_safe(both, counts.select(*by, "replicate", "pos", "neg"), [*by, "replicate"], "inner")
-    out = both.withColumns(
-        {"roc_auc": ratio(F.col("_u"), F.col("pos") * F.col("neg")), "auprc": ratio(F.col("_a"), F.col("pos"))}
-    )
-    return out.filter("metric_validity = 'ok'").drop("_u", "_a", "pos", "neg")
+    before = {c: F.coalesce(F.sum(of).over(order), F.lit(0)) for c, of in (("tp0", "pos"), ("fp0", "neg"))}
+    carried = zipped.withColumns(before)
+    counts = carried.groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in CELLS], F.sum(F.col("u") + F.col("tp0") * F.col("neg")).alias("_u"))
+    out = metrics.with_rates(counts).withColumn("roc_auc", ratio(F.col("_u"), F.col("pos") * F.col("neg")))
+    if average_precision:
+        per_chunk = F.sort_array(F.collect_list(F.struct("replicate", "tp0", "fp0")))
+        above = carried.groupBy(*spot).agg(per_chunk.alias("c")).select(*spot, F.col("c.tp0").alias("tp0"), F.col("c.fp0").alias("fp0"))
+        parts = rows.groupBy(*spot).cogroup(above.groupBy(*spot)).applyInArrow(_precisions(by, score, seed), f"{held}, a array<double>")
+        areas = parts.select(*spot, F.posexplode("a").alias("replicate", "a")).groupBy(*by, "replicate").agg(F.sum("a").alias("_a"))
+        out = null_safe(out, areas, [*by, "replicate"], "inner").withColumn("auprc", ratio(F.col("_a"), F.col("pos"))).drop("_a")
+    return out.filter("metric_validity = 'ok'").drop("_u", "pos", "neg")
 
 
 def metric_intervals(
@@ -295,7 +342,7 @@ def paired_difference(
 ) -> DataFrame:
     """Mean over folds of stat(a) - stat(b) per replicate, both methods on the same resample."""
     rows = df.filter(F.col("method").isin(method_a, method_b)).withColumn("p", (F.col("anomaly_score") >= F.col("cut")).cast("int"))
-    stats = metric_replicates(rows, key, n_boot, seed, ["fold", "method"])
+    stats = metric_replicates(rows, key, n_boot, seed, ["fold", "method"], average_precision=stat == "auprc")
     side = lambda m: F.max(F.when(F.col("method") == m, F.col(stat)))
     diff = stats.groupBy("replicate", "fold").agg((side(method_a) - side(method_b)).alias("d"))
     mean = diff.filter(F.col("d").isNotNull()).groupBy("replicate").agg(F.avg("d").alias("stat"))
