@@ -94,3 +94,24 @@ def test_node_features_by_host_id_equal_those_by_index(spark):
     by_id = graph.with_node_features(flows, nodes, ["snapshot"])
     listed = lambda df: sorted((r["record_id"], r["flow_features"]) for r in df.collect())
     assert listed(by_id) == listed(by_index)
+
+
+def test_masked_hosts_edges_are_found_without_a_join_of_the_mask(spark, monkeypatch):
+    """Only order columns are numbered, and hosts that are masked in all snapshots or in one take their edges along."""
+    kept, rows = _carried(spark, monkeypatch, graphs.g1)
+    assert kept == [{"snapshot", "src", "dst"}]
+    assert sorted(r["n_edges"] for r in rows) == [20, 49]
+    flows = _flows(spark)
+    nodes = graph.build_nodes(flows, 5)
+    edges = graph.build_edges(flows, nodes)
+    listed = [r for r in flows.collect() if r["dst"] is not None]
+    for masked, gone in (
+        (spark.createDataFrame([("S1",), ("S1",), ("C9",)], "node_id string"), {(0, "S1"), (1, "S1")}),
+        (spark.createDataFrame([(1, "C0"), (0, "S2")], "snapshot int, node_id string"), {(1, "C0"), (0, "S2")}),
+    ):
+        n, e = graph.mask_nodes(nodes, edges, masked, ["snapshot"])
+        assert "LeftAnti" not in e._jdf.queryExecution().executedPlan().toString()
+        index = {(r["snapshot"], r["node_id"]): r["node_idx"] for r in n.collect()}
+        assert not index.keys() & gone and len(index) == nodes.count() - len(gone)
+        want = [(r["record_id"], index[r["snapshot"], r["src"]], index[r["snapshot"], r["dst"]]) for r in listed if not {(r["snapshot"], r["src"]), (r["snapshot"], r["dst"])} & gone]
+        assert sorted((r["record_id"], r["src_idx"], r["dst_idx"]) for r in e.collect()) == sorted(want)
