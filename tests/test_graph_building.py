@@ -115,3 +115,10 @@ def test_masked_hosts_edges_are_found_without_a_join_of_the_mask(spark, monkeypa
         assert not index.keys() & gone and len(index) == nodes.count() - len(gone)
         want = [(r["record_id"], index[r["snapshot"], r["src"]], index[r["snapshot"], r["dst"]]) for r in listed if not {(r["snapshot"], r["src"]), (r["snapshot"], r["dst"])} & gone]
         assert sorted((r["record_id"], r["src_idx"], r["dst_idx"]) for r in e.collect()) == sorted(want)
+
+
+def test_viewed_edges_carry_features_only(spark, monkeypatch):
+    kept, rows = _carried(spark, monkeypatch, graphs.g9)
+    assert kept == [{"snapshot", "src", "dst", "edge_attr"}]
+    assert {(r["view"], r["snapshot"]) for r in rows} == {(v, s) for v in (1, 2) for s in (0, 1)}
+    assert all(0 < r["n_edges"] < 49 for r in rows)
