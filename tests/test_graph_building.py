@@ -122,3 +122,19 @@ def test_viewed_edges_carry_features_only(spark, monkeypatch):
     assert kept == [{"snapshot", "src", "dst", "edge_attr"}]
     assert {(r["view"], r["snapshot"]) for r in rows} == {(v, s) for v in (1, 2) for s in (0, 1)}
     assert all(0 < r["n_edges"] < 49 for r in rows)
+
+
+def test_edges_meet_their_hosts_once_for_index_and_features(spark, monkeypatch):
+    kept, rows = _carried(spark, monkeypatch, graphs.j11)
+    assert kept == [{"snapshot", "src", "dst", "edge_attr"}]
+    assert sorted((r["n_edges"], r["width"]) for r in rows) == [(20, 15), (49, 15)]
+    flows = _flows(spark)
+    built = graph.build_nodes(flows, 5)
+    nodes = spark.createDataFrame(built.collect(), built.schema)
+    whole = graph.with_node_features(graph.build_edges(flows, nodes), nodes, ["snapshot"])
+    once = graph.with_node_features(graph.build_edges(flows, nodes, host=["x"]), nodes, ["snapshot"])
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join") for df in (once, whole)]
+    assert joins[0] == joins[1] - 2
+    assert set(once.columns) == set(whole.columns)
+    listed = lambda df: sorted((r["record_id"], r["src_idx"], r["dst_idx"], r["flow_features"]) for r in df.collect())
+    assert listed(once) == listed(whole)
