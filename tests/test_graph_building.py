@@ -138,3 +138,23 @@ def test_edges_meet_their_hosts_once_for_index_and_features(spark, monkeypatch):
     assert set(once.columns) == set(whole.columns)
     listed = lambda df: sorted((r["record_id"], r["src_idx"], r["dst_idx"], r["flow_features"]) for r in df.collect())
     assert listed(once) == listed(whole)
+
+
+def test_order_graphs_take_one_exchange_and_their_files_are_small(spark, tmp_path, monkeypatch):
+    import os
+
+    rows = [(i % 7, i % 3, i, i % 4, float(i % 50), "RAN"[i % 3]) for i in range(60)] + [(None, 1, 2, 3, 4.0, "R"), (3, 1, 1, 1, 1.0, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    built = graphs.order_graphs(spark, str(tmp_path))
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    by_id = {r["sample_id"]: r for r in built.collect()}
+    assert sorted(by_id, key=str) == sorted([None, *map(str, range(7))], key=str)
+    assert by_id["3"]["window_ids"] == [None, "A", "N", "R"]
+    assert sum(len(s["edge_attr"]) for r in by_id.values() for s in r["snapshots"]) == len(rows)
+    monkeypatch.setattr(graphs, "scratch_path", lambda *a: str(tmp_path / "s7"))
+    got = {r["sample_id"]: r["dataset_id"] for r in graphs.s7(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k} == {str(k): "second" if k % 2 == 0 else "first" for k in range(7)}
+    parts = [f for _, _, files in os.walk(tmp_path / "s7") for f in files if f.startswith("part-")]
+    assert parts and all(f.endswith(".gz") for f in parts)

@@ -30,14 +30,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", "_id", "g.*").withColumn("sample_id", F.coalesce("_id", "sample_id")).drop("_id")
 
 
-def write_json(graphs: DataFrame, path: str, as_string: bool = True) -> None:
-    """JSON lines; ``as_string`` encodes each object once more, as a JSON string."""
+def write_json(graphs: DataFrame, path: str, as_string: bool = True, compression: str = "none") -> None:
+    """JSON lines; ``as_string`` encodes each object once more, as a JSON string. ``read_json`` reads compressed files as well."""
     cols = [c for c in GRAPH_SCHEMA.names if c in graphs.columns]
     text = F.to_json(F.struct(*cols))
     if as_string:
         quoted = F.to_json(F.struct(text.alias("v")))
         text = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
-    graphs.select(text.alias("value")).write.mode("overwrite").text(path)
+    graphs.select(text.alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def write_csv(graphs: DataFrame, path: str) -> None:
