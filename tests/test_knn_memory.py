@@ -205,3 +205,38 @@ def test_adaptation_folds_what_replacements_leave_without_a_similar_entry(spark,
     assert [r["action"] for r in actions.orderBy("offer").collect()] == want
     np.testing.assert_allclose([r["embedding"] for r in new.orderBy("memory_index").collect()], want_m, atol=1e-9)
     assert batch_rows == 7 or len(rounds) == 1
+
+
+@pytest.mark.parametrize("rows,width,k", [(3, 4, 5), (640, 6, 5), (2000, 12, 1)])
+def test_candidates_hold_the_nearest(rows, width, k):
+    """Bounds from single precision lose none of the nearest: ties in column order, columns left out, few rows."""
+    rng = np.random.default_rng(rows)
+    m, q = unit_rows(rng.normal(size=(rows, width)).round(1)), unit_rows(rng.normal(size=(40, width)).round(1))
+    m[::7], q[::5] = m[0], m[0]
+    lo = rng.integers(0, rows, 40)
+    for own in (None, np.array([lo, np.minimum(lo + rng.integers(0, 3, 40), rows)])):
+        counts, columns, d = knn._cosine_top(q, m, m.astype(np.float32), k, own)
+        at = 0
+        for i, n in enumerate(counts):
+            want = np.round(1 - np.clip(m @ q[i], -1, 1), 9)
+            left = [c for c in range(rows) if own is None or not own[0][i] <= c < own[1][i]]
+            best = sorted(left, key=lambda c: (want[c], c))[:k]
+            assert columns[at : at + n].tolist() == best
+            np.testing.assert_allclose(d[at : at + n], want[best], atol=1e-9)
+            at += n
+
+
+def test_blocked_join_leaves_out_all_rows_of_the_own_id(spark):
+    """Ids that repeat or are null, vectors that repeat, blocks smaller than k."""
+    x = unit_rows(np.random.default_rng(7).normal(size=(60, 5)))
+    x[30:40] = x[0]
+    ids = [None if i in (4, 50) else f"r{i % 55}" for i in range(60)]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "id string, embedding array<double>")
+    got = {r["id"]: (r["nn_id"], r["nn_distance"]) for r in knn.blocked_knn(df, df, 4, "id", "id", query_block=9, reference_block=13, exclude_self=True).collect()}
+    d = np.round(1 - np.clip(x @ x.T, -1, 1), 9)
+    assert got.keys() == set(ids)
+    for own, (near, far) in got.items():
+        pairs = sorted((d[i, j], (ids[j] is not None, ids[j] or "")) for i in range(60) for j in range(60) if ids[i] == own and ids[j] != own)[:4]
+        assert own not in near
+        np.testing.assert_allclose(far, [p[0] for p in pairs], atol=2e-9)
+        assert near == [p[1][1] if p[1][0] else None for p in pairs]
